@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash
+from . import bpe, fingerprint, mixing, simhash
 from .common import table
 
 
@@ -22,8 +22,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(spark, table(spark, sf_dir, "documents")))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_source_mixing, op7_bpe_codec)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_source_mixing, op7_bpe_codec, op8_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, simhash
+from . import bpe, fingerprint, line_dedup, mixing, simhash
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_source_mixing, op7_bpe_codec, op8_document_fingerprints)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op4_source_mixing, op7_bpe_codec, op8_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

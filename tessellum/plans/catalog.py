@@ -1,11 +1,550 @@
-"""All registered queries of the retrieval engine and their SQL."""
+"""All registered queries of the retrieval engine, each beside the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..conf import CONF, STOPWORDS
+from ..functions import text as T
+from ..operators import chat, graph, retrieve
+from ..sources.corpus import from_table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+def terms_sql(name: str, source: str, key: str) -> str:
+    """CTEs ending in ``name`` (key, term), repeats kept. No CJK text is in the tables."""
+    return f"""{name}_tok AS (SELECT {key}, regexp_replace(lower(t), '^[.:]+|[.:]+$', '', 'g') AS c FROM (SELECT {key}, unnest(regexp_extract_all(text, '[A-Za-z0-9_./:-]{{2,}}')) AS t FROM {source})),
+{name}_part AS (SELECT {key}, c, list_filter(regexp_split_to_array(c, '[_./:-]+'), lambda p: length(p) >= 2 AND p NOT IN ({STOP})) AS ps FROM {name}_tok WHERE length(c) >= 2),
+{name} AS (SELECT {key}, unnest(CASE WHEN len(ps) > 0 THEN ps WHEN c NOT IN ({STOP}) THEN [c] ELSE [] END) AS term FROM {name}_part)"""
+
+
+def bm25_sql(questions: str, k: int, scope: str = "") -> str:
+    return f"""
+WITH {terms_sql('t', 'documents', 'doc_id')},
+{terms_sql('a', f'({questions})', 'query_id')},
+asked AS (SELECT DISTINCT query_id, term FROM a),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+len AS (SELECT doc_id, count(*) AS length FROM t GROUP BY 1),
+stats AS (SELECT count(*) AS n, sum(length) / count(*) AS avg FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / avg))), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats {scope} GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}"""
+
+
+# ---- terms and lexical retrieval
+
+QUESTION = "the ting onand of nterti"
+
+
+@query(f"WITH {terms_sql('t', 'documents', 'doc_id')} SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2")
+def term_frequency(spark, d):
+    return retrieve.postings(table(spark, d, "documents"))
+
+
+@query(f"WITH {terms_sql('t', 'documents', 'doc_id')}, l AS (SELECT doc_id, count(*) AS length FROM t GROUP BY 1) SELECT count(*) AS doc_count, round(avg(length), 6) AS avg_length, sum(length)::BIGINT AS total FROM l")
+def inverted_index_stats(spark, d):
+    own = table(spark, d, "documents").select(F.size(T.terms(F.col("text"))).alias("length")).where("length > 0")
+    return own.agg(F.count("*").alias("doc_count"), F.round(F.avg("length"), 6).alias("avg_length"), F.sum("length").cast("long").alias("total"))
+
+
+@query(f"""WITH {terms_sql('t', 'documents', 'doc_id')}, tf AS (SELECT DISTINCT doc_id, term FROM t), n AS (SELECT count(DISTINCT doc_id) AS n FROM t)
+SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf CROSS JOIN n GROUP BY term""")
+def idf_table(spark, d):
+    own = table(spark, d, "documents").select(F.array_distinct(T.terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    n = own.agg(F.count("*").alias("n"))
+    df = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    return df.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+
+
+@query(bm25_sql(f"SELECT 0 AS query_id, '{QUESTION}' AS text", 20))
+def bm25_topk(spark, d):
+    asked = spark.sql(f"SELECT 0 AS query_id, '{QUESTION}' AS text")
+    return retrieve.bm25(table(spark, d, "documents"), asked, 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(bm25_sql(f"SELECT 0 AS query_id, '{QUESTION}' AS text", 10, "WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src1')"))
+def bm25_topk_kb(spark, d):
+    docs = table(spark, d, "documents")
+    asked = spark.sql(f"SELECT 0 AS query_id, '{QUESTION}' AS text")
+    return retrieve.bm25(docs, asked, 10, scope=docs.where("source = 'src1'").select("doc_id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(bm25_sql("SELECT item_id AS query_id, text FROM benchmark", 5))
+def bm25_batch_probes(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieve.bm25(table(spark, d, "documents"), asked, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+WORDS = ["thing", "eaux", "ung"]
+_EDGE = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+def _grep_sql() -> str:
+    scores = [f"CASE WHEN NOT contains(lower(line), '{k}') THEN 0.0 WHEN line = '{k}' THEN 1.2 WHEN regexp_matches(lower(line), '(^|{_EDGE}){k}($|{_EDGE})') THEN 1.0 ELSE 0.75 END" for k in WORDS]
+    return f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents),
+s AS (SELECT doc_id, line_no, line, [{', '.join(scores)}] AS scores FROM l),
+g AS (SELECT doc_id, line_no, line, len(list_filter(scores, lambda x: x > 0))::BIGINT AS n_keywords, round(list_max(scores) + 0.05 * len(list_filter(scores, lambda x: x > 0)), 6)::DOUBLE AS score, list_max(scores) >= 1 AS exact_symbol FROM s WHERE list_max(scores) > 0)"""
+
+
+@query(f"WITH {_grep_sql()} SELECT doc_id, line_no, score, n_keywords, exact_symbol FROM g")
+def grep_scored_lines(spark, d):
+    return retrieve.grep(table(spark, d, "documents"), WORDS).drop("line")
+
+
+@query(f"WITH {_grep_sql()} SELECT g.doc_id, g.line_no, g.score, array_to_string(list_slice(string_split(text, chr(10)), greatest(1, line_no - 4), line_no + 4), chr(10)) AS snippet FROM g JOIN documents USING (doc_id)")
+def grep_context(spark, d):
+    return retrieve.grep_context(table(spark, d, "documents"), WORDS)
+
+
+@query("""WITH f AS (SELECT source || '/doc_' || doc_id || '.txt' AS rel_path FROM documents), p AS (SELECT *, CASE
+ WHEN regexp_matches(rel_path, '^src1/doc_.*5\\.txt$') THEN 0 WHEN contains(rel_path, 'doc_42.txt') THEN 1 WHEN contains(rel_path, 'src3/') THEN 2 END AS pattern_no FROM f)
+SELECT rel_path, pattern_no::BIGINT AS pattern_no, pattern_no = 1 AND regexp_matches(rel_path, '(^|/)doc_42\\.txt$') AS exact_path FROM p WHERE pattern_no IS NOT NULL""")
+def glob_match(spark, d):
+    return retrieve.glob(from_table(table(spark, d, "documents")), ["src1/doc_*5.txt", "doc_42.txt", "src3/"])
+
+
+@query("SELECT DISTINCT source AS kb FROM documents WHERE source <> ''")
+def list_kbs(spark, d):
+    return table(spark, d, "documents").where("source <> ''").select(F.col("source").alias("kb")).distinct()
+
+
+# ---- vectors and fusion
+
+_DIST = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)"
+
+
+def _vectors_sql(where: str, k: int, ids: str = "v.vec_id") -> str:
+    return f"""v AS (SELECT q.vec_id AS query_id, v.vec_id, {_DIST} AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM v)"""
+
+
+def _vector_queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+
+
+@query(f"WITH {_vectors_sql('', 24)} SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 24")
+def vector_topk(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieve.vector_top(v, _vector_queries(v), 24).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_vectors_sql('AND v.label = q.label', 6)} SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 6")
+def vector_topk_prefilter(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieve.vector_top(v, _vector_queries(v), 6, same="label").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_vectors_sql('', 24)}, f AS (SELECT r.*, e.label = q.label AS inside FROM r JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = r.query_id WHERE rank <= 24),
+n AS (SELECT query_id, count(*) FILTER (inside) AS n FROM f GROUP BY 1),
+o AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, distance, vec_id) AS place FROM f JOIN n USING (query_id) WHERE inside OR n < 2)
+SELECT query_id, vec_id, distance, inside, place FROM o WHERE place <= 6""")
+def vector_postfilter_backfill(spark, d):
+    v = table(spark, d, "embeddings")
+    found = retrieve.vector_top(v, _vector_queries(v), 24).drop("rank")
+    kind = v.select(F.col("vec_id").alias("v2"), "label")
+    inside = found.join(kind, F.col("vec_id") == F.col("v2")).join(kind.select(F.col("v2").alias("v3"), F.col("label").alias("own")), F.col("query_id") == F.col("v3")).select("query_id", "vec_id", "distance", (F.col("label") == F.col("own")).alias("inside"))
+    inside = inside.withColumn("n", F.count_if("inside").over(Window.partitionBy("query_id"))).where("inside or n < 2").drop("n")
+    return retrieve.top(inside, ["query_id"], [F.desc("inside"), "distance", "vec_id"], 6, "place").withColumn("place", F.col("place").cast("long"))
+
+
+def _fusion_hits_sql() -> str:
+    bm = bm25_sql("SELECT item_id AS query_id, text FROM benchmark", 30)
+    return f"""bm AS ({bm}),
+g AS (SELECT 0::BIGINT AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id, line_no) AS rank, exact_symbol FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS one FROM gg) WHERE one = 1),
+h AS (SELECT query_id, 'bm25' AS kind, doc_id, rank, false AS exact_symbol, 0.85 AS w, 3 AS p FROM bm
+ UNION ALL SELECT b.query_id, 'grep', doc_id, g.rank, exact_symbol, 0.9, 4 FROM g CROSS JOIN (SELECT DISTINCT query_id FROM bm WHERE query_id = 0) b WHERE g.rank <= 30)"""
+
+
+@query(f"""WITH {_grep_sql().replace('g AS (', 'gg AS (')}, {_fusion_hits_sql()},
+u AS (SELECT query_id, doc_id AS key, source, round(sum(w / (60 + rank) + CASE WHEN exact_symbol THEN 0.25 ELSE 0 END), 9)::DOUBLE AS score, max(p)::BIGINT AS priority FROM h JOIN documents USING (doc_id) GROUP BY 1, 2, 3),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, priority DESC, key DESC) AS i FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, priority DESC, source DESC, key DESC) AS rank FROM c WHERE i <= 2)
+SELECT query_id, key, source, score, priority, rank FROM f WHERE rank <= 6""")
+def rrf_fusion(spark, d):
+    docs = table(spark, d, "documents")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    bm = retrieve.bm25(docs, asked, 30).select("query_id", "doc_id", "rank", F.lit("bm25").alias("match_kind"), F.lit(False).alias("exact_symbol"))
+    lines = retrieve.top(retrieve.grep(docs, WORDS), ["doc_id"], [F.desc("score"), "line_no"], 1, "one")
+    g = lines.orderBy(F.desc("score"), "doc_id").limit(30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "line_no")))
+    g = g.join(bm.where("query_id = 0").select("query_id").distinct()).select("query_id", "doc_id", "rank", F.lit("grep").alias("match_kind"), "exact_symbol")  # at most one row joins
+    hits = bm.unionByName(g).join(docs.select("doc_id", "source"), "doc_id").withColumn("exact_path", F.lit(False)).withColumnRenamed("doc_id", "key")
+    return retrieve.fuse(hits, CONF.top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+SELECT lower(regexp_replace(line, '\\s+', ' ', 'g')) AS snippet, min(doc_id) AS doc_id, count(*) AS copies FROM l GROUP BY 1""")
+def hit_dedupe_first(spark, d):
+    own = retrieve.lines(table(spark, d, "documents"))
+    return own.groupBy(F.lower(F.regexp_replace("line", r"\s+", " ")).alias("snippet")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+x AS (SELECT doc_id, trim(unnest(w)) AS w, generate_subscripts(w, 1) AS i FROM w), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS n FROM x WHERE w <> '')
+SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS distinct_words FROM y WHERE n = 1 AND doc_id % 1 = 0 GROUP BY doc_id""")
+def ordered_distinct_ci(spark, d):
+    # a sorted pass by word: the array form in functions.text is for short lists
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("i", "w")).withColumn("w", F.trim("w")).where("w <> ''")
+    first = x.groupBy("doc_id", F.lower("w").alias("l")).agg(F.min("i").alias("i"), F.min_by("w", "i").alias("w"))
+    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]), " ").alias("distinct_words"))
+
+
+# ---- chat windows
+
+_ANCHORED = """e AS (SELECT user_id, event_id, ts, length(props) AS chars, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, ts, chars, ts AS anchor, 1 AS w FROM e WHERE rn = 1 UNION ALL
+ SELECT e.user_id, e.rn, e.ts, e.chars, CASE WHEN e.ts > r.anchor + INTERVAL 30 MINUTE THEN e.ts ELSE r.anchor END, CASE WHEN e.ts > r.anchor + INTERVAL 30 MINUTE THEN r.w + 1 ELSE r.w END
+ FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1),
+w AS (SELECT user_id, w::BIGINT AS window_no, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, sum(chars)::BIGINT AS chars FROM r GROUP BY 1, 2)"""
+_SHOWN = "strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts"
+
+
+def _messages(spark, d):
+    return table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("id"), F.length("props").alias("chars"))
+
+
+def _shown(windows):
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return windows.select("user_id", "window_no", show("first_ts"), show("last_ts"), "n", "chars")
+
+
+@query(f"WITH RECURSIVE {_ANCHORED} SELECT user_id, window_no, {_SHOWN}, n, chars FROM w")
+def anchored_windows(spark, d):
+    return _shown(chat.anchored_windows(_messages(spark, d), "user_id"))
+
+
+@query(f"""WITH RECURSIVE {_ANCHORED},
+m AS (SELECT user_id, window_no AS place, window_no, first_ts, last_ts, n, chars FROM w WHERE window_no = 1 UNION ALL
+ SELECT w.user_id, w.window_no, CASE WHEN j THEN m.window_no ELSE w.window_no END, CASE WHEN j THEN m.first_ts ELSE w.first_ts END, w.last_ts, CASE WHEN j THEN m.n + w.n ELSE w.n END, CASE WHEN j THEN m.chars + w.chars ELSE w.chars END
+ FROM (SELECT m.*, w.window_no AS wn, (m.chars + w.chars <= 3000 AND NOT (m.chars >= 800 AND w.chars >= 800) AND w.first_ts <= m.last_ts + INTERVAL 120 MINUTE) AS j FROM m JOIN w ON w.user_id = m.user_id AND w.window_no = m.place + 1) m JOIN w ON w.user_id = m.user_id AND w.window_no = m.wn),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_no ORDER BY place DESC) AS last FROM m)
+SELECT user_id, window_no, {_SHOWN}, n, chars FROM l WHERE last = 1""")
+def anchored_windows_merged(spark, d):
+    return _shown(chat.merged_windows(chat.anchored_windows(_messages(spark, d), "user_id"), "user_id"))
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM n)
+SELECT conv_id, run::BIGINT AS run, role, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def message_speaker_runs(spark, d):
+    return chat.speaker_runs(table(spark, d, "conversations"))
+
+
+# ---- chunks
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+r AS (SELECT doc_id, no, length(line) + 1 AS size, 1 AS chunk FROM l WHERE no = 1 UNION ALL
+ SELECT l.doc_id, l.no, CASE WHEN r.size + length(l.line) + 1 > 1200 THEN length(l.line) + 1 ELSE r.size + length(l.line) + 1 END, CASE WHEN r.size + length(l.line) + 1 > 1200 THEN r.chunk + 1 ELSE r.chunk END
+ FROM r JOIN l ON l.doc_id = r.doc_id AND l.no = r.no + 1)
+SELECT doc_id, chunk::BIGINT AS chunk_index, min(no)::BIGINT AS line_start, max(no)::BIGINT AS line_end FROM r GROUP BY 1, 2""")
+def line_chunks_fixed(spark, d):
+    from ..operators import chunk
+
+    return chunk.chunks(table(spark, d, "documents"), "lines", overlap=0).select("doc_id", "chunk_index", "line_start", "line_end")
+
+
+def _capped(spark, d, last: bool):
+    from ..operators import chunk
+
+    found = chunk.chunks(table(spark, d, "documents"), "lines", overlap=0).select("doc_id", "chunk_index")
+    return retrieve.top(found, ["doc_id"], [F.desc("chunk_index") if last else F.col("chunk_index")], 3, "place").drop("place")
+
+
+@query(_SQL["line_chunks_fixed"].rsplit("SELECT doc_id, chunk::BIGINT", 1)[0] + "SELECT DISTINCT doc_id, chunk::BIGINT AS chunk_index FROM r WHERE chunk <= 3")
+def chunk_cap_head(spark, d):
+    return _capped(spark, d, False)
+
+
+@query(_SQL["line_chunks_fixed"].rsplit("SELECT doc_id, chunk::BIGINT", 1)[0] + "SELECT DISTINCT doc_id, chunk::BIGINT AS chunk_index FROM (SELECT *, max(chunk) OVER (PARTITION BY doc_id) AS most FROM r) WHERE chunk > most - 3")
+def chunk_cap_tail(spark, d):
+    return _capped(spark, d, True)
+
+
+@query()
+def markdown_structure_chunks(spark, d):
+    from ..operators import chunk
+
+    return chunk.chunks(table(spark, d, "documents"), "structure")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+s AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM l)
+SELECT doc_id, section::BIGINT AS section, min(no)::BIGINT AS line_start, max(no)::BIGINT AS line_end FROM s GROUP BY 1, 2""")
+def heading_sections(spark, d):
+    from ..operators import chunk
+
+    return chunk.sections(retrieve.lines(table(spark, d, "documents")), F.length("line") < 40)
+
+
+@query(_SQL["line_chunks_fixed"].rsplit("SELECT doc_id, chunk::BIGINT", 1)[0] + """, c AS (SELECT doc_id, max(chunk) AS n FROM r GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n) AS i, count(*) OVER () AS total FROM c)
+SELECT min(n)::BIGINT AS low, median(n)::INT::BIGINT AS middle, max(CASE WHEN i = greatest(0, (9 * total) // 10 - 1) + 1 THEN n END)::BIGINT AS p90, max(n)::BIGINT AS high FROM o""".replace(", c AS", ", c AS", 1).replace("median(n)::INT", "floor(median(n))"))
+def chunk_percentiles(spark, d):
+    from ..operators import chunk
+
+    counts = chunk.chunks(table(spark, d, "documents"), "lines", overlap=0).groupBy("doc_id").agg(F.max("chunk_index").alias("n"))
+    return chunk.percentiles(counts)
+
+
+# ---- references and graphs
+
+@query(r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}./*+-]+\.[A-Za-z0-9]+|[\p{L}\p{M}\p{N}\p{Pc}./*+-]+/[\p{L}\p{M}\p{N}\p{Pc}./*+-]+')) AS reference FROM documents""")
+def path_references(spark, d):
+    return graph.path_references(table(spark, d, "documents"))
+
+
+_HREF = """h AS (SELECT DISTINCT page_id, url, href FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS href FROM pages))"""
+
+
+@query(f"WITH {_HREF} SELECT page_id, url, href FROM h")
+def href_links(spark, d):
+    return graph.hrefs(table(spark, d, "pages"))
+
+
+_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '')"
+
+
+def _site(spark, d):
+    pages = table(spark, d, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/", ""), "[?#].*$", "")
+    files = pages.select(path.alias("rel_path"), F.col("page_id"))
+    refs = graph.hrefs(pages).select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/", ""), "[?#].*$", "").alias("source"), F.col("href").alias("reference")).distinct()
+    return files.select("rel_path").distinct(), refs
+
+
+_RESOLVE = f"""{_HREF}, f AS (SELECT DISTINCT {_PATH} AS rel_path FROM pages), b AS (SELECT regexp_extract(rel_path, '[^/]*$') AS base, min(rel_path) AS by_base FROM f GROUP BY 1 HAVING count(*) = 1),
+q AS (SELECT DISTINCT {_PATH} AS source, href AS reference FROM h), c AS (SELECT *, regexp_replace(regexp_replace(reference, '[#?].*$', ''), '^/+', '') AS clean, regexp_extract(source, '^(.*)/[^/]*$', 1) AS parent FROM q WHERE NOT regexp_matches(reference, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)')),
+x AS (SELECT *, CASE WHEN starts_with(reference, '/') OR parent = '' THEN clean ELSE parent || '/' || clean END AS beside FROM c WHERE clean <> ''),
+t AS (SELECT source, reference, coalesce(e.rel_path, n.rel_path, by_base) AS target FROM x LEFT JOIN f e ON e.rel_path = clean LEFT JOIN f n ON n.rel_path = beside LEFT JOIN b ON b.base = regexp_extract(clean, '[^/]*$'))"""
+
+
+@query(f"WITH {_RESOLVE} SELECT source, reference, target FROM t")
+def resolve_links(spark, d):
+    files, refs = _site(spark, d)
+    return graph.resolve(refs, files)
+
+
+@query(f"WITH {_RESOLVE} SELECT source, count(*) AS missing FROM t WHERE target IS NULL GROUP BY 1")
+def lint_missing_links(spark, d):
+    files, refs = _site(spark, d)
+    return graph.resolve(refs, files).where("target is null").groupBy("source").agg(F.count("*").alias("missing"))
+
+
+@query(f"WITH {_RESOLVE} SELECT rel_path FROM f WHERE rel_path NOT IN (SELECT target FROM t WHERE target IS NOT NULL AND target <> source)")
+def lint_orphans(spark, d):
+    files, refs = _site(spark, d)
+    linked = graph.resolve(refs, files).where("target is not null and target <> source").select(F.col("target").alias("rel_path"))
+    return files.join(linked, "rel_path", "left_anti")
+
+
+@query(f"WITH f AS (SELECT DISTINCT {_PATH} AS p FROM pages) SELECT regexp_extract(p, '[^/]*$') AS base, min(p) AS rel_path FROM f GROUP BY 1 HAVING count(*) = 1")
+def unique_basename(spark, d):
+    files, _ = _site(spark, d)
+    return files.groupBy(T.basename(F.col("rel_path")).alias("base")).agg(F.count("*").alias("n"), F.min("rel_path").alias("rel_path")).where("n = 1").drop("n")
+
+
+_TOKENS = f"""{terms_sql('t', 'documents', 'doc_id')}, k AS (SELECT DISTINCT doc_id, term FROM t WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z0-9]+$')),
+rare AS (SELECT term FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), own AS (SELECT * FROM k JOIN rare USING (term)),
+e AS (SELECT a.doc_id AS src, b.doc_id AS dst, term FROM own a JOIN own b USING (term) WHERE a.doc_id <> b.doc_id)"""
+
+
+def _token_edges(spark, d):
+    tokens = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("token")).where("length(token) >= 6 and token rlike '^[a-z0-9]+$'")
+    return graph.shared_token_edges(tokens)
+
+
+@query(f"WITH {_TOKENS} SELECT src, dst, term AS token FROM e")
+def shared_token_edges(spark, d):
+    return _token_edges(spark, d)
+
+
+@query(f"""WITH {_TOKENS}, p AS (SELECT src, dst, max(CASE WHEN a.source = b.source THEN 1 ELSE 0 END) AS same_kb, -count(*) AS priority FROM e JOIN documents a ON a.doc_id = src JOIN documents b ON b.doc_id = dst GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY priority, same_kb DESC, dst) AS rank FROM p) SELECT src, dst, priority::BIGINT AS priority, same_kb::BIGINT AS same_kb, rank FROM r WHERE rank <= 8""")
+def neighbor_top8(spark, d):
+    kb = table(spark, d, "documents").select("doc_id", "source")
+    e = _token_edges(spark, d).groupBy("src", "dst").agg((-F.count("*")).alias("priority"))
+    e = e.join(kb.select(F.col("doc_id").alias("src"), F.col("source").alias("ka")), "src").join(kb.select(F.col("doc_id").alias("dst"), F.col("source").alias("kb")), "dst")
+    capped = graph.capped_neighbors(e.withColumn("same_kb", (F.col("ka") == F.col("kb")).cast("long")))
+    return capped.select("src", "dst", "priority", "same_kb", F.col("rank").cast("long").alias("rank"))
+
+
+_RANKED = "SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, count(*) AS n FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2"
+
+
+def _part_edges(spark, d):
+    line = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")).where("src <> dst")
+    return retrieve.top(line.groupBy("src", "dst").agg(F.count("*").alias("n")), ["src"], [F.desc("n"), "dst"], 8)
+
+
+_EDGES = f"n AS ({_RANKED}), g AS (SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM n QUALIFY rank <= 8)"
+
+
+@query(f"""WITH {_EDGES}, z AS (SELECT 1 AS node, 0 AS hop, 1 AS ord UNION ALL SELECT 7, 0, 2),
+o AS (SELECT dst AS node, 1 AS hop, min(ord * 1000 + rank) AS ord FROM z JOIN g ON g.src = z.node WHERE dst NOT IN (SELECT node FROM z) GROUP BY 1), s1 AS (SELECT * FROM z UNION ALL SELECT * FROM o),
+t AS (SELECT dst AS node, 2 AS hop, min(ord * 1000 + rank) AS ord FROM o JOIN g ON g.src = o.node WHERE dst NOT IN (SELECT node FROM s1) GROUP BY 1)
+SELECT node, hop::BIGINT AS hop, ord::BIGINT AS ord, row_number() OVER (ORDER BY hop, ord, node) AS place FROM (SELECT * FROM s1 UNION ALL SELECT * FROM t) QUALIFY place <= 22""")
+def bfs_expand_budget(spark, d):
+    seeds = spark.sql("SELECT * FROM VALUES (1L, 1), (7L, 2) AS t(node, ord)")
+    return graph.expand(_part_edges(spark, d), seeds, 2, 22)
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.src <> b.dst")
+def two_hop_neighbors(spark, d):
+    e = _part_edges(spark, d)
+    far = e.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+    return e.join(far, F.col("dst") == F.col("mid")).where("src <> end").select("src", F.col("end").alias("dst")).distinct()
+
+
+_SAME_LINE = """k AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 80),
+m AS (SELECT line, min(doc_id) AS low FROM k GROUP BY 1), pair AS (SELECT DISTINCT doc_id AS a, low AS b FROM k JOIN m USING (line) WHERE doc_id <> low),
+dual AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT a, b FROM dual UNION SELECT r.a, e.b FROM reach r JOIN dual e ON r.b = e.a),
+comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY 1)"""
+
+
+def _copies(spark, d):
+    k = retrieve.lines(table(spark, d, "documents")).where("length(line) >= 80").select("doc_id", "line")
+    low = k.groupBy("line").agg(F.min("doc_id").alias("b"))
+    return graph.components(k.join(low, "line").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+
+
+@query(f"WITH RECURSIVE {_SAME_LINE} SELECT node, component FROM comp")
+def connected_components(spark, d):
+    return _copies(spark, d)
+
+
+@query(f"WITH RECURSIVE {_SAME_LINE}, c AS (SELECT component, count(*) AS size FROM comp GROUP BY 1) SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS place FROM c")
+def component_sizes(spark, d):
+    sizes = _copies(spark, d).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
+
+
+@query(f"WITH {_EDGES}, x AS (SELECT src AS n, dst AS o FROM g UNION SELECT dst, src FROM g), k AS (SELECT n AS node, count(*) AS degree FROM x GROUP BY 1) SELECT node, degree FROM k ORDER BY degree DESC, node LIMIT 8")
+def god_nodes(spark, d):
+    e = _part_edges(spark, d).select("src", "dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(8)
+
+
+@query(f"""WITH {_EDGES}, x AS (SELECT src AS n, dst AS o FROM g UNION SELECT dst, src FROM g), k AS (SELECT n % 5 AS community, n AS node, count(*) AS degree FROM x WHERE n % 5 = o % 5 GROUP BY 1, 2)
+SELECT community, node, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rank FROM k QUALIFY rank <= 5""")
+def top_files_per_community(spark, d):
+    e = _part_edges(spark, d).select("src", "dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().where("src % 5 = dst % 5")
+    degree = both.groupBy((F.col("src") % 5).alias("community"), F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return retrieve.top(degree, ["community"], [F.desc("degree"), "node"], 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, n FROM g WHERE src % 5 <> dst % 5 ORDER BY n DESC, src, dst LIMIT 20")
+def cross_community_bridges(spark, d):
+    return _part_edges(spark, d).where("src % 5 <> dst % 5").select("src", "dst", "n").orderBy(F.desc("n"), "src", "dst").limit(20)
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+s AS (SELECT doc_id, (no - 1) // 5 AS section, min(no) AS first, max(no) AS last FROM l GROUP BY 1, 2)
+SELECT doc_id AS source, section::BIGINT AS section, no::BIGINT AS symbol FROM s JOIN l USING (doc_id) WHERE no BETWEEN first AND last AND length(line) < 60""")
+def range_contains(spark, d):
+    own = retrieve.lines(table(spark, d, "documents"))
+    sections = own.groupBy(F.col("doc_id").alias("source"), F.floor((F.col("line_no") - 1) / 5).alias("section")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    symbols = own.where("length(line) < 60").select(F.col("doc_id").alias("source"), F.col("line_no").alias("symbol"), F.col("line_no").alias("line"))
+    return graph.range_contains(sections, symbols).select("source", "section", "symbol")
+
+
+@query("""WITH a AS (SELECT DISTINCT source, lang AS kb, (doc_id % 97)::BIGINT AS name FROM documents), k AS (SELECT doc_id AS target, source AS ts, lang AS tk, doc_id % 97 AS name FROM documents)
+SELECT a.source, a.kb, a.name, CASE WHEN count(*) FILTER (ts = a.source) = 1 THEN min(target) FILTER (ts = a.source) WHEN count(*) FILTER (tk = a.kb) = 1 THEN min(target) FILTER (tk = a.kb) WHEN count(target) = 1 THEN min(target) END AS target
+FROM a LEFT JOIN k USING (name) GROUP BY 1, 2, 3""")
+def tiered_resolution(spark, d):
+    docs = table(spark, d, "documents").withColumn("name", F.col("doc_id") % 97)
+    known = docs.select("name", F.col("doc_id").alias("target"), F.col("source").alias("t_source"), F.col("lang").alias("t_kb"))
+    return graph.tiered(docs.select("source", F.col("lang").alias("kb"), "name").distinct(), known)
+
+
+# ---- lifecycle and diagnostics
+
+_OLD = "SELECT doc_id AS path, n_chars AS size FROM documents WHERE doc_id % 7 <> 0"
+_NEW = "SELECT doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 5 <> 0"
+
+
+@query(f"SELECT path, CASE WHEN o.size IS NULL THEN 'added' WHEN n.size IS NULL THEN 'removed' ELSE 'changed' END AS state FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (path) WHERE o.size IS DISTINCT FROM n.size")
+def snapshot_diff(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("o"))
+    new = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n"))
+    both = old.join(new, "path", "full").where(~F.col("o").eqNullSafe(F.col("n")))
+    return both.select("path", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed").alias("state"))
+
+
+@query("SELECT source, sum(n_chars)::BIGINT AS chars, round(sum(n_chars) / (SELECT sum(n_chars) FROM documents), 6) AS share FROM documents GROUP BY 1 ORDER BY chars DESC, source LIMIT 10")
+def token_share_top(spark, d):
+    own = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").cast("long").alias("chars"))
+    total = own.agg(F.sum("chars").alias("all"))
+    return own.crossJoin(F.broadcast(total)).select("source", "chars", F.round(F.col("chars") / F.col("all"), 6).alias("share")).orderBy(F.desc("chars"), "source").limit(10)  # one row
+
+
+@query(f"WITH r AS ({bm25_sql('SELECT item_id AS query_id, text FROM benchmark', 10)}), e AS (SELECT item_id AS query_id, min(doc_id) AS want FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT query_id, want, min(rank) FILTER (doc_id = want) AS found_rank FROM e LEFT JOIN r USING (query_id) GROUP BY 1, 2")
+def probe_recall(spark, d):
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    want = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(asked), F.col("body").contains(F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("want"))
+    hits = retrieve.bm25(docs, asked, 10).select("query_id", "doc_id", "rank")
+    return want.join(hits, "query_id", "left").groupBy("query_id", "want").agg(F.min(F.when(F.col("doc_id") == F.col("want"), F.col("rank"))).cast("long").alias("found_rank"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (length(text) < 60) AS short, count(*) FILTER (NOT contains(lower(text), 'the')) AS no_token FROM documents GROUP BY 1")
+def snippet_flags(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.trim("text") == "").alias("empty"), F.count_if(F.length("text") < 60).alias("short"), F.count_if(~F.lower("text").contains("the")).alias("no_token"))
+
+
+@query("SELECT source, lang, count(*) AS pages FROM documents GROUP BY 1, 2")
+def page_kind_counts(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("pages"))
+
+
+@query(f"""WITH r AS ({bm25_sql('SELECT item_id AS query_id, text FROM benchmark', 10)}), {_grep_sql()}, found AS (SELECT DISTINCT doc_id FROM g),
+b AS (SELECT query_id, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM found)) AS shared FROM r GROUP BY 1)
+SELECT query_id, round(shared / (n + (SELECT count(*) FROM found) - shared), 6)::DOUBLE AS jaccard FROM b""")
+def mode_jaccard(spark, d):
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lexical = retrieve.grep(docs, WORDS).select("doc_id").distinct().withColumn("in", F.lit(1))
+    n = lexical.agg(F.count("*").alias("all"))
+    b = retrieve.bm25(docs, asked, 10).join(lexical, "doc_id", "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("in").alias("both"))
+    return b.crossJoin(F.broadcast(n)).select("query_id", F.round(F.col("both") / (F.col("n") + F.col("all") - F.col("both")), 6).alias("jaccard"))  # one row
+
+
+@query(f"""WITH {terms_sql('a', '(SELECT item_id AS query_id, text FROM benchmark)', 'query_id')}, q AS (SELECT DISTINCT query_id, term FROM a),
+{terms_sql('i', '(SELECT doc_id AS item, text FROM documents WHERE n_chars < 400)', 'item')}, it AS (SELECT DISTINCT item, term FROM i), sz AS (SELECT item, count(*) AS n FROM it GROUP BY 1),
+s AS (SELECT query_id, item, count(*) AS overlap FROM q JOIN it USING (term) GROUP BY 1, 2), c AS (SELECT query_id, item, (overlap + CASE WHEN overlap = n THEN 0.75 ELSE 0 END)::DOUBLE AS score FROM s JOIN sz USING (item))
+SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM c QUALIFY rank <= 6""")
+def query_expansion_rank(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    items = table(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("item"), F.array_distinct(T.terms(F.col("text"))).alias("t"))
+    hit = asked.join(items.select("item", F.size("t").alias("n"), F.explode("t").alias("term")), "term").groupBy("query_id", "item", "n").agg(F.count("*").alias("overlap"))
+    score = (F.col("overlap") + F.when(F.col("overlap") == F.col("n"), 0.75).otherwise(0.0)).cast("double")
+    return retrieve.top(hit.select("query_id", "item", score.alias("score")), ["query_id"], [F.desc("score"), "item"], 6).withColumn("rank", F.col("rank").cast("long"))

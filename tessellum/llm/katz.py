@@ -164,7 +164,9 @@ def _pairs(parts: int, n: int, v: int):
             a, b, c, d = cuts[p], cuts[p + 1], cuts_each[p], cuts_each[p + 1]
             own, some = pair[a:b], np.flatnonzero(mine == p)
             step = np.diff(h[own], prepend=0)
-            rows.append((p, _pack(step=step, ch=ch[own], w=w[own], cw=cw[own], docs=docs_of_pair[a:b], doc=doc[each[c:d]], times=times[c:d], ids=x["ids"], null=x["null"], train=x["train"], some=some, base=base[some], known=known[some], lengths=lengths[some])))
+            here = np.unique(np.r_[doc[each[c:d]], some])  # only the documents that this row speaks of
+            if len(here):
+                rows.append((p, _pack(step=step, ch=ch[own], w=w[own], cw=cw[own], docs=docs_of_pair[a:b], doc=np.searchsorted(here, doc[each[c:d]]), times=times[c:d], ids=x["ids"].astype(np.int64)[here], null=x["null"][here], train=x["train"][here], some=np.searchsorted(here, some), base=base[some], known=known[some], lengths=lengths[some])))
         return pd.DataFrame(rows, columns=["part", "pairs"])
 
     return run

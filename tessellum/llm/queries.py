@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, line_dedup, mixing, pii, quality, simhash, toxicity
+from . import bpe, fingerprint, katz, licenses, line_dedup, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,6 +70,7 @@ QUERIES = (
     op7_bpe_codec,
     op8_document_fingerprints,
     op9_toxicity,
+    op10_katz_scoring,
     pipeline,
 )
 

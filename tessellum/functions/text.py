@@ -19,11 +19,22 @@ def normalized(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Search terms with repeats: parts of ASCII tokens, then pairs of each CJK run (and short runs whole)."""
+    """Search terms with repeats, in no stated order: parts of ASCII tokens, and pairs of each CJK run (and short runs whole).
+
+    A token gives its parts of two characters or more that are no stopwords; one without such a part gives itself,
+    without dots and colons at its ends, unless it is a stopword. All patterns run over the whole text at once.
+    """
     text = F.coalesce(text, F.lit(""))
-    clean = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./:-]{2,}"), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), r"^[.:]+|[.:]+$", "")), lambda t: F.length(t) >= 2)
-    pieces = lambda t: F.filter(F.split(t, "[_./:-]+"), lambda p: (F.length(p) >= 2) & ~p.isin(*STOPWORDS))
-    ascii_terms = F.flatten(F.transform(clean, lambda t: F.when(F.size(pieces(t)) > 0, pieces(t)).when(~t.isin(*STOPWORDS), F.array(t)).otherwise(F.array().cast("array<string>"))))
+    tokens = F.lower(F.array_join(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./:-]{2,}"), F.lit(0)), " "))
+    stop = "|".join(STOPWORDS)
+    partless = rf"(?<![^ ])(?:[_./:-]+|(?:[a-z0-9]|{stop})(?![a-z0-9]))+(?![^ ])"
+    part = rf"(?<![a-z0-9])(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}"
+
+    def of(joined: Column) -> Column:
+        whole = F.transform(F.regexp_extract_all(joined, F.lit(partless), F.lit(0)), lambda t: F.regexp_replace(t, r"^[.:]+|[.:]+$", ""))
+        return F.concat(F.regexp_extract_all(joined, F.lit(part), F.lit(0)), F.filter(whole, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS)))
+
+    ascii_terms = F.flatten(F.transform(F.array(tokens), of))  # a name for ``tokens``, so that they are made once
     runs = F.regexp_extract_all(text, F.lit("[\\u3400-\\u9fff]{2,}"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.concat(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))), F.when(F.length(r) <= 6, F.array(r)).otherwise(F.array().cast("array<string>")))))
     return F.concat(ascii_terms, pairs)

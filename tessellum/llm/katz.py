@@ -20,7 +20,7 @@ Partitions grow in number with the tokens; only six counts of counts and two tot
 
 from __future__ import annotations
 
-import pickle
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,22 +35,43 @@ from pyspark.sql import functions as F
 
 from .common import Cut, crc_rest
 
-CHUNK, PART, HOT, K = 2_000_000, 3_000_000, 50_000, 5
+CHUNK, PART, HOT, K = 800_000, 1_500_000, 50_000, 5
 FOLD, HELD_OUT = 7, 2
 END, START = xxhash.xxh64_intdigest(b"\n"), 0  # no word is a line end
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    small = {}
-    for name, x in arrays.items():
+_CHUNK_WORDS = ("hashes", "counts", "at")
+_CHUNK_BODY = ("ids", "null", "train", "lengths", "flat", "end")
+_ANSWER = ("at", "names", "totals")
+_PAIRS = ("contexts", "context_counts", "context_pairs", "words", "word_counts", "w", "docs", "doc", "times", "ids", "null", "train", "some", "base", "known", "lengths")
+
+
+def _pack(fields: tuple[str, ...], /, **arrays: np.ndarray) -> bytes:
+    """The named arrays in order, integers as narrow as they may be and byte by byte, so that high bytes compress away."""
+    parts = []
+    for name in fields:
+        x = np.asarray(arrays[name])
         if x.dtype.kind in "iu" and len(x) and x.min() >= 0:
             x = x.astype(np.min_scalar_type(int(x.max())))
-        small[name] = x
-    return zstandard.compress(pickle.dumps(small, protocol=5), 3)
+        parts.append(_HEAD.pack(x.dtype.kind.encode(), x.itemsize, len(x)) + np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zstandard.compress(b"".join(parts), 3)
+
+
+_HEAD = struct.Struct("<cBI")
+
+
+def _unpack(names: tuple[str, ...], data: bytes) -> dict[str, np.ndarray]:
+    raw, at, out = zstandard.decompress(data), 0, {}
+    for name in names:
+        kind, width, n = _HEAD.unpack_from(raw, at)
+        at += _HEAD.size
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(f"{kind.decode()}{width}").ravel()
+        at += n * width
+    return out
 
 
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    return pickle.loads(zstandard.decompress(data))  # our own bytes, out of our own shuffle
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=0)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,7 +79,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, n, body, words): body packs documents and token numbers, words the sorted hashes with training counts."""
+    """Rows (chunk, n, body, words): body packs documents and token numbers, words the hashes of the list with training counts."""
     place, serial = TaskContext.get().partitionId(), 0
     names: dict[bytes, int] = {}
     docs: list[tuple[int | None, bool, np.ndarray]] = []
@@ -72,10 +93,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for _, _, t in docs])
         flat = number[np.concatenate([t for _, _, t in docs])]
         train = np.array([x for _, x, _ in docs])
+        order = np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")  # frequent words get short numbers
+        place_of = np.empty(len(order), np.int64)
+        place_of[order] = np.arange(len(order))
+        flat, listed = place_of[flat], listed[order]
         counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(listed))
         ids = np.array([0 if i is None else i for i, _, _ in docs], np.int64)
-        body = _pack(ids=ids, null=np.array([i is None for i, _, _ in docs]), train=train, lengths=lengths, flat=flat)
-        row = pa.RecordBatch.from_arrays([pa.array([(place << 24) + serial], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([body], pa.binary()), pa.array([_pack(hashes=listed, counts=counts)], pa.binary())], names=["chunk", "n", "body", "words"])
+        body = _pack(_CHUNK_BODY, ids=ids, null=np.array([i is None for i, _, _ in docs]), train=train, lengths=lengths, flat=flat, end=place_of[number[:1]])
+        words = _pack(_CHUNK_WORDS, hashes=listed, counts=counts, at=np.zeros(0, np.int64))
+        row = pa.RecordBatch.from_arrays([pa.array([(place << 24) + serial], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([body], pa.binary()), pa.array([words], pa.binary())], names=["chunk", "n", "body", "words"])
         serial += 1
         names.clear()
         docs.clear()
@@ -99,11 +125,11 @@ def _routed(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, words in zip(batch["chunk"], batch["words"]):
-                x = _unpack(words)
+                x = _unpack(_CHUNK_WORDS, words)
                 to = (x["hashes"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(parts + 1))
-                rows = [(p, chunk, _pack(hashes=x["hashes"][order[a:b]], counts=x["counts"][order[a:b]])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                rows = [(p, chunk, _pack(_CHUNK_WORDS, hashes=x["hashes"][order[a:b]], counts=x["counts"][order[a:b]], at=_steps(order[a:b]))) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pd.DataFrame(rows, columns=["part", "chunk", "words"])
 
     return run
@@ -113,7 +139,7 @@ def _counted(parts: int):
     """One partition of the word table: totals, numbers (1.. by falling count, in steps of ``parts``), answers for each chunk."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(w) for w in rows["words"]]
+        own = [_unpack(_CHUNK_WORDS, w) for w in rows["words"]]
         listed, number = np.unique(np.concatenate([x["hashes"] for x in own]), return_inverse=True)
         total = np.bincount(number, np.concatenate([x["counts"] for x in own]), len(listed)).astype(np.int64)
         place = np.empty(len(listed), np.int64)
@@ -123,7 +149,7 @@ def _counted(parts: int):
         for chunk, x in zip(rows["chunk"], own):
             mine = number[at : at + len(x["hashes"])]
             at += len(mine)
-            out.append((part, chunk, _pack(names=names[mine], totals=total[mine]), 0, 0))
+            out.append((part, chunk, _pack(_ANSWER, at=x["at"], names=names[mine], totals=total[mine]), 0, 0))
         out[0] = (*out[0][:3], int(total.sum()), int((total > 0).sum()))
         return pd.DataFrame(out, columns=["part", "chunk", "answer", "tokens", "known"])
 
@@ -134,14 +160,15 @@ def _pairs(parts: int, n: int, v: int):
     """A chunk and its answers -> (part, pairs): what each partition of the pair table gets."""
 
     def run(body: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        x, words = _unpack(body["body"].iloc[0]), _unpack(body["words"].iloc[0])["hashes"]
-        name, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        to = (words % np.uint64(parts)).astype(np.int64)
-        for part, data in zip(answers["part"], answers["answer"]):
-            got = _unpack(data)
-            name[to == part], count[to == part] = got["names"], got["totals"]
+        x, got = _unpack(_CHUNK_BODY, body["body"].iloc[0]), [_unpack(_ANSWER, a) for a in answers["answer"]]
+        n_words = sum(len(a["at"]) for a in got)
+        name, count = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+        for a in got:
+            at = np.cumsum(a["at"].astype(np.int64))
+            name[at], count[at] = a["names"], a["totals"]
+        del got
         flat, lengths = x["flat"].astype(np.int64), x["lengths"].astype(np.int64)
-        end = int(np.searchsorted(words, np.uint64(END)))
+        end = int(x["end"][0])
         w, cw = name[flat], count[flat]
         h, ch = np.r_[0, w[:-1]], np.r_[0, cw[:-1]]
         first = np.cumsum(lengths) - lengths
@@ -163,10 +190,16 @@ def _pairs(parts: int, n: int, v: int):
         for p in range(parts):
             a, b, c, d = cuts[p], cuts[p + 1], cuts_each[p], cuts_each[p + 1]
             own, some = pair[a:b], np.flatnonzero(mine == p)
-            step = np.diff(h[own], prepend=0)
             here = np.unique(np.r_[doc[each[c:d]], some])  # only the documents that this row speaks of
-            if len(here):
-                rows.append((p, _pack(step=step, ch=ch[own], w=w[own], cw=cw[own], docs=docs_of_pair[a:b], doc=np.searchsorted(here, doc[each[c:d]]), times=times[c:d], ids=x["ids"].astype(np.int64)[here], null=x["null"][here], train=x["train"][here], some=np.searchsorted(here, some), base=base[some], known=known[some], lengths=lengths[some])))
+            if not len(here):
+                continue
+            contexts, first_of, per_context = np.unique(h[own], return_index=True, return_counts=True)
+            listed, word_at, number = np.unique(w[own], return_index=True, return_inverse=True)
+            rows.append((p, _pack(
+                _PAIRS, contexts=_steps(contexts), context_counts=ch[own][first_of], context_pairs=per_context, words=_steps(listed), word_counts=cw[own][word_at], w=number, docs=docs_of_pair[a:b],
+                doc=np.searchsorted(here, doc[each[c:d]]), times=times[c:d], ids=x["ids"].astype(np.int64)[here], null=x["null"][here], train=x["train"][here],
+                some=np.searchsorted(here, some), base=base[some], known=known[some], lengths=lengths[some],
+            )))
         return pd.DataFrame(rows, columns=["part", "pairs"])
 
     return run
@@ -179,9 +212,9 @@ def _scored(n: int, v: int):
     """One partition of the pair table. kind 0: a document's own and seen part; 1: a context; 2: unseen pairs; 3: counts of counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(x) for x in rows["pairs"]]
-        h = np.concatenate([np.cumsum(x["step"].astype(np.int64)) for x in own])
-        w, ch, cw = (np.concatenate([x[c].astype(np.int64) for x in own]) for c in ("w", "ch", "cw"))
+        own = [_unpack(_PAIRS, x) for x in rows["pairs"]]
+        h, ch = (np.concatenate([np.repeat(f(x), x["context_pairs"].astype(np.int64)) for x in own]) for f in (lambda x: np.cumsum(x["contexts"].astype(np.int64)), lambda x: x["context_counts"].astype(np.int64)))
+        w, cw = (np.concatenate([f(x)[x["w"].astype(np.int64)] for x in own]) for f in (lambda x: np.cumsum(x["words"].astype(np.int64)), lambda x: x["word_counts"].astype(np.int64)))
         shift = np.cumsum([0, *(len(x["ids"]) for x in own)])
         of_pair = np.repeat(np.arange(len(h)), np.concatenate([x["docs"] for x in own]).astype(np.int64))
         doc = np.concatenate([x["doc"].astype(np.int64) + s for x, s in zip(own, shift)])
@@ -267,7 +300,7 @@ def score(docs: DataFrame) -> DataFrame:
     answers = Cut(routed.repartition(parts, "part").groupBy("part").applyInPandas(_counted(parts), "part int, chunk long, answer binary, tokens long, known long"), "lm-words")
     totals = answers.df.agg(F.sum("tokens"), F.sum("known")).first()
     n, v = totals[0] or 0, totals[1] or 0
-    routed = chunks.df.select("chunk", "body", "words").groupBy("chunk").cogroup(answers.df.select("part", "chunk", "answer").groupBy("chunk")).applyInPandas(_pairs(parts, n, v), "part int, pairs binary")
+    routed = chunks.df.select("chunk", "body").groupBy("chunk").cogroup(answers.df.select("part", "chunk", "answer").groupBy("chunk")).applyInPandas(_pairs(parts, n, v), "part int, pairs binary")
     figures = Cut(routed.repartition(parts, "part").groupBy("part").applyInPandas(_scored(n, v), _FIGURES), "lm-pairs").df
     chunks.drop()
     answers.drop()

@@ -5,10 +5,11 @@ line is one shingle). Lines without a word are layout and always stay. Equal lin
 line). Nodes get HASHES = BANDS x ROWS minima over all their shingles; nodes that agree on a band are candidates: two lines
 at the threshold meet with probability 1 - (1 - 0.8^3)^10 = 0.9992.
 
-Inside a bucket no set of all pairs is made: every member is verified against one hub (the line that occurs most often, as
-the source of a family of edited copies does). Where a bucket then still holds several components, another hub is taken,
-from outside the first one's component, until each bucket is one component or every member was a hub; what is left after
-HUB_ROUNDS is compared across components outright, so no link is lost to a cap.
+Inside a bucket every member is first verified against one hub (the line that occurs most often, as the source of a family
+of edited copies does). Where a bucket then still holds several components, another hub is taken, from outside the first
+one's component, until each bucket is one component or every member was a hub. What is left after HUB_ROUNDS is joined by
+prefixes instead: each set sorted from its rarest shingle, which finds every pair at the threshold without a bucket's pairs. Before texts are compared, a pair's minima are: pairs at the
+threshold agree in 24 of 30, and in fewer than AGREE once in some thousands.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .components import connected_components
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 10, 3, 0.8
 HASHES = BANDS * ROWS
 HUB_ROUNDS = 4
+#: Least number of equal minima of a pair that is verified, and shingles that one row of the signature step takes.
+AGREE, STEP = 14, 8
 #: Tables of at most so many rows of two or three numbers are sent to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 _random = random.Random(1)
@@ -35,26 +38,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _folded(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, folded, node) of every line that holds a word. Texts are folded whole, before they are split."""
+    folded = F.lower(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(folded, "\n", -1)).alias("pos", "line"))
+    return split.select("doc_id", "pos", F.trim("line").alias("folded")).where("folded <> ''").withColumn("node", F.xxhash64("folded"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, folded, node) of every line that holds a word."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    return split.select("doc_id", "pos", _folded(F.col("line")).alias("folded")).where("folded <> ''").withColumn("node", F.xxhash64("folded"))
+def _last(folded: Column) -> Column:
+    """Where the last shingle starts."""
+    return F.greatest(F.length(folded) - SHINGLE, F.lit(0))
 
 
-def _starts(n: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)))
+def _shingle(code: Column, at: Column) -> Column:
+    """The shingle at a place of a text in UTF-32, whose characters are all four bytes wide."""
+    return F.substring(code, 4 * at + 1, F.lit(4 * SHINGLE))
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(node, n, first, s0..): occurrences, least doc_id and minima of every distinct line. Partial minima form before the shuffle."""
-    wide = found.select("node", "doc_id", F.encode("folded", "UTF-32").alias("code"), F.length("folded").alias("chars"))
-    spread = wide.select("node", "doc_id", "code", F.explode(_starts(F.col("chars"))).alias("at"))
-    hashed = spread.select("node", "doc_id", (F.col("at") == 0).cast("long").alias("one"), F.hash(F.substring("code", 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("h"))
-    return hashed.groupBy("node").agg(F.sum("one").alias("n"), F.min("doc_id").alias("first"), *[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"s{j}") for j, p in enumerate(_POINTS)])
+    """(node, n, first, s0..): occurrences, least doc_id and minima of every distinct line. Partial minima form before the shuffle.
+
+    A row takes STEP neighbouring shingles; past the end the last one is taken again, which changes no minimum.
+    """
+    wide = found.select("node", "doc_id", F.encode("folded", "UTF-32").alias("code"), _last(F.col("folded")).alias("last"))
+    spread = wide.select("node", "doc_id", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
+    hashes = [F.hash(_shingle(F.col("code"), F.least(F.col("at") + i, F.col("last")))).alias(f"h{i}") for i in range(STEP)]
+    hashed = spread.select("node", "doc_id", (F.col("at") == 0).cast("long").alias("one"), *hashes)
+    least = [F.min(F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(p)) for i in range(STEP)])).alias(f"s{j}") for j, p in enumerate(_POINTS)]
+    return hashed.groupBy("node").agg(F.sum("one").alias("n"), F.min("doc_id").alias("first"), *least)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -65,17 +76,19 @@ def buckets(signed: DataFrame) -> DataFrame:
 
 
 def _shingles(folded: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(F.length(folded)), lambda i: F.xxhash64(F.substring(folded, i + 1, F.lit(SHINGLE)))))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(folded, "UTF-32")), lambda code: F.transform(F.sequence(F.lit(0), _last(folded)), lambda i: F.xxhash64(_shingle(code, i))))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
-    left = texts.select(F.col("node").alias("a2"), F.col("folded").alias("fa"))
-    right = texts.select(F.col("node").alias("b2"), F.col("folded").alias("fb"))
-    near = F.least(F.length("fa"), F.length("fb")) + SHINGLE >= THRESHOLD * F.greatest(F.length("fa"), F.length("fb")) * 0.5
-    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2")).where(near)
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more. texts: node, folded, s0.."""
+    minima = [f"s{j}" for j in range(HASHES)]
+    left = texts.select(F.col("node").alias("a2"), F.col("folded").alias("fa"), *[F.col(c).alias(f"a{c}") for c in minima])
+    right = texts.select(F.col("node").alias("b2"), F.col("folded").alias("fb"), *[F.col(c).alias(f"b{c}") for c in minima])
+    agree = sum(((F.col(f"a{c}") == F.col(f"b{c}")).cast("int") for c in minima), F.lit(0))
+    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2")).where(agree >= AGREE)
     sets = both.select("a", "b", _shingles(F.col("fa")).alias("x"), _shingles(F.col("fb")).alias("y"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
+    sized = sets.where(F.least(F.size("x"), F.size("y")) >= THRESHOLD * F.greatest(F.size("x"), F.size("y")))
+    shared = sized.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
     return shared.where(F.col("shared") >= THRESHOLD * (F.col("sum") - F.col("shared"))).select("a", "b")
 
 
@@ -89,9 +102,11 @@ def components(found: DataFrame, signed: DataFrame) -> DataFrame:
     candidates = Cut(candidates, "line-candidates").df
     # one text for each candidate; equal nodes have equal texts
     texts = found.join(_small(candidates), F.col("node") == F.col("node2"), "left_semi").select("node", "folded").distinct()
-    texts = Cut(texts.groupBy("node").agg(F.min("folded").alias("folded")), "line-texts").df
+    minima = signed.join(_small(candidates), F.col("node") == F.col("node2"), "left_semi").select(F.col("node").alias("node3"), *[f"s{j}" for j in range(HASHES)])
+    texts = Cut(texts.join(minima, F.col("node") == F.col("node3")).drop("node3"), "line-texts").df
     edges = None
-    for turn in range(HUB_ROUNDS):
+    now = now.withColumn("own", F.col("node"))
+    for _ in range(HUB_ROUNDS):
         pairs = now.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         new = Cut(verified(pairs, texts), "line-edges").df
         edges = new if edges is None else edges.unionByName(new)
@@ -117,7 +132,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     One line of each component stays: the first one (lowest position) in the document with the least id.
     """
-    found = lines(docs)
+    found = Cut(lines(docs), "lines").df
     signed = Cut(signatures(found), "line-signatures").df
     parts = components(found, signed)
     named = signed.select("node", "n", "first").join(parts.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")

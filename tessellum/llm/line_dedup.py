@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Cut
@@ -122,9 +122,26 @@ def components(found: DataFrame, signed: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return parts
         now = Cut(rest.join(_small(open_), F.col("key") == F.col("key2")).select("key", "node", "weight", "own", "hub"), "line-buckets").df
-    one, two = now.select("key", F.col("node").alias("a"), F.col("own").alias("oa")), now.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("own").alias("ob"))
-    left = one.join(two, (F.col("key") == F.col("key2")) & (F.col("oa") != F.col("ob")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    return connected_components(edges.unionByName(Cut(verified(left, texts), "line-edges").df), "a", "b")
+    left = Cut(_sharing_rare(now.select("node", "own").distinct(), texts), "line-rest").df
+    new = Cut(verified(left, texts), "line-edges").df
+    return connected_components(new if edges is None else edges.unionByName(new), "a", "b")
+
+
+def _sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the rest (node, own) that can reach THRESHOLD, by prefixes of their sets.
+
+    With each set sorted from its rarest shingle, two sets at the threshold share one among their first n - ceil(0.8 n) + 1.
+    """
+    own = rest.join(texts.select(F.col("node").alias("n2"), "folded"), F.col("node") == F.col("n2"))
+    sets = own.select("node", "own", _shingles(F.col("folded")).alias("x")).withColumn("most", F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1)
+    single = Cut(sets.select("node", "own", "most", F.explode("x").alias("t")), "line-rare").df
+    often = single.groupBy("t").agg(F.count("*").alias("often")).withColumnRenamed("t", "t2")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "t"))  # one line's shingles
+    prefix = single.join(often, F.col("t") == F.col("t2")).withColumn("place", place).where("place <= most and often > 1")
+    prefix = Cut(prefix.select("t", "node", "own"), "line-prefix").df
+    other = prefix.select(F.col("t").alias("t2"), F.col("node").alias("b"), F.col("own").alias("ob"))
+    met = prefix.join(other, (F.col("t") == F.col("t2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b")))
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:

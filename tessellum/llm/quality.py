@@ -3,7 +3,8 @@
 Statistics of every whole text give a transformed vector (log length, log word length, log symbol rate, shares of repeated
 lines and words). Per language and source a minimum-covariance-determinant estimate is found by concentration steps: from
 medians and median deviations, take the three quarters of the rows that lie nearest, estimate mean and covariance from
-them, measure again, and so on. A row is rejected if its squared Mahalanobis distance is beyond the cutoff.
+them, measure again, and so on. The covariance is then scaled, up or down, so that the three quarters that lie nearest are
+as near as those of a normal distribution, and a row is rejected if its squared Mahalanobis distance is beyond the cutoff.
 
 Vectors are whole thousandths and their moments decimals, so sums do not depend on the order of tasks and reruns agree.
 Groups meet as moments and histograms only (combined before the shuffle); no group's rows are gathered, however many.
@@ -18,9 +19,10 @@ from .common import Cut, words
 
 P, UNIT = 5, 1000.0
 HALF, STEPS = 0.75, 3
-#: Quantile HALF of chi-square with P degrees of freedom, and the cutoff, far in its tail: only gross outliers go.
-CHI_HALF, CUTOFF = 6.6257, 60.0
-#: Least standard deviation of each coordinate, so that a statistic that never varies in a group rejects no small change.
+#: Quantile HALF of chi-square with 1 to P degrees of freedom, and its quantile 0.999 with P, beyond which rows are rejected.
+CHI_HALF, CUTOFF = (1.3233, 2.7726, 4.1083, 5.3853, 6.6257), 20.515
+#: Least standard deviation of each coordinate (beside those before it), so that a statistic that never varies in a group
+#: rejects no small change. A minimum: larger deviations stay as they are.
 FLOOR = (0.5, 0.1, 1.0, 0.1, 0.05)
 #: Smaller groups are estimated together: all small groups of a language, then all that is left.
 LEAST = 100
@@ -76,19 +78,26 @@ def _distance() -> Column:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Per group g: mean m<i> and Cholesky factor l<i><j> of the covariance, exact up to the last division."""
+    """Per group g: mean m<i> and covariance c<i><j>, exact up to the last division."""
     exact = lambda c: F.sum(c.cast("decimal(28,0)"))
     sums = rows.groupBy("g").agg(F.count("*").alias("n"), *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)], *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
     out = sums.select("g", "n", *[(F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}") for i in range(P)], *[F.col(f"q{i}{j}").cast("double").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
+    return out.select("g", *[f"m{i}" for i in range(P)], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+
+
+def _factor(moments: DataFrame, scale: Column) -> DataFrame:
+    """Adds the Cholesky factor l<i><j> of the covariance times ``scale``, no l<i><i> below FLOOR, and how many are above it (free)."""
+    out, free = moments, F.lit(0)
     for i in range(P):
         for j in range(i + 1):
-            value = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + F.lit((FLOOR[i] * UNIT) ** 2)
+            value = F.col(f"c{i}{j}") * scale
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1.0))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.drop(*[f"q{i}{j}" for i in range(P) for j in range(i + 1)])
+            least = (FLOOR[i] * UNIT) ** 2
+            if i == j:
+                free = free + (value > least).cast("int")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(least))) if i == j else value / F.col(f"l{j}{j}"))
+    return out.withColumn("free", free)
 
 
 def _nearest(measured: DataFrame) -> DataFrame:
@@ -141,14 +150,17 @@ def verdicts(docs: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         measured = _with(vectors, plan).withColumn("d2", _distance())
         near = Cut(_nearest(measured), "mcd").df
-        plan = Cut(_moments(_with(measured, near).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)])), "mcd").df
-    near = Cut(_nearest(_with(vectors, plan).withColumn("d2", _distance())), "mcd").df
-    final = Cut(plan.join(near, "g").join(vectors.groupBy("g").agg(F.count("*").alias("rows")), "g"), "mcd").df
+        moments = _moments(_with(measured, near).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)]))
+        plan = Cut(_factor(moments, F.lit(1.0)), "mcd").df
+    near = _nearest(_with(vectors, plan).withColumn("d2", _distance()))
+    # coordinates held at FLOOR add next to nothing to distances: the quantile is that of the free ones
+    scale = F.when(F.col("free") > 0, F.col("within") / F.element_at(F.array(*map(F.lit, CHI_HALF)), F.greatest("free", F.lit(1)))).otherwise(1.0)
+    scaled = plan.join(near, "g").withColumn("scale", scale).drop("free", *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    final = Cut(_factor(scaled, F.col("scale")).join(vectors.groupBy("g").agg(F.count("*").alias("rows")), "g"), "mcd").df
     named = rows.withColumn("gs", F.concat_ws("/", _key("lang"), _key("source"))).select("*", *_vector()).join(names, "gs", "left")
     few = final.count() <= BROADCAST_ROWS
     judged = named.join(F.broadcast(final) if few else final, "g", "left")
-    # a pool's spread is set to that of its nearest three quarters
-    distance = F.when(~F.col("base_failed") & (F.col("rows") >= LEAST), _distance() * F.least(F.lit(1.0), F.lit(CHI_HALF) / F.col("within")))
+    distance = F.when(~F.col("base_failed") & (F.col("rows") >= LEAST), _distance())
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -166,6 +166,25 @@ def test_quality(spark, frame, odd, empty):
     assert quality.verdicts(odd).count() == 8 and quality.verdicts(empty).count() == 0
 
 
+def test_quality_rejects_by_symbols_alone(spark, frame):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    normal = [(i, " ".join(words(rng.randrange(150, 250)))) for i in range(300)]
+    odd = " ".join(w if k % 2 else "#" * len(w) for k, w in enumerate(words(200)))
+    got = {r["doc_id"]: r for r in quality.verdicts(frame([*normal, (999, odd)])).collect()}
+    assert not got[999]["base_failed"] and [i for i, r in got.items() if not r["kept"]] == [999]
+
+
+def test_quality_distances_follow_chi_square(spark, frame, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = [(i, *map(int, 1000 * (5 + 2 * v))) for i, v in enumerate(rng.standard_normal((4000, quality.P)))]
+    rows = spark.createDataFrame(vectors, "doc_id long, a0 long, a1 long, a2 long, a3 long, a4 long")
+    monkeypatch.setattr(quality, "statistics", lambda d: d.selectExpr("*", "'en' lang", "'a' source", "100L n_words", "500L word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words", "false base_failed"))
+    monkeypatch.setattr(quality, "_vector", lambda: [quality.F.col(f"a{k}").alias(f"x{k}") for k in range(quality.P)])
+    d2 = [r["distance"] for r in quality.verdicts(rows).collect()]
+    assert np.quantile(d2, 0.75) == pytest.approx(quality.CHI_HALF[-1], rel=0.1) and sum(d > quality.CUTOFF for d in d2) < 20
+
+
 # ---- op7
 
 

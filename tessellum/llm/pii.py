@@ -1,9 +1,11 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
-Entities are the texts of the base spans (email, ip, card, phone). A context is a line. From the whole corpus come N (lines),
-c(e) and c(t) (lines with an entity, with a term) and c(t, e). An entity tells IC(e) = log2(N / c(e)); a term seen near it
-tells PMI(t, e) = log2(c(t, e) N / (c(t) c(e))) of that. A term whose share PMI / IC reaches ``GENERALISE`` is generalised
-(its letters masked), from ``REMOVE`` on it is removed, wherever it stands beside that entity. A share needs SUPPORT lines.
+Entities are the texts of the base spans (email, ip, card, phone). A context is a document. From the whole corpus come N
+(documents), c(e) and c(t) (documents with an entity, with a term) and c(t, e). An entity tells IC(e) = log2(N / c(e)); a term
+seen with it tells PMI(t, e) = log2(c(t, e) N / (c(t) c(e))) of that. The share PMI / IC is smoothed by the evidence for it:
+times c(t, e) / (c(t, e) + SMOOTH), so no pair is left out for being rare. A term whose share reaches ``GENERALISE`` is
+generalised (its letters masked), from ``REMOVE`` on it is removed, wherever it stands in a document that holds the entity.
+An entity that all documents hold tells nothing, and no term is judged by it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Cut
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-GENERALISE, REMOVE, SUPPORT = 0.5, 0.9, 3
+#: SMOOTH: a pair that always meets is generalised when it is met in one or two documents, and removed from three on.
+GENERALISE, REMOVE, SMOOTH = 0.5, 0.9, 0.25
 #: Candidate terms up to this many are sent to every executor; more are joined by shuffle instead.
 BROADCAST_TERMS = 200_000
 
@@ -29,7 +32,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -66,49 +69,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, line start) for every term in a line with a base span, outside the spans."""
-    by_line: dict[int, list[tuple[str, int, int]]] = {}
-    for kind, start, end in spans:
-        by_line.setdefault(text.rfind("\n", 0, start) + 1, []).append((kind, start, end))
-    for line, own in by_line.items():
-        stop = text.find("\n", line)
-        entities = sorted({f"{k}:{text[a:b].lower()}" for k, a, b in own})
-        for m in _TERM.finditer(text, line, len(text) if stop < 0 else stop):
-            if not any(a < m.end() and m.start() < b for _, a, b in own):
-                for e in entities:
-                    yield e, m[0].lower(), m.start(), m.end(), line
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) for every term outside the spans of a text that has any, in order."""
+    covered, k = sorted((a, b) for _, a, b in spans), 0
+    for m in _TERM.finditer(text) if spans else ():
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or covered[k][0] >= m.end():
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32())]))
+    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        ids, columns = [], ([], [], [], [], [], [], [], [])
+        ids, columns = [], ([], [], [], [], [], [], [])
         for doc_id, value in zip(batch.column(0), batch.column(1)):
             text = value.as_py() or ""
             spans = base_spans(text)
             counts = Counter(k for k, _, _ in spans)
             ids.append(doc_id.as_py())
-            lines = len({text.rfind("\n", 0, a) for _, a, _ in spans})
-            found = [dict(zip(("entity", "term", "start", "end", "line"), c)) for c in contexts(text, spans)]
-            entities = sorted({(f"{k}:{text[a:b].lower()}", text.rfind("\n", 0, a)) for k, a, b in spans})
-            row = (*(counts[k] for k in KINDS[:4]), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), text.count("\n") + 1, found, [e for e, _ in entities])
+            found = [dict(zip(("term", "start", "end"), c)) for c in contexts(text, spans)]
+            entities = sorted({f"{k}:{text[a:b].lower()}" for k, a, b in spans})
+            row = (*(counts[k] for k in KINDS[:4]), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), found, entities)
             for column, x in zip(columns, row):
                 column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), near, pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "lines", "near", "entities"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), near, pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "entities"])
 
 
-def _term_lines(known: frozenset[str] | None):
-    """Lines that hold each term, counted over a batch; of all terms, or of the known ones."""
+def _term_documents(known: frozenset[str] | None):
+    """Documents that hold each term, counted over a batch; of all terms, or of the known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for value in batch.column(0):
-                for line in (value.as_py() or "").split("\n"):
-                    terms = set(_TERM.findall(line.lower()))
-                    counts.update(terms if known is None else terms & known)
+                terms = {t.lower() for t in set(_TERM.findall(value.as_py() or ""))}
+                counts.update(terms if known is None else terms & known)
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
 
     return run
@@ -117,31 +114,36 @@ def _term_lines(known: frozenset[str] | None):
 def detect(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, spans (all spans as kind:start:end, comma-joined), one row an input row.
 
-    A null text is empty; empty tables give no rows; repeated rows count as lines of their own. Offsets are code points.
+    A null text is empty; empty tables give no rows; repeated rows count as documents of their own. Offsets are code points.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, lines long, near array<struct<entity:string,term:string,start:int,end:int,line:int>>, entities array<string>"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,start:int,end:int>>, entities array<string>"
     found = Cut(texts.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id()), "pii").df
-    total = found.agg(F.sum("lines")).first()[0] or 0
+    total = found.count()
     near = found.select("row", F.explode("near").alias("c")).select("row", "c.*")
-    joint = near.groupBy("entity", "term", "row", "line").count().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    joint = Cut(joint, "joint").df
+    holds = found.select("row", F.explode("entities").alias("entity"))
+    # entities of the same documents have the same shares: they are one, so lists of addresses do not multiply the terms
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "row")).cast("string") for k in (1, 2)]
+    entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), F.concat_ws(":", *same).alias("at"))
+    entity = holds.join(entity, "entity").select("row", F.concat_ws(":", "n_entity", "at").alias("entity"), "n_entity").distinct()
+    entity = Cut(entity, "entity").df
+    terms = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
+    joint = Cut(entity.join(terms, "row").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both")), "joint").df
     wanted = joint.select("term").distinct()
-    entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # checked: beyond it all terms are counted and joined
     known = frozenset(r["term"] for r in wanted.collect()) if few else None
-    lines = texts.select("text").mapInArrow(_term_lines(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    shares = joint.join(entity, "entity").join(lines, "term")
+    counted = texts.select("text").mapInArrow(_term_documents(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    share = pmi / F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    told = shares.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    share = pmi / F.nullif(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(0.0)) * F.col("both") / (F.col("both") + SMOOTH)
+    told = joint.join(counted, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
     told = Cut(told, "told").df
-    marks = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    told = entity.join(told, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+    marks = near.join(told, ["row", "term"])
     kind = F.when(F.col("share") >= REMOVE, F.lit(1)).otherwise(F.lit(0))
     marks = marks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("m"))  # of one text
     named = F.transform("m", lambda x: F.concat_ws(":", F.when(x["kind"] == 1, F.lit("remove")).otherwise(F.lit("generalise")), x["start"], x["end"]))
     marks = marks.select(F.col("row").alias("row2"), F.array_join(named, ",").alias("more"))
-    out = found.drop("near", "entities", "lines").join(marks, F.col("row") == F.col("row2"), "left")
+    out = found.drop("near", "entities").join(marks, F.col("row") == F.col("row2"), "left")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"))
 
 

@@ -99,6 +99,17 @@ def test_pii_rows(spark, frame, odd, empty):
     assert pii.detect(spark, odd).count() == 8 and pii.detect(spark, empty).count() == 0
 
 
+def test_pii_of_rare_entities(spark, frame):
+    rare = "Wu Quillfeather\nj.m@x.org\nplain words\n\nlater Quillfeather again"
+    rows = [(k, f"plain words and later again number {k}") for k in range(40)] + [(100, rare), (101, "Wu plain")]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark, frame(rows)).collect()}
+    assert got[100] == "email:16:25,generalise:0:2,generalise:3:15,generalise:45:57" and got[101] == got[0] == ""
+    often = [(100 + k, rare) for k in range(3)]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark, frame(rows[:40] + often)).collect()}
+    assert got[101] == "email:16:25,remove:0:2,remove:3:15,remove:45:57"
+    assert pii.detect(spark, frame([(1, "me a@b.cc"), (2, "you a@b.cc")])).count() == 2
+
+
 # ---- op4
 
 

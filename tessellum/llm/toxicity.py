@@ -31,11 +31,14 @@ REMEMBERED = 500_000
 FOLD, HELD_OUT = 5, 0
 
 
-def buckets(word: bytes) -> list[int]:
-    """The hashed n-grams of a word with borders, and the word itself."""
+def buckets(word: bytes) -> np.ndarray | list[int]:
+    """The hashed n-grams of a word with borders, whatever its length, and the word itself; packed if there are many."""
     full = b"<" + word + b">"
     digest = xxhash.xxh32_intdigest
-    found = [digest(full[i : i + n], n) % BUCKETS for n in GRAMS for i in range(len(full) - n + 1)] if len(full) <= 64 else []
+    grams = (digest(full[i : i + n], n) % BUCKETS for n in GRAMS for i in range(len(full) - n + 1))
+    if len(full) > 64:
+        return np.append(np.fromiter(grams, np.int32), np.int32(digest(full, 1) % BUCKETS))
+    found = list(grams)
     found.append(digest(full, 1) % BUCKETS)
     return found
 

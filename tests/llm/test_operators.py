@@ -252,3 +252,13 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert right >= 0.9 * len(rows)
     assert toxicity.score(spark, odd, model).count() == 8 and toxicity.score(spark, empty, model).count() == 0
     assert toxicity.train(docs.limit(0), labels).bias == -4.0
+
+
+def test_words_of_any_length():
+    assert len(toxicity.buckets("字".encode() * 40)) == 122 - 2 + 122 - 3 + 122 - 4 + 1
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(300)]
+    text = lambda bad: "".join(rng.choice(letters) + ("毒" if bad and k % 4 == 0 else "") for k in range(60))
+    toxic = [k % 2 for k in range(120)]
+    scorer = toxicity.Scorer(toxicity.fit([text(t) for t in toxic], np.array(toxic)))
+    assert all((scorer.score(text(t)) >= 0.5) == bool(t) for t in toxic)

@@ -145,6 +145,16 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == 8 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_fills_past_what_does_not_fit(spark):
+    for long in (3, 4, 5):  # ids whose blocks stand in different places
+        sizes = {i: 24_000 if i == long else 40 for i in range(400)}
+        rows = [(i, "w " * n, "en", "a", 0) for i, n in sizes.items()] + [(1000 + i, "w " * 5000, "en", "bbcc"[i], 0) for i in range(4)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+        own = [r for r in got if r["doc_id"] < 1000]
+        target, taken = own[0]["target"], sum(r["taken"] for r in own)
+        assert abs(taken - target) <= 40, (long, target, taken)
+
+
 # ---- op5
 
 

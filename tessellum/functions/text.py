@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..conf import STOPWORDS
 
+# Patterns whose matches results must agree on.
 PATH_REF = r"(?U)[\w./*+-]+\.[A-Za-z0-9]+|[\w./*+-]+/[\w./*+-]+"
 HREF = r"""(?i)href=["']([^"']+)["']"""
 MD_LINK = r"\[[^\]]+\]\(([^)]+)\)"
+CODE_SPAN = r"`([A-Za-z_][A-Za-z0-9_]*)`"
+CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 
 
 def normalized(text: Column) -> Column:
@@ -65,6 +68,7 @@ def graph_token(token: Column) -> Column:
 
 
 def stem_tokens(stem: Column) -> Column:
+    """Parts of a file's stem of three characters or more, each once."""
     return F.array_distinct(F.filter(F.split(F.lower(stem), r"[_\-.]"), lambda x: F.length(x) >= 3))
 
 

@@ -2,12 +2,112 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import CONF, EngineConf
 
 
+_HEAD = re.compile(r"\*\*(.+?)\*\*\s+`\[(\d{4}-\d\d-\d\d\s+\d\d:\d\d:\d\d)\]`")
+_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\.(?:png|jpe?g|gif|webp|bmp)\)", re.I)
+# What an export adds to messages, and what its system sender says.
+MARKERS = (("📸 `", "加密高级图片"), ("📦 `", "未知格式内建消息"))
+EXPORTED, CDATA, PAYLOADS = "> 导出时间", "<![CDATA[", ("<template>", "<link_list>", "<memberlist>", "<plain>")
+SYSTEM, NOTICES = "系统提示", ("撤回了一条消息", "邀请你加入了群聊", "加入了群聊", "移出了群聊", "修改群名为", "更换了群头像", "拍了拍", "开启了群待办", "结束了群待办")
+
+
+def said(line: str) -> bool:
+    """Whether a trimmed line of an export is something a person wrote."""
+    if not line or line == "---" or line.startswith(EXPORTED) or _IMAGE.fullmatch(line):
+        return False
+    if any(line.startswith(start) and part in line for start, part in MARKERS):
+        return False
+    return not (CDATA in line and any(x in line for x in PAYLOADS))
+
+
+def parse(text: str) -> list[dict]:
+    """Messages (sender, ts, content, first, last) of an exported chat: a header line ``**sender** `[time]``` and what follows.
+
+    What comes before the first header, lines nobody wrote, empty messages and notices of the system are left out. A time
+    that is none is None.
+    """
+    out: list[dict] = []
+    for no, raw in enumerate((text or "").split("\n"), 1):
+        line = raw.strip()
+        head = _HEAD.match(raw)
+        if head:
+            try:
+                ts = datetime.strptime(" ".join(head[2].split()), "%Y-%m-%d %H:%M:%S")
+            except ValueError:
+                ts = None
+            out.append({"sender": head[1], "ts": ts, "lines": [], "first": no, "last": no})
+        elif out and line:
+            out[-1]["last"] = no
+            if said(line):
+                out[-1]["lines"].append(line)
+    kept = [m | {"content": "\n".join(m.pop("lines"))} for m in out]
+    return [m for m in kept if m["content"] and not (m["sender"] == SYSTEM and any(n in m["content"] for n in NOTICES))]
+
+
+def windows_of(messages: list[dict], conf: EngineConf = CONF) -> list[list[dict]]:
+    """Anchored windows of messages in order, merged from the left: the rules of ``anchored_windows`` and ``merged_windows`` for one export.
+
+    A message without a time joins the window before it.
+    """
+    wide, quiet = timedelta(minutes=conf.window_minutes), timedelta(minutes=conf.quiet_minutes)
+    anchored: list[list[dict]] = []
+    anchor = None
+    for m in messages:
+        if not anchored or (m["ts"] and anchor and m["ts"] - anchor > wide):
+            anchored.append([])
+            anchor = m["ts"]
+        anchor = anchor or m["ts"]
+        anchored[-1].append(m)
+    size = lambda w: sum(len(x["content"]) for x in w)
+    times = lambda w: [x["ts"] for x in w if x["ts"]]
+    out: list[list[dict]] = []
+    for w in anchored:
+        last = out[-1] if out else None
+        if last is not None:
+            a, b = size(last), size(w)
+            gap = times(w)[0] - times(last)[-1] > quiet if times(w) and times(last) else False
+            if a + b <= conf.max_chars and not (a >= conf.min_chars and b >= conf.min_chars) and not gap:
+                last += w
+                continue
+        out.append(list(w))
+    return out
+
+
+def chunk_specs(messages: list[dict], size: int, overlap: int, conf: EngineConf = CONF) -> Iterator:
+    """A chunk for each window: ``[HH:MM] sender: content`` a message, labelled with its first and last minute; long ones packed by lines."""
+    from .chunk import Piece, sized
+
+    def pieces() -> Iterator[Piece]:
+        for n, w in enumerate(windows_of(messages, conf), 1):
+            times = [x["ts"] for x in w if x["ts"]]
+            label = f"{times[0]:%Y-%m-%d %H:%M} ~ {times[-1]:%Y-%m-%d %H:%M}" if times else f"window {n}"
+            text = "\n".join(f"[{x['ts']:%H:%M}] {x['sender']}: {x['content']}" if x["ts"] else f"[?] {x['sender']}: {x['content']}" for x in w)
+            yield Piece(text, w[0]["first"], w[-1]["last"], label, "chat")
+
+    return sized(pieces(), size, overlap)
+
+
+def messages(files: DataFrame) -> DataFrame:
+    """(rel_path, n, sender, ts, content, line_start, line_end) of the chat exports among ``files`` (rel_path, text); map side only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, n, m["sender"], m["ts"], m["content"], m["first"], m["last"]) for path, text in zip(batch["rel_path"], batch["text"]) for n, m in enumerate(parse(text), 1)]
+            yield pd.DataFrame(rows, columns=["rel_path", "n", "sender", "ts", "content", "line_start", "line_end"]).astype({"ts": "datetime64[us]"})
+
+    return files.select("rel_path", "text").mapInPandas(run, "rel_path string, n long, sender string, ts timestamp_ntz, content string, line_start long, line_end long")
+
+
 def anchored_windows(messages: DataFrame, key: str, minutes: int = CONF.window_minutes) -> DataFrame:
     """(key, window_no, first_ts, last_ts, n, chars): a window takes messages (key, ts, id, chars) up to ``minutes`` after its first.
 

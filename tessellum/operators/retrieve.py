@@ -53,12 +53,21 @@ def grep(docs: DataFrame, keywords: list[str]) -> DataFrame:
 
 
 def grep_context(docs: DataFrame, keywords: list[str], around: int = CONF.context_lines) -> DataFrame:
-    """Hits with the lines around them, cut from the row's own text."""
-    split = F.split("text", "\n", -1)
-    hit = grep(docs, keywords).select("doc_id", "line_no", "score")
-    own = docs.select(F.col("doc_id").alias("id2"), split.alias("all"))
-    first = F.greatest(F.lit(1), F.col("line_no").cast("int") - around)
-    return hit.join(own, F.col("doc_id") == F.col("id2")).select("doc_id", "line_no", "score", F.array_join(F.slice("all", first, F.col("line_no").cast("int") + around - first + 1), "\n").alias("snippet"))
+    """(doc_id, line_no, score, snippet): hits with the lines around them, cut from the row's own text before it is exploded."""
+    all_ = F.split("text", "\n", -1)
+    cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.struct((i + 1).cast("long").alias("line_no"), F.get("all", i).alias("line"), i.alias("i")))
+    low = [k.lower() for k in keywords]
+
+    def held(x: Column) -> Column:
+        out = F.lit(False)
+        for k in low:
+            out = out | F.contains(F.lower(x["line"]), F.lit(k))
+        return out
+
+    shown = lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.array_join(F.slice("all", F.greatest(x["i"] + 1 - around, F.lit(1)), F.least(x["i"], F.lit(around)) + around + 1), "\n").alias("snippet"))
+    hits = docs.select("doc_id", all_.alias("all")).select("doc_id", F.explode(F.transform(F.filter(cut, held), shown)).alias("h")).select("doc_id", "h.*")
+    scores = F.array(*[T.line_score(F.col("line"), k) for k in keywords])
+    return hits.withColumn("s", scores).select("doc_id", "line_no", F.round(F.array_max("s") + 0.05 * F.size(F.filter("s", lambda v: v > 0)), 6).alias("score"), "snippet")
 
 
 def glob(files: DataFrame, patterns: list[str]) -> DataFrame:
@@ -74,14 +83,22 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: d(x, y) * d(x, y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """(query_id, vec_id, distance, rank): exact nearest neighbours of a stated, small set of queries (query_id, q[, same]).
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, conf: EngineConf = CONF) -> DataFrame:
+    """(query_id, vec_id, distance, rank): exact nearest neighbours of a stated set of queries (query_id, q[, q_<same>]).
 
-    Each task keeps the k best of its rows per query before the shuffle, so k rows a task and query move.
+    Queries are counted and sent in blocks of ``conf.block``; each task keeps the k best of its rows per query before the
+    shuffle, so k rows a task and query move.
     """
-    near = vectors.join(F.broadcast(queries), F.lit(True) if same is None else F.col(same) == F.col("q_" + same))
-    near = near.select("query_id", "vec_id", squared_l2(F.col("embedding"), F.col("q")).alias("distance")).withColumn("distance", F.round("distance", 6))
-    return top(near, ["query_id"], ["distance", "vec_id"], k)
+    n = queries.count()
+    parts = max(1, -(-n // conf.block))
+    out = None
+    for i in range(parts):
+        block = F.broadcast(queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))
+        near = vectors.join(block, F.lit(True) if same is None else F.col(same) == F.col("q_" + same))
+        near = near.select("query_id", "vec_id", F.round(squared_l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
+        found = top(near, ["query_id"], ["distance", "vec_id"], k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def fuse(hits: DataFrame, k: int, conf: EngineConf = CONF) -> DataFrame:

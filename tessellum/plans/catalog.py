@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store, wiki
 from ..conf import CONF, STOPWORDS
 from ..functions import text as T
-from ..operators import chat, graph, retrieve
+from ..operators import chat, community, entity, graph, planning, retrieve, search
 from ..sources.corpus import from_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,27 +179,55 @@ def vector_postfilter_backfill(spark, d):
     return retrieve.top(inside, ["query_id"], [F.desc("inside"), "distance", "vec_id"], 6, "place").withColumn("place", F.col("place").cast("long"))
 
 
-def _fusion_hits_sql() -> str:
-    bm = bm25_sql("SELECT item_id AS query_id, text FROM benchmark", 30)
-    return f"""bm AS ({bm}),
-g AS (SELECT 0::BIGINT AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id, line_no) AS rank, exact_symbol FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS one FROM gg) WHERE one = 1),
-h AS (SELECT query_id, 'bm25' AS kind, doc_id, rank, false AS exact_symbol, 0.85 AS w, 3 AS p FROM bm
- UNION ALL SELECT b.query_id, 'grep', doc_id, g.rank, exact_symbol, 0.9, 4 FROM g CROSS JOIN (SELECT DISTINCT query_id FROM bm WHERE query_id = 0) b WHERE g.rank <= 30)"""
+_WORD = "[A-Za-z]{8,}"
 
 
-@query(f"""WITH {_grep_sql().replace('g AS (', 'gg AS (')}, {_fusion_hits_sql()},
-u AS (SELECT query_id, doc_id AS key, source, round(sum(w / (60 + rank) + CASE WHEN exact_symbol THEN 0.25 ELSE 0 END), 9)::DOUBLE AS score, max(p)::BIGINT AS priority FROM h JOIN documents USING (doc_id) GROUP BY 1, 2, 3),
+def _fusion_hits_sql() -> str:
+    bm = bm25_sql("SELECT item_id AS query_id, text FROM benchmark", 30)
+    near = _vectors_sql("AND q.vec_id IN (SELECT item_id FROM benchmark)", 24).replace("q.vec_id % 20 = 0", "TRUE")
+    edge = _EDGE
+    return f"""bm AS ({bm}), kw AS (SELECT item_id AS query_id, lower(regexp_extract(text, '{_WORD}')) AS low FROM benchmark WHERE regexp_matches(text, '{_WORD}')),
+gr AS (SELECT query_id, doc_id, length(text) - length(replace(text, chr(10), '')) AS n, regexp_matches(lower(text), '(^|{edge})' || low || '($|{edge})') AS exact_symbol FROM documents JOIN kw ON contains(lower(text), low)),
+g AS (SELECT query_id, doc_id, exact_symbol, row_number() OVER (PARTITION BY query_id ORDER BY exact_symbol DESC, n, doc_id) AS rank FROM gr),
+sy AS (SELECT query_id, doc_id, name = low AS exact_symbol, row_number() OVER (PARTITION BY query_id ORDER BY name = low DESC, doc_id) AS rank FROM (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS name FROM documents) JOIN kw ON contains(name, low)),
+gl AS (SELECT item_id AS query_id, doc_id, doc_id = item_id AS exact_path, row_number() OVER (PARTITION BY item_id ORDER BY source || '/doc_' || doc_id || '.txt') AS rank FROM documents JOIN benchmark ON contains(source || '/doc_' || doc_id || '.txt', item_id || '.txt')),
+{near},
+h AS (SELECT query_id, 'bm25' AS kind, doc_id, rank, false AS exact_symbol, false AS exact_path, 0.85 AS w, 3 AS p FROM bm
+ UNION ALL SELECT query_id, 'grep', doc_id, rank, exact_symbol, false, 0.9, 4 FROM g WHERE rank <= 30 UNION ALL SELECT query_id, 'ast', doc_id, rank, exact_symbol, false, 1.0, 5 FROM sy WHERE rank <= 30
+ UNION ALL SELECT query_id, 'glob', doc_id, rank, false, exact_path, 0.6, 1 FROM gl WHERE rank <= 30 UNION ALL SELECT query_id, 'vector', vec_id, rank, false, false, 0.5, 2 FROM r WHERE rank <= 24)"""
+
+
+@query(f"""WITH {_fusion_hits_sql()},
+u AS (SELECT query_id, doc_id AS key, source, round(sum(w / (60 + rank) + CASE WHEN exact_symbol THEN 0.25 ELSE 0 END + CASE WHEN exact_path THEN 0.15 ELSE 0 END), 9)::DOUBLE AS score, max(p)::BIGINT AS priority FROM h JOIN documents USING (doc_id) GROUP BY 1, 2, 3),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, priority DESC, key DESC) AS i FROM u),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, priority DESC, source DESC, key DESC) AS rank FROM c WHERE i <= 2)
 SELECT query_id, key, source, score, priority, rank FROM f WHERE rank <= 6""")
 def rrf_fusion(spark, d):
-    docs = table(spark, d, "documents")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    bm = retrieve.bm25(docs, asked, 30).select("query_id", "doc_id", "rank", F.lit("bm25").alias("match_kind"), F.lit(False).alias("exact_symbol"))
-    lines = retrieve.top(retrieve.grep(docs, WORDS), ["doc_id"], [F.desc("score"), "line_no"], 1, "one")
-    g = lines.orderBy(F.desc("score"), "doc_id").limit(30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "line_no")))
-    g = g.join(bm.where("query_id = 0").select("query_id").distinct()).select("query_id", "doc_id", "rank", F.lit("grep").alias("match_kind"), "exact_symbol")  # at most one row joins
-    hits = bm.unionByName(g).join(docs.select("doc_id", "source"), "doc_id").withColumn("exact_path", F.lit(False)).withColumnRenamed("doc_id", "key")
+    """All five kinds for every question: terms, a long word of it in texts and in first words, its number in paths, its vector."""
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    asked = bench.select(F.col("item_id").alias("query_id"), "text", F.lower(F.regexp_extract("text", f"({_WORD})", 1)).alias("low"))
+    word = asked.where("low <> ''").select("query_id", "low")
+
+    def listed(df, kind, order, most=30):
+        flags = [F.col(c) if c in df.columns else F.lit(False).alias(c) for c in ("exact_symbol", "exact_path")]
+        return retrieve.top(df, ["query_id"], order, most).select("query_id", "doc_id", "rank", F.lit(kind).alias("match_kind"), *flags)
+
+    met = lambda left, right, on: search._met(left, right, on, CONF)  # noqa: E731  questions in counted blocks
+    edge = F.expr(r"low_text rlike concat('(?U)(^|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])', low, '($|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])')")
+    own = docs.select("doc_id", F.lower("text").alias("low_text"))
+    g = met(own, word, F.contains("low_text", "low")).select("query_id", "doc_id", edge.alias("exact_symbol"), (F.length("low_text") - F.length(F.replace("low_text", F.lit("\n"), F.lit("")))).alias("n"))
+    first = docs.select("doc_id", F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("name"))
+    sy = met(first, word, F.contains("name", "low")).select("query_id", "doc_id", (F.col("name") == F.col("low")).alias("exact_symbol"))
+    files = from_table(docs).select("doc_id", "rel_path")
+    gl = met(files, bench.select(F.col("item_id").alias("query_id"), F.concat("item_id", F.lit(".txt")).alias("part")), F.contains("rel_path", "part")).select("query_id", "doc_id", "rel_path", (F.col("doc_id") == F.col("query_id")).alias("exact_path"))
+    v = table(spark, d, "embeddings")
+    q = v.join(bench.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = retrieve.vector_top(v, q, 24).select("query_id", F.col("vec_id").alias("doc_id"), "distance")
+    bm = retrieve.bm25(docs, asked.select("query_id", "text"), 30).select("query_id", "doc_id", "score")
+    hits = listed(bm, "bm25", [F.desc("score"), "doc_id"])
+    for df, kind, order in ((g, "grep", [F.desc("exact_symbol"), "n", "doc_id"]), (sy, "ast", [F.desc("exact_symbol"), "doc_id"]), (gl, "glob", ["rel_path"]), (near, "vector", ["distance", "doc_id"])):
+        hits = hits.unionByName(listed(df, kind, order))
+    hits = hits.join(docs.select("doc_id", "source"), "doc_id").withColumnRenamed("doc_id", "key")
     return retrieve.fuse(hits, CONF.top_k).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -211,7 +240,7 @@ def hit_dedupe_first(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 x AS (SELECT doc_id, trim(unnest(w)) AS w, generate_subscripts(w, 1) AS i FROM w), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS n FROM x WHERE w <> '')
-SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS distinct_words FROM y WHERE n = 1 AND doc_id % 1 = 0 GROUP BY doc_id""")
+SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS distinct_words FROM y WHERE n = 1 GROUP BY doc_id""")
 def ordered_distinct_ci(spark, d):
     # a sorted pass by word: the array form in functions.text is for short lists
     x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("i", "w")).withColumn("w", F.trim("w")).where("w <> ''")
@@ -294,16 +323,16 @@ def chunk_cap_tail(spark, d):
 def markdown_structure_chunks(spark, d):
     from ..operators import chunk
 
-    return chunk.chunks(table(spark, d, "documents"), "structure")
+    return chunk.chunks(table(spark, d, "documents"), "markdown")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-s AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM l)
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s{0,3}#{1,6}\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM l)
 SELECT doc_id, section::BIGINT AS section, min(no)::BIGINT AS line_start, max(no)::BIGINT AS line_end FROM s GROUP BY 1, 2""")
 def heading_sections(spark, d):
     from ..operators import chunk
 
-    return chunk.sections(retrieve.lines(table(spark, d, "documents")), F.length("line") < 40)
+    return chunk.sections(retrieve.lines(table(spark, d, "documents")), F.col("line").rlike(r"^\s{0,3}#{1,6}\s+"))
 
 
 @query(_SQL["line_chunks_fixed"].rsplit("SELECT doc_id, chunk::BIGINT", 1)[0] + """, c AS (SELECT doc_id, max(chunk) AS n FROM r GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n) AS i, count(*) OVER () AS total FROM c)
@@ -341,12 +370,23 @@ def _site(spark, d):
     return files.select("rel_path").distinct(), refs
 
 
+def folded_sql(path: str) -> str:
+    """A path without empty and ``.`` parts, ``..`` taken back where there is something before it."""
+    parts = f"list_concat([''], list_filter(string_split(replace({path}, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.')))"
+    return f"ltrim(list_reduce({parts}, lambda x, y: CASE WHEN y = '..' AND x <> '' AND NOT regexp_matches(x, '(^|/)\\.\\.$') THEN regexp_replace(x, '/[^/]*$', '') ELSE x || '/' || y END), '/')"
+
+
 _RESOLVE = f"""{_HREF}, f AS (SELECT DISTINCT {_PATH} AS rel_path FROM pages), b AS (SELECT regexp_extract(rel_path, '[^/]*$') AS base, min(rel_path) AS by_base FROM f GROUP BY 1 HAVING count(*) = 1),
-q AS (SELECT DISTINCT {_PATH} AS source, href AS reference FROM h), c AS (SELECT *, regexp_replace(regexp_replace(reference, '[#?].*$', ''), '^/+', '') AS clean, regexp_extract(source, '^(.*)/[^/]*$', 1) AS parent FROM q WHERE NOT regexp_matches(reference, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)')),
-x AS (SELECT *, CASE WHEN starts_with(reference, '/') OR parent = '' THEN clean ELSE parent || '/' || clean END AS beside FROM c WHERE clean <> ''),
+q AS (SELECT DISTINCT {_PATH} AS source, href AS reference FROM h), c AS (SELECT *, regexp_replace(replace(reference, chr(92), '/'), '[#?].*$', '') AS bare, regexp_extract(source, '^(.*)/[^/]*$', 1) AS parent FROM q WHERE NOT regexp_matches(reference, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)')),
+x AS (SELECT *, {folded_sql('bare')} AS clean, {folded_sql("CASE WHEN starts_with(bare, '/') OR parent = '' THEN bare ELSE parent || '/' || bare END")} AS beside FROM c WHERE bare NOT IN ('', '/')),
 t AS (SELECT source, reference, coalesce(e.rel_path, n.rel_path, by_base) AS target FROM x LEFT JOIN f e ON e.rel_path = clean LEFT JOIN f n ON n.rel_path = beside LEFT JOIN b ON b.base = regexp_extract(clean, '[^/]*$'))"""
 
 
+@query(f"WITH {_HREF} SELECT DISTINCT href, {folded_sql('href')} AS folded FROM h")
+def folded_paths(spark, d):
+    return graph.hrefs(table(spark, d, "pages")).select("href", graph.folded(F.col("href")).alias("folded")).distinct()
+
+
 @query(f"WITH {_RESOLVE} SELECT source, reference, target FROM t")
 def resolve_links(spark, d):
     files, refs = _site(spark, d)
@@ -372,13 +412,13 @@ def unique_basename(spark, d):
     return files.groupBy(T.basename(F.col("rel_path")).alias("base")).agg(F.count("*").alias("n"), F.min("rel_path").alias("rel_path")).where("n = 1").drop("n")
 
 
-_TOKENS = f"""{terms_sql('t', 'documents', 'doc_id')}, k AS (SELECT DISTINCT doc_id, term FROM t WHERE length(term) >= 6 AND regexp_matches(term, '^[a-z0-9]+$')),
-rare AS (SELECT term FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), own AS (SELECT * FROM k JOIN rare USING (term)),
-e AS (SELECT a.doc_id AS src, b.doc_id AS dst, term FROM own a JOIN own b USING (term) WHERE a.doc_id <> b.doc_id)"""
+_TOKENS = f"""{terms_sql('t', 'documents', 'doc_id')}, k AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM t WHERE length(term) >= 3 AND regexp_matches(term, '^[a-z0-9_]+$')),
+rare AS MATERIALIZED (SELECT term FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), own AS MATERIALIZED (SELECT * FROM k JOIN rare USING (term)),
+e AS MATERIALIZED (SELECT a.doc_id AS src, b.doc_id AS dst, term FROM own a JOIN own b USING (term) WHERE a.doc_id <> b.doc_id)"""
 
 
 def _token_edges(spark, d):
-    tokens = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("token")).where("length(token) >= 6 and token rlike '^[a-z0-9]+$'")
+    tokens = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("token")).where("length(token) >= 3 and token rlike '^[a-z0-9_]+$'")
     return graph.shared_token_edges(tokens)
 
 
@@ -397,24 +437,30 @@ def neighbor_top8(spark, d):
     return capped.select("src", "dst", "priority", "same_kb", F.col("rank").cast("long").alias("rank"))
 
 
-_RANKED = "SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, count(*) AS n FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2"
+# Parts (even numbers) and suppliers (odd ones), an edge either way for each pair that meets in an order line.
+_PAIRS = "p AS (SELECT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), n AS (SELECT a AS src, b AS dst, n FROM p UNION ALL SELECT b, a, n FROM p)"
+_EDGES = f"{_PAIRS}, g AS MATERIALIZED (SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM n QUALIFY rank <= 8)"
 
 
-def _part_edges(spark, d):
-    line = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")).where("src <> dst")
-    return retrieve.top(line.groupBy("src", "dst").agg(F.count("*").alias("n")), ["src"], [F.desc("n"), "dst"], 8)
+def _meetings(spark, d):
+    pair = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pair.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").unionByName(pair.select(F.col("b").alias("src"), F.col("a").alias("dst"), "n"))
 
 
-_EDGES = f"n AS ({_RANKED}), g AS (SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM n QUALIFY rank <= 8)"
+def _part_edges(spark, d):
+    return retrieve.top(_meetings(spark, d), ["src"], [F.desc("n"), "dst"], 8)
 
 
-@query(f"""WITH {_EDGES}, z AS (SELECT 1 AS node, 0 AS hop, 1 AS ord UNION ALL SELECT 7, 0, 2),
-o AS (SELECT dst AS node, 1 AS hop, min(ord * 1000 + rank) AS ord FROM z JOIN g ON g.src = z.node WHERE dst NOT IN (SELECT node FROM z) GROUP BY 1), s1 AS (SELECT * FROM z UNION ALL SELECT * FROM o),
-t AS (SELECT dst AS node, 2 AS hop, min(ord * 1000 + rank) AS ord FROM o JOIN g ON g.src = o.node WHERE dst NOT IN (SELECT node FROM s1) GROUP BY 1)
-SELECT node, hop::BIGINT AS hop, ord::BIGINT AS ord, row_number() OVER (ORDER BY hop, ord, node) AS place FROM (SELECT * FROM s1 UNION ALL SELECT * FROM t) QUALIFY place <= 22""")
+@query(f"""WITH {_EDGES}, z AS (SELECT 2 AS node, 0 AS hop, 1 AS place UNION ALL SELECT 14, 0, 2),
+o1 AS (SELECT dst AS node, min((place, rank)) AS first FROM z JOIN g ON g.src = z.node WHERE dst NOT IN (SELECT node FROM z) GROUP BY dst),
+o AS (SELECT * FROM (SELECT node, 1 AS hop, 2 + row_number() OVER (ORDER BY first, node) AS place FROM o1) WHERE place <= 60),
+s1 AS (SELECT * FROM z UNION ALL SELECT * FROM o), m AS (SELECT max(place) AS before FROM s1),
+t1 AS (SELECT dst AS node, min((place, rank)) AS first FROM o JOIN g ON g.src = o.node WHERE dst NOT IN (SELECT node FROM s1) GROUP BY dst),
+t AS (SELECT * FROM (SELECT node, 2 AS hop, before + row_number() OVER (ORDER BY first, node) AS place FROM t1 CROSS JOIN m) WHERE place <= 60)
+SELECT node, hop::BIGINT AS hop, place::BIGINT AS place FROM (SELECT * FROM s1 UNION ALL SELECT * FROM t)""")
 def bfs_expand_budget(spark, d):
-    seeds = spark.sql("SELECT * FROM VALUES (1L, 1), (7L, 2) AS t(node, ord)")
-    return graph.expand(_part_edges(spark, d), seeds, 2, 22)
+    seeds = spark.sql("SELECT * FROM VALUES (0L, 2L, 1), (0L, 14L, 2) AS t(query_id, node, ord)")
+    return graph.expand(_part_edges(spark, d), seeds, 2, budget=60).select("node", "hop", "place")
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.src <> b.dst")
@@ -424,48 +470,177 @@ def two_hop_neighbors(spark, d):
     return e.join(far, F.col("dst") == F.col("mid")).where("src <> end").select("src", F.col("end").alias("dst")).distinct()
 
 
-_SAME_LINE = """k AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 80),
-m AS (SELECT line, min(doc_id) AS low FROM k GROUP BY 1), pair AS (SELECT DISTINCT doc_id AS a, low AS b FROM k JOIN m USING (line) WHERE doc_id <> low),
-dual AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT a, b FROM dual UNION SELECT r.a, e.b FROM reach r JOIN dual e ON r.b = e.a),
-comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY 1)"""
+# Documents that share a line with a word, each linked to the least one that has the line.
+_SAME_LINE = """k AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^ \\t\\r]')),
+m AS (SELECT line, min(doc_id) AS low FROM k GROUP BY 1), pair AS MATERIALIZED (SELECT DISTINCT doc_id AS a, low AS b FROM k JOIN m USING (line) WHERE doc_id <> low),
+dual AS MATERIALIZED (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+cc(node, component) USING KEY (node) AS (SELECT a AS node, a AS component FROM dual UNION
+ (SELECT u.node, min(v.component) FROM recurring.cc u JOIN dual e ON u.node = e.a JOIN cc v ON e.b = v.node GROUP BY u.node, u.component HAVING min(v.component) < u.component)),
+comp AS MATERIALIZED (SELECT node, component FROM cc)"""
 
 
-def _copies(spark, d):
-    k = retrieve.lines(table(spark, d, "documents")).where("length(line) >= 80").select("doc_id", "line")
-    low = k.groupBy("line").agg(F.min("doc_id").alias("b"))
-    return graph.components(k.join(low, "line").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+def _copy_pairs(spark, d):
+    k = retrieve.lines(table(spark, d, "documents")).where(r"line rlike '[^ \\t\\r]'").select("doc_id", F.xxhash64("line").alias("h"), "line")
+    low = k.groupBy("h", "line").agg(F.min("doc_id").alias("b"))
+    return k.join(low, ["h", "line"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 @query(f"WITH RECURSIVE {_SAME_LINE} SELECT node, component FROM comp")
 def connected_components(spark, d):
-    return _copies(spark, d)
+    return graph.components(_copy_pairs(spark, d))
 
 
 @query(f"WITH RECURSIVE {_SAME_LINE}, c AS (SELECT component, count(*) AS size FROM comp GROUP BY 1) SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS place FROM c")
 def component_sizes(spark, d):
-    sizes = _copies(spark, d).groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
+    sizes = graph.components(_copy_pairs(spark, d)).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))  # one row a component
 
 
-@query(f"WITH {_EDGES}, x AS (SELECT src AS n, dst AS o FROM g UNION SELECT dst, src FROM g), k AS (SELECT n AS node, count(*) AS degree FROM x GROUP BY 1) SELECT node, degree FROM k ORDER BY degree DESC, node LIMIT 8")
+@query(f"WITH {_PAIRS}, k AS (SELECT src AS node, count(DISTINCT dst) AS degree FROM n GROUP BY 1) SELECT node, degree FROM k ORDER BY degree DESC, node LIMIT 8")
 def god_nodes(spark, d):
-    e = _part_edges(spark, d).select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(8)
+    relations = _meetings(spark, d).select("src", "dst")
+    return community.god_nodes(relations).withColumnRenamed("rel_path", "node")
+
 
+def _communities(spark, d):
+    pairs = graph.cut(_copy_pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    parts = graph.cut(graph.components(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("rel_path"), F.col("component").alias("community")))
+    return pairs, parts
 
-@query(f"""WITH {_EDGES}, x AS (SELECT src AS n, dst AS o FROM g UNION SELECT dst, src FROM g), k AS (SELECT n % 5 AS community, n AS node, count(*) AS degree FROM x WHERE n % 5 = o % 5 GROUP BY 1, 2)
-SELECT community, node, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rank FROM k QUALIFY rank <= 5""")
+
+@query(f"""WITH RECURSIVE {_SAME_LINE}, k AS (SELECT component AS community, a AS node, count(*) AS degree FROM dual JOIN comp ON node = a GROUP BY 1, 2)
+SELECT community, node, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rank FROM k QUALIFY rank <= 5""".replace("k AS (SELECT component", "kk AS (SELECT component").replace("FROM k QUALIFY", "FROM kk QUALIFY"))
 def top_files_per_community(spark, d):
-    e = _part_edges(spark, d).select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().where("src % 5 = dst % 5")
-    degree = both.groupBy((F.col("src") % 5).alias("community"), F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    return retrieve.top(degree, ["community"], [F.desc("degree"), "node"], 5).withColumn("rank", F.col("rank").cast("long"))
+    pairs, parts = _communities(spark, d)
+    found = community.top_files(parts, pairs)
+    return found.select("community", F.col("rel_path").alias("node"), "degree", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, n FROM g WHERE src % 5 <> dst % 5 ORDER BY n DESC, src, dst LIMIT 20")
+@query(f"""WITH RECURSIVE {_SAME_LINE}, {_TOKENS.replace('k AS MAT', 'kt AS MAT').replace('FROM k ', 'FROM kt ').replace('\ne AS MAT', '\nte AS MAT')},
+w AS (SELECT src, dst, count(*) AS shared FROM te GROUP BY 1, 2), x AS (SELECT w.*, coalesce(a.component, src) AS ca, coalesce(b.component, dst) AS cb FROM w LEFT JOIN comp a ON a.node = src LEFT JOIN comp b ON b.node = dst)
+SELECT src, dst, shared, ca AS src_community, cb AS dst_community FROM x WHERE ca <> cb ORDER BY shared DESC, src, dst LIMIT 20""")
 def cross_community_bridges(spark, d):
-    return _part_edges(spark, d).where("src % 5 <> dst % 5").select("src", "dst", "n").orderBy(F.desc("n"), "src", "dst").limit(20)
+    _, parts = _communities(spark, d)
+    shared = _token_edges(spark, d).groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    own = shared.join(parts.select(F.col("rel_path").alias("src"), F.col("community").alias("a")), "src", "left").join(parts.select(F.col("rel_path").alias("dst"), F.col("community").alias("b")), "dst", "left")
+    named = own.select("src", "dst", "shared", F.coalesce("a", "src").alias("src_community"), F.coalesce("b", "dst").alias("dst_community"))
+    return named.where("src_community <> dst_community").orderBy(F.desc("shared"), "src", "dst").limit(20)
+
+
+_SERIES = r"""sf AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS rel_path FROM pages),
+ss AS (SELECT rel_path, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS dir, lower(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '(.)\.[^.]*$', '\1')) AS stem FROM sf),
+st AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(stem, '[_\-.]'), lambda x: length(x) >= 3)) AS tokens FROM ss),
+series AS (SELECT a.rel_path AS src, b.rel_path AS dst, list_sort(list_intersect(a.tokens, b.tokens)) AS shared, b.stem AS other FROM st a JOIN st b ON a.dir = b.dir AND a.rel_path <> b.rel_path
+ WHERE (a.stem <> '' AND b.stem <> '' AND (contains(a.stem, b.stem) OR contains(b.stem, a.stem))) OR len(list_intersect(a.tokens, b.tokens)) >= 2)"""
+
+
+@query(f"WITH {_SERIES} SELECT src, dst, CASE WHEN len(shared) > 0 THEN array_to_string(shared, ',') ELSE other END AS reason FROM series")
+def same_series_edges(spark, d):
+    files, _ = _site(spark, d)
+    return graph.same_series(files)
+
+
+@query(f"""WITH {_RESOLVE}, {_SERIES}, every AS (SELECT source AS src, target AS dst, 0 AS priority FROM t WHERE target IS NOT NULL AND target <> source UNION ALL SELECT src, dst, 3 FROM series),
+best AS (SELECT src, dst, min(priority) AS priority FROM every GROUP BY 1, 2), kb AS (SELECT *, CASE WHEN contains(src, '/') THEN split_part(src, '/', 1) ELSE '' END = CASE WHEN contains(dst, '/') THEN split_part(dst, '/', 1) ELSE '' END AS same FROM best)
+SELECT src, dst, priority::BIGINT AS priority, row_number() OVER (PARTITION BY src ORDER BY priority, same DESC, dst) AS rank FROM kb QUALIFY rank <= 8""")
+def document_edges_capped(spark, d):
+    files, refs = _site(spark, d)
+    linked = graph.resolve(refs, files).where("target is not null and target <> source").select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(0).alias("priority"))
+    every = linked.unionByName(graph.same_series(files).select("src", "dst", F.lit(3).alias("priority")))
+    same = (T.kb_of(F.col("src")) == T.kb_of(F.col("dst"))).cast("int")
+    return graph.capped_neighbors(every.withColumn("same_kb", same)).select("src", "dst", F.col("priority").cast("long").alias("priority"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---- text functions
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+def normalized_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(trim(text)) > 600 THEN rtrim(substring(trim(text), 1, 599)) || '…' ELSE trim(text) END) AS digest FROM documents")
+def cut_snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.snippet(F.col("text"), 600).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(substring(array_to_string(list_slice(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1, 12), chr(10)), 1, 1200)) AS digest FROM documents")
+def page_previews(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(wiki.preview(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS rel_path FROM pages)
+SELECT rel_path, CASE WHEN contains(rel_path, '/') THEN split_part(rel_path, '/', 1) ELSE '' END AS kb, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '(.)\.[^.]*$', '\1')), '[_\-.]'), lambda x: length(x) >= 3))), ',') AS tokens FROM f""")
+def path_stem_tokens(spark, d):
+    files, _ = _site(spark, d)
+    return files.select("rel_path", T.kb_of(F.col("rel_path")).alias("kb"), F.array_join(F.array_sort(T.stem_tokens(graph.stem(F.col("rel_path")))), ",").alias("tokens"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), c AS (SELECT doc_id, regexp_replace(w, '^[`"''()]+|[`"''()]+$', '', 'g') AS c FROM w)
+SELECT lower(c) AS token, count(DISTINCT doc_id) AS df FROM c WHERE length(c) >= 3 AND regexp_full_match(c, '[A-Za-z0-9_]+') AND lower(c) NOT IN ({STOP}) GROUP BY 1""")
+def graph_tokens(spark, d):
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    return words.select("doc_id", T.graph_token(F.col("w")).alias("token")).where("token is not null").distinct().groupBy("token").agg(F.count("*").alias("df"))
+
+
+@query(r"SELECT p_partkey, 'concept:' || CASE WHEN s = '' THEN 'item' ELSE s END || ':' || substring(sha1(low), 1, 12) AS node_id FROM (SELECT p_partkey, lower(trim(p_name)) AS low, regexp_replace(regexp_replace(lower(trim(p_name)), '[^\w]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)")
+def semantic_node_ids(spark, d):
+    return table(spark, d, "part").select("p_partkey", entity.semantic_id(F.lit("concept"), F.col("p_name")).alias("node_id"))
+
+
+# ---- batch retrievers over stored tables
+
+def _bundle(spark, d):
+    """``documents`` as a stored corpus: a file and a chunk each."""
+    docs = table(spark, d, "documents")
+    files = from_table(docs).select("rel_path", "kb", F.lit("txt").alias("suffix"), "text")
+    chunks = files.select(F.col("rel_path").alias("source"), "kb", F.lit(0).cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("line_start"), F.size(F.split("text", "\n", -1)).cast("long").alias("line_end"), F.lit("").alias("label"), F.lit("").alias("kind"), "text")
+    posted = store.postings(chunks)
+    terms = posted.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = posted.groupBy("source", "chunk_index").agg(F.max("length").alias("length")).agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
+    none = None
+    return search.Bundle(files, chunks, none, posted, terms, corpus, none, none, none, none, none, none, none)
+
+
+def _plan(spark, rows):
+    return spark.createDataFrame([(i, q, kb, [], kw, globs, q, "", False, False) for i, q, kb, kw, globs in rows], planning.PLAN)
+
+
+_FILE = "source || '/doc_' || doc_id || '.txt'"
+
+
+@query(rf"""WITH p(query_id, pos, bare, regex) AS (VALUES (0, 0, 'doc_7', '^.*doc_7.*$'), (0, 1, 'src1/', '^src1/.*5\.txt$'), (1, 0, 'doc_12.txt', '^doc_12\.txt$')), f AS (SELECT {_FILE} AS source, 'doc_' || doc_id || '.txt' AS base FROM documents),
+m AS (SELECT query_id, source, base, arg_min(bare, pos) AS bare FROM f JOIN p ON regexp_matches(source, regex) OR regexp_matches(base, regex) OR (pos <> 1 AND contains(source, bare)) GROUP BY 1, 2, 3)
+SELECT query_id::BIGINT AS query_id, source, bare = base AS exact_path, row_number() OVER (PARTITION BY query_id ORDER BY source) AS rank FROM m""")
+def glob_hits_batch(spark, d):
+    plan = _plan(spark, [(0, "", None, [], ["*doc_7*", "src1/*5.txt"]), (1, "", None, [], ["doc_12.txt"])])
+    return search.glob_hits(_bundle(spark, d), plan).select("query_id", "source", "exact_path", "rank")
+
+
+def _grep_batch_sql() -> str:
+    one = lambda k: f"CASE WHEN NOT contains(lower(line), '{k}') THEN 0.0 WHEN line = '{k}' THEN 1.2 WHEN regexp_matches(lower(line), '(^|{_EDGE}){k}($|{_EDGE})') THEN 1.0 ELSE 0.75 END"
+    parts = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, line_no, [{', '.join(map(one, ks))}] AS scores FROM l" for i, ks in enumerate(_GREP))
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents), s AS ({parts})
+SELECT query_id::BIGINT AS query_id, {_FILE} AS source, line_no AS line_start, round(list_max(scores) + 0.05 * len(list_filter(scores, lambda x: x > 0)), 6)::DOUBLE AS score, list_max(scores) >= 1 AS exact_symbol FROM s JOIN documents USING (doc_id) WHERE list_max(scores) > 0"""
+
+
+_GREP = [["thing", "eaux"], ["ung"]]
+
+
+@query(_grep_batch_sql())
+def grep_hits_batch(spark, d):
+    plan = _plan(spark, [(i, "", None, words, []) for i, words in enumerate(_GREP)])
+    return search.grep_hits(_bundle(spark, d), plan).select("query_id", "source", "line_start", "score", "exact_symbol")
+
+
+@query(f"WITH r AS ({bm25_sql('SELECT item_id AS query_id, text FROM benchmark', 8)}) SELECT r.query_id, {_FILE} AS source, r.score FROM r JOIN documents USING (doc_id) WHERE rank <= 5")
+def bm25_stored(spark, d):
+    """From postings as a build stores them; the first five of eight, so that ties at the end don't matter."""
+    bench = table(spark, d, "benchmark")
+    none = F.array().cast("array<string>")
+    plan = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("kb"), none.alias("symbols"), none.alias("keywords"), none.alias("path_globs"), F.col("text").alias("semantic_query"))
+    docs = from_table(table(spark, d, "documents")).select(F.col("rel_path").alias("source"), "doc_id")
+    hits = search.bm25_hits(_bundle(spark, d), plan, 8).join(docs, "source")
+    return retrieve.top(hits.drop("rank"), ["query_id"], [F.desc("score"), "doc_id"], 5).select("query_id", "source", "score")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
@@ -538,13 +713,21 @@ def mode_jaccard(spark, d):
     return b.crossJoin(F.broadcast(n)).select("query_id", F.round(F.col("both") / (F.col("n") + F.col("all") - F.col("both")), 6).alias("jaccard"))  # one row
 
 
-@query(f"""WITH {terms_sql('a', '(SELECT item_id AS query_id, text FROM benchmark)', 'query_id')}, q AS (SELECT DISTINCT query_id, term FROM a),
-{terms_sql('i', '(SELECT doc_id AS item, text FROM documents WHERE n_chars < 400)', 'item')}, it AS (SELECT DISTINCT item, term FROM i), sz AS (SELECT item, count(*) AS n FROM it GROUP BY 1),
-s AS (SELECT query_id, item, count(*) AS overlap FROM q JOIN it USING (term) GROUP BY 1, 2), c AS (SELECT query_id, item, (overlap + CASE WHEN overlap = n THEN 0.75 ELSE 0 END)::DOUBLE AS score FROM s JOIN sz USING (item))
-SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM c QUALIFY rank <= 6""")
+_ASKED = "SELECT item_id AS query_id, 'which doc ' || item_id || ' txt of src' || (item_id % 20) AS text FROM benchmark"
+_ITEMS = "SELECT source || '/doc_' || doc_id || '.txt' AS source, unnest(['doc_' || doc_id || '.txt', 'doc_' || doc_id]) AS name FROM documents"
+
+
+@query(f"""WITH {terms_sql('a', f'({_ASKED})', 'query_id')}, q AS (SELECT DISTINCT query_id, term FROM a), i0 AS ({_ITEMS}),
+{terms_sql('i', "(SELECT source || '|' || name AS item, name || chr(10) || replace(regexp_replace(name, '[.]txt$', ''), '_', ' ') AS text FROM i0)", 'item')}, it AS (SELECT DISTINCT item, term FROM i), sz AS (SELECT item, count(*) AS n FROM it GROUP BY 1),
+s AS (SELECT query_id, item, count(*) AS overlap FROM q JOIN it USING (term) GROUP BY 1, 2), c AS (SELECT query_id, split_part(item, '|', 1) AS source, split_part(item, '|', 2) AS name, round(overlap + CASE WHEN overlap = n THEN 0.75 ELSE 0 END + 0.4, 6)::DOUBLE AS score FROM s JOIN sz USING (item) WHERE overlap > 1 OR n <= 3)
+SELECT query_id, source, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), source) AS place FROM c QUALIFY place <= 6""")
 def query_expansion_rank(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    items = table(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("item"), F.array_distinct(T.terms(F.col("text"))).alias("t"))
-    hit = asked.join(items.select("item", F.size("t").alias("n"), F.explode("t").alias("term")), "term").groupBy("query_id", "item", "n").agg(F.count("*").alias("overlap"))
-    score = (F.col("overlap") + F.when(F.col("overlap") == F.col("n"), 0.75).otherwise(0.0)).cast("double")
-    return retrieve.top(hit.select("query_id", "item", score.alias("score")), ["query_id"], [F.desc("score"), "item"], 6).withColumn("rank", F.col("rank").cast("long"))
+    """Names of all documents as expansion items, ranked for questions about some of them."""
+    files = from_table(table(spark, d, "documents")).select("rel_path")
+    none = spark.createDataFrame([], "source string, name string, qualified_name string")
+    nodes = spark.createDataFrame([], entity.NODE)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("which doc "), "item_id", F.lit(" txt of src"), F.col("item_id") % 20).alias("question"))
+    empty = F.array().cast("array<string>")
+    plan = asked.select("query_id", "question", F.lit(None).cast("string").alias("kb"), empty.alias("symbols"), empty.alias("keywords"), empty.alias("path_globs"), F.col("question").alias("semantic_query"))
+    found = planning.candidates(plan, planning.expansion_items(files, none, nodes)).where("place <= 6")
+    return found.select("query_id", "source", F.col("text").alias("name"), "score", F.col("place").cast("long").alias("place"))

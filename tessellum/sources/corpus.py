@@ -5,7 +5,6 @@ from __future__ import annotations
 import configparser
 import json
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, kb_of, normalized
 
+# Kinds of files that are read as text, converted or passed over.
 SUFFIXES = ("md", "markdown", "mdx", "txt", "rst", "log", "csv", "json", "yaml", "yml", "py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "toml", "ini", "sh")
+MARKDOWN, STRUCTURED, BINARY = ("md", "markdown", "mdx"), ("json", "yaml", "yml", "toml", "ini"), ("docx", "xlsx", "xls", "pdf")
 IGNORED = (".git", "node_modules", "dist", "build", ".venv", "venv", "__pycache__", ".next", "target")
 
 
@@ -34,7 +35,13 @@ def flatten(value, prefix: str = "") -> list[str]:
 
 
 def structured_text(text: str, suffix: str) -> str | None:
-    """The flattened form of JSON, TOML, INI or YAML (if a parser is there); None if it can't be parsed."""
+    """The flattened form of JSON, TOML, INI or YAML; None if it can't be parsed, or for YAML without a parser installed."""
+    yaml = None
+    if suffix in ("yaml", "yml"):
+        try:
+            import yaml
+        except ImportError:
+            return plain_yaml(text)
     try:
         if suffix == "json":
             data = json.loads(text)
@@ -47,16 +54,46 @@ def structured_text(text: str, suffix: str) -> str | None:
             parser.read_string(text)
             data = {s: dict(parser.items(s)) for s in parser.sections()}
         elif suffix in ("yaml", "yml"):
-            import yaml
-
             data = yaml.safe_load(text)
         else:
             return None
-    except Exception:  # whatever a parser raises: the text stays as it is
+    except (ValueError, configparser.Error, *([yaml.YAMLError] if yaml else [])):  # the text stays as it is
         return None
     return "\n".join(flatten(data))
 
 
+def plain_yaml(text: str) -> str | None:
+    """Nested mappings and lists of plain scalars, flattened without a YAML parser; None for anything else."""
+    out: list[str] = []
+    path: list[tuple[int, str, int]] = []  # indent, name, next place of a list
+    for raw in text.split("\n"):
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() == "---":
+            continue
+        indent, body = len(line) - len(line.lstrip(" ")), line.strip()
+        item = body.startswith("- ")
+        while path and (path[-1][0] > indent or (path[-1][0] == indent and not item)):
+            path.pop()
+        if item:
+            if not path:
+                return None
+            at, name, n = path[-1]
+            path[-1] = (at, name, n + 1)
+            body, own = body[2:].strip(), f"{'.'.join(p[1] for p in path)}[{n}]"
+            if ": " in body or body.endswith(":") or body[:1] in "[{|>&*!":
+                return None
+            out.append(f"{own} = {body.strip(chr(34) + chr(39))}")
+            continue
+        key, colon, value = body.partition(":")
+        if not colon or (value and value[0] != " ") or value.strip()[:1] in ("[", "{", "|", ">", "&", "*", "!"):
+            return None
+        if value.strip():
+            out.append(f"{'.'.join([*(p[1] for p in path), key.strip()])} = {value.strip().strip(chr(34) + chr(39))}")
+        else:
+            path.append((indent, key.strip(), 0))
+    return "\n".join(out)
+
+
 def from_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), convert=None) -> DataFrame:
     """Text files under a folder of any store: rel_path, suffix, kb, text (decoded, bad bytes dropped; structured ones flattened).
 
@@ -83,9 +120,3 @@ def from_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
             yield pd.Series(out, dtype=object)
 
     return found.select("rel_path", "suffix", kb_of(F.col("rel_path")).alias("kb"), "length", "modificationTime", normalized(decoded("content", "suffix")).alias("text")).where("text is not null")
-
-
-def ignored(path: str, exclude: tuple[str, ...] = ()) -> bool:
-    """Whether a relative path is left out of a corpus."""
-    parts = path.split("/")
-    return bool(set(parts) & set(IGNORED)) or any(fnmatch(path, p) or fnmatch(parts[-1], p) for p in exclude)

@@ -108,42 +108,82 @@ def messages(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "text").mapInPandas(run, "rel_path string, n long, sender string, ts timestamp_ntz, content string, line_start long, line_end long")
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], start, step) -> DataFrame:
+    """Windows (key, window_no, first_ts, last_ts, n, chars) by a fold over sorted rows, stretch by stretch.
+
+    Rows are dealt by key and stretch and sorted where they are (a sort that spills); a task streams through them with one
+    window in hand, so neither a long stretch nor a busy key is ever gathered.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held = None, None
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False):
+                at = (getattr(row, key), row.stretch)
+                joined = step(held, row) if at == place else None
+                if joined is None:
+                    if held is not None:
+                        done.append((*place, *held))
+                    held = start(row)
+                else:
+                    held = joined
+                place = at
+            yield pd.DataFrame(done, columns=[key, "stretch", "first_ts", "last_ts", "n", "chars"])
+        if held is not None:
+            yield pd.DataFrame([(*place, *held)], columns=[key, "stretch", "first_ts", "last_ts", "n", "chars"])
+
+    dealt = rows.repartition(key, "stretch").sortWithinPartitions(key, "stretch", *order)
+    found = dealt.mapInPandas(run, f"{key} {kind}, stretch long, first_ts timestamp_ntz, last_ts timestamp_ntz, n long, chars long")
+    numbered = F.row_number().over(Window.partitionBy(key).orderBy("stretch", "first_ts")).cast("long")
+    return found.withColumn("window_no", numbered).select(key, "window_no", "first_ts", "last_ts", "n", "chars")
+
+
+def _late(later, earlier, minutes: int):
+    return later > earlier + F.expr(f"INTERVAL {minutes} MINUTES")
+
+
 def anchored_windows(messages: DataFrame, key: str, minutes: int = CONF.window_minutes) -> DataFrame:
     """(key, window_no, first_ts, last_ts, n, chars): a window takes messages (key, ts, id, chars) up to ``minutes`` after its first.
 
-    A gap of more than ``minutes`` ends a window wherever it is anchored, so rows are cut there first (a sorted pass that
-    spills), and only the stretch between two gaps is folded as an array.
+    A gap of more than ``minutes`` ends a window wherever it is anchored, so rows are cut there first.
     """
     order = Window.partitionBy(key).orderBy("ts", "id")
-    late = lambda a, b: a > b + F.expr(f"INTERVAL {minutes} MINUTES")
-    cutoff = F.coalesce(late(F.col("ts"), F.lag("ts").over(order)), F.lit(False)).cast("long")
-    stretch = messages.withColumn("cut", cutoff).withColumn("stretch", F.sum("cut").over(order))
-    grouped = stretch.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "chars"))).alias("m"))
-    start = F.struct(F.get("m", F.lit(0))["ts"].alias("anchor"), F.array().cast("array<timestamp_ntz>").alias("anchors"))
-    step = lambda a, x: F.struct(F.when(late(x["ts"], a["anchor"]), x["ts"]).otherwise(a["anchor"]).alias("anchor"), F.when(late(x["ts"], a["anchor"]), F.array_append(a["anchors"], x["ts"])).otherwise(a["anchors"]).alias("anchors"))
-    anchors = F.concat(F.array(F.get("m", F.lit(0))["ts"]), F.aggregate("m", start, step)["anchors"])
-    each = grouped.withColumn("anchors", anchors).select(key, "stretch", "anchors", F.explode("m").alias("x"))
-    placed = each.select(key, F.array_max(F.filter("anchors", lambda a: a <= F.col("x.ts"))).alias("anchor"), "x.*")
-    windows = placed.groupBy(key, "anchor").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
-    return windows.withColumn("window_no", F.row_number().over(Window.partitionBy(key).orderBy("anchor")).cast("long")).drop("anchor")
+    gap = F.coalesce(_late(F.col("ts"), F.lag("ts").over(order), minutes), F.lit(False)).cast("long")
+    stretch = messages.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(order)).drop("gap")
+    wide = timedelta(minutes=minutes)
+
+    def start(row):
+        return row.ts, row.ts, 1, row.chars
+
+    def step(held, row):
+        first, _, n, chars = held
+        return (first, row.ts, n + 1, chars + row.chars) if row.ts - first <= wide else None
+
+    return _folded(stretch.select(key, "stretch", "ts", "id", "chars"), key, ["ts", "id"], start, step)
 
 
 def merged_windows(windows: DataFrame, key: str, conf: EngineConf = CONF) -> DataFrame:
-    """Neighbouring windows joined from the left while together they are short enough, one is small, and no long quiet lies between."""
+    """Neighbouring windows joined from the left while together they are short enough, one is small, and no long quiet lies between.
+
+    window_no is that of the first window of each.
+    """
     order = Window.partitionBy(key).orderBy("window_no")
-    quiet = lambda a, b: a > b + F.expr(f"INTERVAL {conf.quiet_minutes} MINUTES")
-    stretch = windows.withColumn("cut", F.coalesce(quiet(F.col("first_ts"), F.lag("last_ts").over(order)), F.lit(False)).cast("long")).withColumn("stretch", F.sum("cut").over(order))
-    grouped = stretch.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("window_no", "first_ts", "last_ts", "n", "chars"))).alias("m"))
-    start = F.struct(F.slice("m", 1, 1).alias("done"))
-
-    def step(a, x):
-        last = F.element_at(a["done"], -1)
-        join = (last["chars"] + x["chars"] <= conf.max_chars) & ~((last["chars"] >= conf.min_chars) & (x["chars"] >= conf.min_chars))
-        both = F.struct(last["window_no"].alias("window_no"), last["first_ts"].alias("first_ts"), x["last_ts"].alias("last_ts"), (last["n"] + x["n"]).alias("n"), (last["chars"] + x["chars"]).alias("chars"))
-        return F.struct(F.when(join, F.array_append(F.slice(a["done"], F.lit(1), F.size(a["done"]) - 1), both)).otherwise(F.array_append(a["done"], x)).alias("done"))
-
-    folded = F.aggregate(F.slice("m", F.lit(2), F.size("m")), start, step)["done"]
-    return grouped.select(key, F.explode(folded).alias("w")).select(key, "w.*")
+    gap = F.coalesce(_late(F.col("first_ts"), F.lag("last_ts").over(order), conf.quiet_minutes), F.lit(False)).cast("long")
+    stretch = windows.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(order)).drop("gap")
+
+    def start(row):
+        return row.first_ts, row.last_ts, row.n, row.chars
+
+    def step(held, row):
+        first, _, n, chars = held
+        small = not (chars >= conf.min_chars and row.chars >= conf.min_chars)
+        return (first, row.last_ts, n + row.n, chars + row.chars) if chars + row.chars <= conf.max_chars and small else None
+
+    merged = _folded(stretch.select(key, "stretch", "window_no", "first_ts", "last_ts", "n", "chars"), key, ["window_no"], start, step)
+    first = windows.select(key, F.col("window_no").alias("w"), F.col("first_ts").alias("f"))
+    return merged.drop("window_no").join(first.withColumnRenamed(key, "k2"), (F.col(key) == F.col("k2")) & (F.col("first_ts") == F.col("f"))).select(key, F.col("w").alias("window_no"), "first_ts", "last_ts", "n", "chars")
 
 
 def speaker_runs(turns: DataFrame) -> DataFrame:

@@ -76,13 +76,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream = fs.create(q, True)
     stream.write(bytearray(text.encode("utf-8")))
     stream.close()
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if ":" in path.split("/")[0] else None
-    if context is not None:
-        context.rename(q, p, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1))
-        return
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(q, p)
+    jvm, context = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+    over = context._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(q), fs.makeQualified(p), over)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -269,6 +266,29 @@ def rebuild_state(spark: SparkSession, root: str, files: DataFrame, config: dict
     return False, "up_to_date"
 
 
+def refresh_notes(spark: SparkSession, root: str) -> None:
+    """Merges the saved notes into the graph of the current build anew: its nodes, edges and neighbours, and the pages of notes."""
+    place = current(spark, root)
+    saved = wiki.notes(spark, root)
+    if place is None or saved is None:
+        return
+    with locked(spark, root):
+        nodes, edges = entity.merge_notes(checked(spark, place, "nodes"), checked(spark, place, "edges"), saved)
+        nodes, edges = graph.cut(entity._shaped(nodes, SCHEMAS["nodes"])), graph.cut(entity._shaped(edges, SCHEMAS["edges"]))
+        own = checked(spark, place, "pages").where("kind <> 'query'")
+        pages = graph.cut(own.unionByName(wiki.note_pages(saved)))
+        near = graph.cut(entity._shaped(entity.file_neighbors(nodes, edges), SCHEMAS["neighbors"]))
+        fresh = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+        for name in SCHEMAS:  # a build of its own: readers of the old one are not disturbed
+            own = {"nodes": nodes, "edges": edges, "pages": pages, "neighbors": near}.get(name)
+            if own is None and exists(spark, f"{place}/{name}"):
+                own = spark.read.schema(SCHEMAS[name]).parquet(f"{place}/{name}")
+            if own is not None:
+                own.write.parquet(f"{fresh}/{name}")
+        write_text(spark, f"{fresh}/MANIFEST", read_text(spark, f"{place}/MANIFEST") or "{}")
+        write_text(spark, f"{root.rstrip('/')}/CURRENT", fresh.rsplit("/", 1)[1])
+
+
 def clear_pages(spark: SparkSession, root: str) -> None:
     """Deletes the generated pages of the current build; saved notes stay."""
     place = current(spark, root)

@@ -140,10 +140,14 @@ def pages(files: DataFrame, nodes: DataFrame, edges: DataFrame, members: DataFra
     shown = F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), md_link(x["label"], x["to"]))), "\n")
     index = counted.select(F.lit("index.md").alias("relpath"), F.lit("index").alias("kind"), F.lit("知识导航").alias("title"), head(F.lit("Index"), F.concat(F.lit("- files: "), F.col("n_files").cast("string")), F.lit("\n## Communities"), shown).alias("text"), F.array().cast("array<string>").alias("source_refs"))
     out = file.unionByName(entity).unionByName(group).unionByName(index)
-    if notes is not None:
-        body = head(F.col("question"), F.concat(F.lit("- 生成时间："), "created_at"), F.lit("\n## 结论"), F.col("answer"), F.lit("\n## 来源"), F.array_join(F.transform("sources", lambda x: F.concat(F.lit("- 来源文件："), md_link(x, up(x)))), "\n"))
-        out = out.unionByName(notes.select(F.col("note_path").alias("relpath"), F.lit("query").alias("kind"), F.col("question").alias("title"), body.alias("text"), F.col("sources").alias("source_refs")))
-    return out
+    return out if notes is None else out.unionByName(note_pages(notes))
+
+
+def note_pages(notes: DataFrame) -> DataFrame:
+    """PAGE rows of saved notes."""
+    cited = F.array_join(F.transform("sources", lambda x: F.concat(F.lit("- 来源文件："), md_link(x, F.concat(F.lit("../files/"), x, F.lit(".md"))))), "\n")
+    body = F.concat_ws("\n", F.concat(F.lit("# "), "question"), F.lit(""), F.concat(F.lit("- 生成时间："), "created_at"), F.lit("\n## 结论"), F.col("answer"), F.lit("\n## 来源"), cited)
+    return notes.select(F.col("note_path").alias("relpath"), F.lit("query").alias("kind"), F.col("question").alias("title"), body.alias("text"), F.col("sources").alias("source_refs"))
 
 
 def load_pages(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_fixture
-from tessellum import diagnose, engine, store, wiki
+from tessellum import diagnose, engine, service, store, wiki
 from tessellum.operators import community, entity, graph, planning, search
 from tessellum.sources import corpus
 
@@ -219,3 +219,51 @@ def test_diagnose(spark, root, bundle):
     assert "recall:" in text and "missing tables" not in text
     flags = diagnose.red_flags(spark.createDataFrame([("a", 60, 100.0), ("b", 1, 60.0)], "name string, chunks long, size_kb double"), spark.createDataFrame([("c", ""), ("c", "chunk"), ("d", "code")], "source string, kind string"))
     assert {(r["flag"], r["name"]) for r in flags.collect()} == {("many_tiny_chunks", "a"), ("one_large_chunk", "b"), ("all_generic", "c")}
+
+
+def test_service(spark, root):
+    one = service.Service(spark, root[1])
+    assert one.health()["ready"] and one.kbs() == ["产品", "工程", "聊天"]
+    found = one.ask("where is `bootstrap_session` defined", kb="工程", top_k=3)
+    assert found["hits"][0]["match_kind"] == "ast" and "[证据1]" in found["context"]
+    for bad in ({"question": " "}, {"question": "x", "mode": "no"}, {"question": "x", "top_k": 0}, {"question": "x", "kb": "none"}):
+        with pytest.raises(ValueError):
+            one.ask(**bad)
+    index = one.wiki_index()
+    assert index["counts"]["file"] == 8 and "- files: 8" in index["text"]
+    path = one.save_query("Which order?", "Startup first.", ["工程/startup.md"])
+    assert one.wiki_page(path)["title"] == "Which order?" and one.bundle().nodes.where("type = 'query_note'").count() >= 1
+    with pytest.raises(KeyError):
+        one.wiki_page("none.md")
+    with pytest.raises(ValueError):
+        one.wiki_page("../x")
+    assert one.graph_report().startswith("# Graph report") and list(one.ask_stream("startup", lambda prompt: iter(["a", "b"]))) == ["a", "b"]
+
+
+def test_chat_windows():
+    from datetime import datetime, timedelta
+
+    from tessellum.operators import chat
+
+    at = lambda minutes, chars: {"ts": datetime(2024, 1, 1) + timedelta(minutes=minutes), "content": "x" * chars}
+    sizes = lambda *m: [len(w) for w in chat.windows_of([at(*x) for x in m])]
+    assert sizes((0, 100), (2, 100), (4, 100)) == [3] and sizes((0, 200), (240, 200)) == [1, 1]
+    assert sizes((0, 2000), (35, 1500)) == [1, 1] and sizes((0, 1500), (35, 100)) == [2] and len(sizes(*[(35 * k, 60) for k in range(6)])) < 6
+    assert chat.parse("no header\n") == [] and chat.parse("")  == []
+
+
+def test_graph_reaches_targets(spark):
+    """Twenty notes that only cite a symbol reach the file that defines it, in one hop and twelve more files."""
+    rows = []
+    for k in range(20):
+        rows += [(f"notes/q{k:02d}.md", "notes", "md", f"# Question {k}\n\nHow does `target_fn_{k}()` behave here? See `target_fn_{k}`."), (f"src/impl_{k:02d}.py", "src", "py", f"def target_fn_{k}(x):\n    return x + {k}\n")]
+    files = spark.createDataFrame(rows, "rel_path string, kb string, suffix string, text string")
+    from tessellum.operators import chunk
+
+    chunks, symbols = graph.cut(chunk.indexed_chunks(files)), graph.cut(chunk.symbols(files))
+    documents = graph.cut(graph.document_graph(files, symbols))
+    nodes, edges = entity.build(files, chunks, symbols, documents.where("kind in ('links_to', 'mentions_path')"))
+    near = graph.cut(entity.file_neighbors(graph.cut(nodes), graph.cut(edges)))
+    seeds = spark.createDataFrame([(k, f"notes/q{k:02d}.md", 1) for k in range(20)], "query_id long, node string, ord int")
+    got = {(r["query_id"], r["node"]) for r in graph.expand(near, seeds, 1, extra=12).collect()}
+    assert sum((k, f"src/impl_{k:02d}.py") in got for k in range(20)) == 20

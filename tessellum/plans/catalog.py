@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import store, wiki
+from .. import diagnose, store, wiki
 from ..conf import CONF, STOPWORDS
 from ..functions import text as T
 from ..operators import chat, community, entity, graph, planning, retrieve, search
@@ -671,10 +671,10 @@ _NEW = "SELECT doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n
 @query(f"SELECT path, CASE WHEN o.size IS NULL THEN 'added' WHEN n.size IS NULL THEN 'removed' ELSE 'changed' END AS state FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (path) WHERE o.size IS DISTINCT FROM n.size")
 def snapshot_diff(spark, d):
     docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("o"))
-    new = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n"))
-    both = old.join(new, "path", "full").where(~F.col("o").eqNullSafe(F.col("n")))
-    return both.select("path", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed").alias("state"))
+    was = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("rel_path"), F.col("n_chars").alias("length"), F.lit(0).alias("modified"))
+    now = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("rel_path"), F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("length"), F.lit(0).alias("modified"))
+    names = F.create_map(F.lit("new"), F.lit("added"), F.lit("gone"), F.lit("removed"), F.lit("changed"), F.lit("changed"))
+    return store.compare_snapshots(was, now).select(F.col("rel_path").alias("path"), names[F.col("change")].alias("state"))
 
 
 @query("SELECT source, sum(n_chars)::BIGINT AS chars, round(sum(n_chars) / (SELECT sum(n_chars) FROM documents), 6) AS share FROM documents GROUP BY 1 ORDER BY chars DESC, source LIMIT 10")
@@ -731,3 +731,99 @@ def query_expansion_rank(spark, d):
     plan = asked.select("query_id", "question", F.lit(None).cast("string").alias("kb"), empty.alias("symbols"), empty.alias("keywords"), empty.alias("path_globs"), F.col("question").alias("semantic_query"))
     found = planning.candidates(plan, planning.expansion_items(files, none, nodes)).where("place <= 6")
     return found.select("query_id", "source", F.col("text").alias("name"), "score", F.col("place").cast("long").alias("place"))
+
+
+# ---- entity graph on the tables: suppliers as files, brands as concepts, parts as symbols
+
+_TOPICS = "te AS (SELECT DISTINCT p_brand AS topic, n_name || '/' || s_name AS file, n_name, l_linestatus AS reason FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"
+
+
+def _topic_graph(spark, d):
+    t = {name: table(spark, d, name) for name in ("lineitem", "part", "supplier", "nation")}
+    files = t["supplier"].join(F.broadcast(t["nation"]), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", F.concat_ws("/", "n_name", "s_name").alias("source"))  # 25 nations
+    met = t["lineitem"].join(t["part"], F.col("p_partkey") == F.col("l_partkey")).join(files, F.col("s_suppkey") == F.col("l_suppkey")).select("p_brand", "source", "l_linestatus").distinct()
+    nodes = files.select(entity.file_id(F.col("source")).alias("id"), F.lit("file").alias("type"), "source", F.col("source").alias("name")).unionByName(
+        t["part"].select("p_brand").distinct().select(F.concat(F.lit("concept:"), "p_brand").alias("id"), F.lit("concept").alias("type"), F.lit("").alias("source"), F.col("p_brand").alias("name"))
+    )
+    edges = met.select(entity.file_id(F.col("source")).alias("source"), F.concat(F.lit("concept:"), "p_brand").alias("target"), F.lit("semantically_related").alias("type"), F.col("l_linestatus").alias("reason"), F.col("source").alias("evidence_source"))
+    return files, entity._shaped(nodes, entity.NODE), entity.distinct_edges(entity._shaped(edges, entity.EDGE))
+
+
+@query(f"WITH {_TOPICS} SELECT DISTINCT 'concept:' || topic AS node, file FROM te")
+def attachment_files(spark, d):
+    _, nodes, edges = _topic_graph(spark, d)
+    return entity.attachments(nodes, edges)
+
+
+@query(f"""WITH {_TOPICS}, fc AS (SELECT n_name AS community, topic, count(DISTINCT file) AS file_count FROM te GROUP BY 1, 2), ne AS (SELECT topic, count(*) AS n FROM te GROUP BY 1)
+SELECT community, topic AS name, file_count, 100 * file_count + n AS score, row_number() OVER (PARTITION BY community ORDER BY 100 * file_count + n DESC, topic) AS rank FROM fc JOIN ne USING (topic) QUALIFY rank <= 5""")
+def top_concepts(spark, d):
+    files, nodes, edges = _topic_graph(spark, d)
+    member = files.select(F.col("source").alias("rel_path"), F.col("n_name").alias("community"))
+    return community.top_topics(member, nodes, edges).select("community", "name", "file_count", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH t AS (SELECT c_custkey, n_name, count(*) AS score FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)
+SELECT n_name AS community, c_custkey AS name, score, row_number() OVER (PARTITION BY n_name ORDER BY score DESC, c_custkey::VARCHAR) AS rank FROM t QUALIFY rank <= 5""")
+def top_symbols(spark, d):
+    own = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    nodes = own.select(F.concat(F.lit("symbol:"), "c_custkey").alias("id"), F.lit("symbol").alias("type"), F.lit("function").alias("symbol_kind"), F.col("c_custkey").cast("string").alias("qualified_name"), F.lit("").alias("name"), F.col("n_name").alias("source"))
+    edges = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("source"), F.concat(F.lit("symbol:"), "o_custkey").alias("target"))
+    member = own.select(F.col("n_name").alias("rel_path"), F.col("n_name").alias("community")).distinct()
+    return community.top_symbols(member, nodes, edges).select("community", F.col("name").cast("long").alias("name"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+_KIND = "CASE l_returnflag WHEN 'A' THEN 'references' WHEN 'N' THEN 'links_to' ELSE 'imports' END"
+
+
+@query(f"""WITH f AS (SELECT n_nationkey, r_name || '/' || n_name AS path, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+e AS (SELECT DISTINCT c.path AS src, s.path AS dst, c.r_name = s.r_name AS same, {_KIND} AS kind, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 1 END AS priority, o_orderpriority AS reason
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN f c ON c.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN f s ON s.n_nationkey = s_nationkey WHERE c.path <> s.path),
+b AS (SELECT src, dst, any_value(same) AS same, min((priority, kind, reason)) AS m FROM e GROUP BY 1, 2)
+SELECT src, dst, m[2] AS kind, m[1]::BIGINT AS priority, m[3] AS reason, row_number() OVER (PARTITION BY src ORDER BY m[1], same DESC, dst) AS rank FROM b""".replace("m[2]", "struct_extract(m, 2)").replace("m[1]", "struct_extract(m, 1)").replace("m[3]", "struct_extract(m, 3)"))
+def entity_file_neighbors(spark, d):
+    """Nations as files of a region's kb, order lines as edges between customer's and supplier's."""
+    t = {name: table(spark, d, name) for name in ("lineitem", "orders", "customer", "supplier", "nation", "region")}
+    f = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("path"))
+    nodes = f.select(entity.file_id(F.col("path")).alias("id"), F.lit("file").alias("type"), F.col("path").alias("source"), F.col("path").alias("name"))
+    side = lambda name: F.broadcast(f.select(F.col("n_nationkey").alias(f"{name}_key"), F.col("path").alias(name)))  # noqa: E731  25 nations
+    line = t["lineitem"].join(t["orders"], F.col("o_orderkey") == F.col("l_orderkey")).join(t["customer"], F.col("c_custkey") == F.col("o_custkey")).join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey")).join(side("src"), F.col("src_key") == F.col("c_nationkey")).join(side("dst"), F.col("dst_key") == F.col("s_nationkey"))
+    edges = line.select(entity.file_id(F.col("src")).alias("source"), entity.file_id(F.col("dst")).alias("target"), F.expr(_KIND).alias("type"), F.col("o_orderpriority").alias("reason"), F.col("src").alias("evidence_source")).distinct()
+    near = entity.file_neighbors(entity._shaped(nodes, entity.NODE), entity.distinct_edges(entity._shaped(edges, entity.EDGE)))
+    return near.select("src", "dst", "kind", F.col("priority").cast("long").alias("priority"), "reason", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH f AS (SELECT 'k' || (p_size % 5) || '/m' || (p_partkey // 2) || '.py' AS path, 'k' || (p_size % 5) AS kb, 'm' || (p_partkey // 2) AS stem FROM part), g AS (SELECT DISTINCT * FROM f),
+a AS (SELECT stem, min(path) AS far FROM g GROUP BY 1 HAVING count(*) = 1), k AS (SELECT stem, kb, min(path) AS near FROM g GROUP BY 1, 2 HAVING count(*) = 1),
+i AS (SELECT DISTINCT 'k' || (l_suppkey % 5) AS kb, l_suppkey, 'm' || (l_partkey // 2) AS stem FROM lineitem)
+SELECT i.l_suppkey, i.stem AS module, coalesce(near, far) AS target FROM i LEFT JOIN k USING (stem, kb) LEFT JOIN a USING (stem) WHERE coalesce(near, far) IS NOT NULL""")
+def import_resolution(spark, d):
+    """Modules named by parts, imported by suppliers: unique in the kb, else unique at all, by the longest prefix that is a module."""
+    files = table(spark, d, "part").select(F.concat(F.lit("k"), F.col("p_size") % 5, F.lit("/m"), F.floor(F.col("p_partkey") / 2), F.lit(".py")).alias("rel_path")).distinct()
+    asked = table(spark, d, "lineitem").select("l_suppkey", F.floor(F.col("l_partkey") / 2).alias("m")).distinct()
+    kb = F.concat(F.lit("k"), F.col("l_suppkey") % 5)
+    name = F.concat(F.lit("m"), "m", F.lit(".part.fn"))
+    nodes = asked.select(F.concat_ws(":", "l_suppkey", "m").alias("id"), F.lit("symbol").alias("type"), F.lit("import").alias("symbol_kind"), F.concat(kb, F.lit("/s"), "l_suppkey", F.lit(".py")).alias("source"), kb.alias("kb"), name.alias("qualified_name"))
+    found = entity.import_edges(entity._shaped(nodes, entity.NODE), files)
+    return found.select(F.split("source", ":")[0].cast("long").alias("l_suppkey"), F.split("reason", r"\.")[0].alias("module"), F.substring("target", 6, 1000).alias("target"))
+
+
+@query("""WITH m AS (SELECT 'd' || doc_id AS name, length(text) - length(replace(text, chr(10), '')) + 1 AS chunks, round(n_chars / 1024.0, 3)::DOUBLE AS size_kb FROM documents),
+f AS (SELECT 'many_tiny_chunks' AS flag, name, chunks::DOUBLE AS value FROM m WHERE chunks > 50 AND size_kb / chunks < 2 UNION ALL SELECT 'one_large_chunk', name, size_kb FROM m WHERE chunks = 1 AND size_kb > 50)
+SELECT flag, name, value FROM f QUALIFY row_number() OVER (PARTITION BY flag ORDER BY value DESC, name) <= 15""")
+def chunk_red_flags(spark, d):
+    docs = table(spark, d, "documents")
+    manifest = docs.select(F.concat(F.lit("d"), "doc_id").alias("name"), F.size(F.split("text", "\n", -1)).cast("long").alias("chunks"), F.round(F.col("n_chars") / 1024, 3).alias("size_kb"))
+    return diagnose.red_flags(manifest, docs.select(F.col("doc_id").cast("string").alias("source"), F.lit("code").alias("kind")))
+
+
+@query("""SELECT conv_id::VARCHAR AS rel_path, role AS sender, strftime(TIMESTAMP '2024-01-01' + to_minutes(turn::INT), '%Y-%m-%d %H:%M:%S') AS ts,
+array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS content FROM conversations WHERE trim(replace(text, chr(10), '')) <> ''""")
+def chat_messages(spark, d):
+    """Conversations written as chat exports, one a conversation, and read again."""
+    turns = table(spark, d, "conversations")
+    at = F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, int(turn), 0)"), "yyyy-MM-dd HH:mm:ss")
+    shown = F.concat(F.lit("**"), "role", F.lit("** `["), at, F.lit("]`\n"), "text", F.lit("\n"))
+    files = turns.select("conv_id", "turn", shown.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("xs"))  # the turns of one conversation
+    files = files.select(F.col("conv_id").cast("string").alias("rel_path"), F.array_join(F.transform("xs", lambda s: s["x"]), "\n").alias("text"))
+    return chat.messages(files).select("rel_path", "sender", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "content")

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import CONF, EDGE_PRIORITY, EngineConf
 from ..functions import text as T
+from .cuts import cut
 from .retrieve import top
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; a local one only on a local master where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tessellum-"))
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")  # Spark 4.1 fails to carry the constraints of some unions into a checkpoint
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set(name, before)
-
-
 def folded(path: Column) -> Column:
     """A path with one kind of slash, without empty and ``.`` parts, ``..`` taken back where there is something before it."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))

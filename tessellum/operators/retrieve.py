@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..conf import CONF, EngineConf
 from ..functions import text as T
+from .cuts import cut
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -19,16 +20,26 @@ def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(T.terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Asked terms up to this many are looked for inside each row; more are joined.
+TERMS = 5000
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int, conf: EngineConf = CONF, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each question (query_id, text).
 
-    Statistics are those of the whole corpus, whatever the scope; texts without a term are no part of them. Only the
-    terms that some question asks for are shuffled: lengths come from each row itself.
+    Statistics are those of the whole corpus, whatever the scope; texts without a term are no part of them. Texts are cut into
+    terms once: what is kept of each is its length and the terms that some question asks for, and only those are shuffled.
     """
+    asked = cut(questions.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")))
+    wanted = asked.select("term").distinct()
+    few = wanted.limit(TERMS + 1).count() <= TERMS  # checked: of the questions only
     own = docs.select("doc_id", T.terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms")).where("length > 0")
+    listed = [r["term"] for r in wanted.collect()] or [""] if few else []
+    own = cut(own.withColumn("terms", F.filter("terms", lambda t: t.isin(*listed)))) if few else own
     stats = own.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("avg"))
-    asked = questions.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    hits = own.select("doc_id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    hits = own.select("doc_id", "length", F.explode("terms").alias("term"))
+    hits = hits if few else hits.join(wanted, "term", "left_semi")
+    hits = hits.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -687,7 +687,8 @@ def token_share_top(spark, d):
 @query(f"WITH r AS ({bm25_sql('SELECT item_id AS query_id, text FROM benchmark', 10)}), e AS (SELECT item_id AS query_id, min(doc_id) AS want FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT query_id, want, min(rank) FILTER (doc_id = want) AS found_rank FROM e LEFT JOIN r USING (query_id) GROUP BY 1, 2")
 def probe_recall(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    want = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(asked), F.col("body").contains(F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("want"))
+    held = search._met(docs.select("doc_id", F.col("text").alias("body")), asked, F.col("body").contains(F.col("text")), CONF)  # in counted blocks
+    want = held.groupBy("query_id").agg(F.min("doc_id").alias("want"))
     hits = retrieve.bm25(docs, asked, 10).select("query_id", "doc_id", "rank")
     return want.join(hits, "query_id", "left").groupBy("query_id", "want").agg(F.min(F.when(F.col("doc_id") == F.col("want"), F.col("rank"))).cast("long").alias("found_rank"))
 

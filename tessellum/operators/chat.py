@@ -83,15 +83,20 @@ def windows_of(messages: list[dict], conf: EngineConf = CONF) -> list[list[dict]
     return out
 
 
+def rendered(window: list[dict], n: int) -> tuple[str, str]:
+    """(label, text) of the n-th window: its first and last minute, and ``[HH:MM] sender: content`` a message."""
+    times = [x["ts"] for x in window if x["ts"]]
+    label = f"{times[0]:%Y-%m-%d %H:%M} ~ {times[-1]:%Y-%m-%d %H:%M}" if times else f"window {n}"
+    return label, "\n".join(f"[{x['ts']:%H:%M}] {x['sender']}: {x['content']}" if x["ts"] else f"[?] {x['sender']}: {x['content']}" for x in window)
+
+
 def chunk_specs(messages: list[dict], size: int, overlap: int, conf: EngineConf = CONF) -> Iterator:
     """A chunk for each window: ``[HH:MM] sender: content`` a message, labelled with its first and last minute; long ones packed by lines."""
     from .chunk import Piece, sized
 
     def pieces() -> Iterator[Piece]:
         for n, w in enumerate(windows_of(messages, conf), 1):
-            times = [x["ts"] for x in w if x["ts"]]
-            label = f"{times[0]:%Y-%m-%d %H:%M} ~ {times[-1]:%Y-%m-%d %H:%M}" if times else f"window {n}"
-            text = "\n".join(f"[{x['ts']:%H:%M}] {x['sender']}: {x['content']}" if x["ts"] else f"[?] {x['sender']}: {x['content']}" for x in w)
+            label, text = rendered(w, n)
             yield Piece(text, w[0]["first"], w[-1]["last"], label, "chat")
 
     return sized(pieces(), size, overlap)

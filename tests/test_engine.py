@@ -82,3 +82,21 @@ def test_stream(spark, tmp_path, gap, windows):
     finally:
         query.stop()
     assert spark.table(name).where("key = 1").count() == windows
+
+
+def test_stream_of_chunks(spark, tmp_path):
+    from tessellum.streaming import chat
+
+    start = datetime(2024, 1, 1, 10)
+    rows = [(1, start + timedelta(minutes=2 * k), "Ann", f"text {k}") for k in range(3)] + [(1, start + timedelta(hours=9), "Bob", "late"), (2, start + timedelta(days=3), "Cy", "other")]
+    schema = "key long, ts timestamp, sender string, content string"
+    for n, part in enumerate((rows[:2], rows[2:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = chat.chat_chunks(stream).writeStream.format("memory").queryName("chat_chunks").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r["text"]: r["label"] for r in spark.table("chat_chunks").where("key = 1").collect()}
+    assert got["[10:00] Ann: text 0\n[10:02] Ann: text 1\n[10:04] Ann: text 2"] == "2024-01-01 10:00 ~ 2024-01-01 10:04"

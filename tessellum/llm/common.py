@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
 class Cut:
     """A frame written as Parquet in the shared folder and read again: its lineage starts at the files.
 
-    Lost executors cost a re-read, not a re-computation. ``drop`` deletes the files once nothing needs them.
+    Lost executors cost a re-read, not a re-computation. ``drop`` deletes the files once nothing needs them; what is left
+    is deleted when the driver ends.
     """
 
-    def __init__(self, df: DataFrame, name: str = "cut"):
+    def __init__(self, df: DataFrame, name: str = "cut", codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tessellum-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # what was shuffled for these files is not needed once they are written
+        try:
+            df.write.option("compression", codec).parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        self._file, self._fs = self._place()
+        self._fs.deleteOnExit(self._file)  # what nobody drops goes when the driver ends
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _place(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs.delete(self._file, True)
+        self._fs.cancelDeleteOnExit(self._file)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

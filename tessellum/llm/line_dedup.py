@@ -1,183 +1,274 @@
 """Fuzzy line dedup in DataFrame functions only: MinHash, banding, exact Jaccard, distributed union-find.
 
-A line is compared lower-cased, its white space folded; its set is its character shingles of SHINGLE code points (a shorter
+A line is compared lower-cased, its white space folded; its set is its character shingles of SHINGLE UTF-16 units (a shorter
 line is one shingle). Lines without a word are layout and always stay. Equal lines are one node (64-bit hash of the folded
-line). Nodes get HASHES = BANDS x ROWS minima over all their shingles; nodes that agree on a band are candidates: two lines
-at the threshold meet with probability 1 - (1 - 0.8^3)^10 = 0.9992.
-
-Inside a bucket every member is first verified against one hub (the line that occurs most often, as the source of a family
-of edited copies does). Where a bucket then still holds several components, another hub is taken, from outside the first
-one's component, until each bucket is one component or every member was a hub. What is left after HUB_ROUNDS is joined by
-prefixes instead: each set sorted from its rarest shingle, which finds every pair at the threshold without a bucket's pairs. Before texts are compared, a pair's minima are: pairs at the
-threshold agree in 24 of 30, and in fewer than AGREE once in some thousands.
+line). Nodes get HASHES = BANDS x ROWS minima; nodes that agree on a band are candidates: two lines at the threshold meet
+with probability 1 - (1 - 0.8^3)^8 = 0.997.
+
+Lines of more than LONG shingles take their minima over a fixed share of all possible shingles (one hash in SHARE, the
+same for every line) and their own first one; the Jaccard similarity within a random share of the universe is an unbiased
+estimate of the whole one. Lines whose number of shingles lies within the threshold of LONG are signed both ways, so no pair
+falls between; so are long lines of few different shingles. What a candidate pair is accepted by is always the whole sets.
+
+Inside a bucket every member is first verified against one hub (the most frequent line). Lines of buckets that then still
+hold several components meet in it if it is small; in larger ones they are joined by prefixes of their shingles, which finds
+what is left without a large bucket's pairs. Before texts are compared, a pair's minima are: pairs at the threshold
+agree in 19 of 24, and in fewer than AGREE once in some thousands. Edges of the second step are contracted: its union-find
+sees links between components only.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cut
 from .components import connected_components
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 8, 10, 3, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 3, 0.8
 HASHES = BANDS * ROWS
-HUB_ROUNDS = 4
-#: Least number of equal minima of a pair that is verified, and shingles that one row of the signature step takes.
-AGREE, STEP = 14, 8
-#: Tables of at most so many rows of two or three numbers are sent to every executor; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+LONG, SHARE, THIN = 128, 4, 8
+#: Least number of equal minima of a pair that is verified; lines that an open bucket may have to be paired in it.
+AGREE, FEW = 12, 64
+#: Tables of at most so many rows of one number are sent to every executor; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 _random = random.Random(1)
 #: Minima are taken under xor with constants spread over the range: nearest hashes to HASHES fixed points.
 _POINTS = [((j << 32) // HASHES + _random.randrange((1 << 32) // HASHES)) - (1 << 31) for j in range(HASHES)]
+_MINIMA = [f"s{j}" for j in range(HASHES)]
+_BLANKS = ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells the rows of a table apart besides their id: rows alike in id and text share it."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), doc_id.isNull(), text.isNull())
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, folded, node) of every line that holds a word. Texts are folded whole, before they are split."""
-    folded = F.lower(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(folded, "\n", -1)).alias("pos", "line"))
-    return split.select("doc_id", "pos", F.trim("line").alias("folded")).where("folded <> ''").withColumn("node", F.xxhash64("folded"))
+    """(doc_id, row, pos, folded, node) of every line that holds a word."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    split = own.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "line"))
+    blanks = F.lit(False)
+    for b in _BLANKS:  # the pattern is applied to the lines that need it
+        blanks = blanks | F.contains("line", F.lit(b))
+    folded = F.trim(F.when(blanks, F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line")))
+    return split.select("doc_id", "row", "pos", folded.alias("folded")).where("folded <> ''").withColumn("node", F.xxhash64("folded"))
 
 
-def _last(folded: Column) -> Column:
-    """Where the last shingle starts."""
-    return F.greatest(F.length(folded) - SHINGLE, F.lit(0))
+def _code(folded: Column) -> Column:
+    return F.encode(folded, "UTF-16BE")
 
 
-def _shingle(code: Column, at: Column) -> Column:
-    """The shingle at a place of a text in UTF-32, whose characters are all four bytes wide."""
-    return F.substring(code, 4 * at + 1, F.lit(4 * SHINGLE))
+def _last(code: Column) -> Column:
+    """Where the last shingle of a text in UTF-16 starts."""
+    return F.greatest((F.octet_length(code) / 2).cast("int") - SHINGLE, F.lit(0))
 
 
-def signatures(found: DataFrame) -> DataFrame:
-    """(node, n, first, s0..): occurrences, least doc_id and minima of every distinct line. Partial minima form before the shuffle.
+def _shingle(code: Column, at: Column) -> Column:
+    return F.substring(code, 2 * at + 1, F.lit(2 * SHINGLE))
 
-    A row takes STEP neighbouring shingles; past the end the last one is taken again, which changes no minimum.
-    """
-    wide = found.select("node", "doc_id", F.encode("folded", "UTF-32").alias("code"), _last(F.col("folded")).alias("last"))
-    spread = wide.select("node", "doc_id", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
-    hashes = [F.hash(_shingle(F.col("code"), F.least(F.col("at") + i, F.col("last")))).alias(f"h{i}") for i in range(STEP)]
-    hashed = spread.select("node", "doc_id", (F.col("at") == 0).cast("long").alias("one"), *hashes)
-    least = [F.min(F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(p)) for i in range(STEP)])).alias(f"s{j}") for j, p in enumerate(_POINTS)]
-    return hashed.groupBy("node").agg(F.sum("one").alias("n"), F.min("doc_id").alias("first"), *least)
 
+def _minima(wide: DataFrame) -> DataFrame:
+    """(node, whole, code) -> (node, whole, n, s0..): occurrences and minima. Partial minima form before the shuffle."""
+    spread = wide.select("node", "whole", "code", F.explode(F.sequence(F.lit(0), _last(F.col("code")))).alias("at"))
+    hashed = spread.select("node", "whole", (F.col("at") == 0).alias("first"), F.hash(_shingle(F.col("code"), F.col("at"))).alias("h"))
+    heard = hashed.where(F.col("whole") | F.col("first") | (F.col("h").bitwiseAND(SHARE - 1) == 0))
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(s) for s, p in zip(_MINIMA, _POINTS)]
+    return heard.groupBy("node", "whole").agg(F.sum(F.col("first").cast("int")).alias("n"), *least)
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """(key, node, weight) for each band of each node; weight orders hubs: occurrences first, then the node's own bits."""
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    weight = F.shiftleft(F.least("n", F.lit(16383)), 48).bitwiseOR(F.shiftrightunsigned("node", 16))
-    return signed.select(F.explode(bands).alias("key"), "node", weight.alias("weight"))
 
+def signatures(found: DataFrame) -> Cut:
+    """(node, whole, n, s0..), as a cut, of every distinct line; whole: whether the minima are over all shingles."""
+    wide = found.select("node", _code(F.col("folded")).alias("code"))
+    count = _last(F.col("code")) + 1
+    ways = F.when(count > LONG, F.array(F.lit(False))).when(count >= THRESHOLD * LONG, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    signed = Cut(_minima(wide.select("node", "code", F.explode(ways).alias("whole"))), "line-signatures")
+    reached = F.array_distinct(F.array(*[F.col(s).bitwiseXOR(F.lit(p)) for s, p in zip(_MINIMA, _POINTS)]))
+    thin = signed.df.where(~F.col("whole") & (F.size(reached) <= THIN)).select(F.col("node").alias("node2"))
+    if thin.isEmpty():
+        return signed
+    again = found.where(F.length("folded") > LONG).select("node", "folded").join(_small(thin), F.col("node") == F.col("node2"), "left_semi")
+    _minima(again.select("node", F.lit(True).alias("whole"), _code(F.col("folded")).alias("code"))).write.mode("append").parquet(signed.path)
+    signed.df = signed.spark.read.schema(signed.df.schema).parquet(signed.path)
+    return signed
 
-def _shingles(folded: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(folded, "UTF-32")), lambda code: F.transform(F.sequence(F.lit(0), _last(folded)), lambda i: F.xxhash64(_shingle(code, i))))))
 
+def _bands() -> Column:
+    """A key for each band of a node."""
+    return F.array(*[F.xxhash64(F.lit(b), "whole", *_MINIMA[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more. texts: node, folded, s0.."""
-    minima = [f"s{j}" for j in range(HASHES)]
-    left = texts.select(F.col("node").alias("a2"), F.col("folded").alias("fa"), *[F.col(c).alias(f"a{c}") for c in minima])
-    right = texts.select(F.col("node").alias("b2"), F.col("folded").alias("fb"), *[F.col(c).alias(f"b{c}") for c in minima])
-    agree = sum(((F.col(f"a{c}") == F.col(f"b{c}")).cast("int") for c in minima), F.lit(0))
-    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2")).where(agree >= AGREE)
+
+def _shingles(folded: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(F.array(_code(folded)), lambda code: F.transform(F.sequence(F.lit(0), _last(code)), lambda i: F.xxhash64(_shingle(code, i))))))
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in AGREE minima at least, taken the same way."""
+    packed = signed.select("node", "whole", F.array(*_MINIMA).alias("s"))
+    left = packed.select(F.col("node").alias("a2"), F.col("whole").alias("wa"), F.col("s").alias("sa"))
+    right = packed.select(F.col("node").alias("b2"), F.col("whole").alias("wb"), F.col("s").alias("sb"))
+    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, (F.col("b") == F.col("b2")) & (F.col("wa") == F.col("wb")))
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    return both.where(agree >= AGREE).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more. found: node, folded."""
+    pairs = Cut(pairs.select("a", "b"), "line-pairs").df
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node2")).distinct()
+    texts = found.select("node", "folded").join(_small(ends), F.col("node") == F.col("node2"), "left_semi").dropDuplicates(["node"])
+    texts = Cut(texts, "line-texts")
+    left, right = texts.df.select(F.col("node").alias("a2"), F.col("folded").alias("fa")), texts.df.select(F.col("node").alias("b2"), F.col("folded").alias("fb"))
+    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2"))
     sets = both.select("a", "b", _shingles(F.col("fa")).alias("x"), _shingles(F.col("fb")).alias("y"))
     sized = sets.where(F.least(F.size("x"), F.size("y")) >= THRESHOLD * F.greatest(F.size("x"), F.size("y")))
     shared = sized.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
-    return shared.where(F.col("shared") >= THRESHOLD * (F.col("sum") - F.col("shared"))).select("a", "b")
-
-
-def components(found: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, component) of lines that have a fuzzy partner."""
-    banded = buckets(signed)
-    several = Cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.max_by("node", "weight").alias("hub")).where("c > 1").select("key", "hub"), "line-hubs").df
-    several2 = several.withColumnRenamed("key", "key2")
-    now = Cut(banded.join(_small(several2), F.col("key") == F.col("key2")).drop("key2"), "line-buckets").df
-    candidates = now.select(F.col("node").alias("node2")).distinct()
-    candidates = Cut(candidates, "line-candidates").df
-    # one text for each candidate; equal nodes have equal texts
-    texts = found.join(_small(candidates), F.col("node") == F.col("node2"), "left_semi").select("node", "folded").distinct()
-    minima = signed.join(_small(candidates), F.col("node") == F.col("node2"), "left_semi").select(F.col("node").alias("node3"), *[f"s{j}" for j in range(HASHES)])
-    texts = Cut(texts.join(minima, F.col("node") == F.col("node3")).drop("node3"), "line-texts").df
-    edges = None
-    now = now.withColumn("own", F.col("node"))
-    for _ in range(HUB_ROUNDS):
-        pairs = now.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        new = Cut(verified(pairs, texts), "line-edges").df
-        edges = new if edges is None else edges.unionByName(new)
-        parts = connected_components(edges, "a", "b")
-        rest = now.where("node <> hub").select("key", "node", "weight", "hub")
-        rest = rest.join(parts.select(F.col("node").alias("n2"), F.col("component").alias("own")), F.col("node") == F.col("n2"), "left")
-        rest = rest.join(parts.select(F.col("node").alias("n3"), F.col("component").alias("theirs")), F.col("hub") == F.col("n3"), "left")
-        rest = rest.select("key", "node", "weight", F.coalesce("own", "node").alias("own"), F.coalesce("theirs", "hub").alias("theirs"))
-        # the next hub stands outside the last one's component, if any member does
-        order = F.when(F.col("own") != F.col("theirs"), F.shiftrightunsigned("weight", 1).bitwiseOR(F.lit(1 << 61))).otherwise(F.shiftrightunsigned("weight", 1))
-        open_ = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max_by("node", order).alias("hub")).where("low <> high").select(F.col("key").alias("key2"), "hub")
-        open_ = Cut(open_, "line-open").df
-        if open_.isEmpty():
-            return parts
-        now = Cut(rest.join(_small(open_), F.col("key") == F.col("key2")).select("key", "node", "weight", "own", "hub"), "line-buckets").df
-    left = Cut(_sharing_rare(now.select("node", "own").distinct(), texts), "line-rest").df
-    new = Cut(verified(left, texts), "line-edges").df
-    return connected_components(new if edges is None else edges.unionByName(new), "a", "b")
-
-
-def _sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among the rest (node, own) that can reach THRESHOLD, by prefixes of their sets.
-
-    With each set sorted from its rarest shingle, two sets at the threshold share one among their first n - ceil(0.8 n) + 1.
+    out = Cut(shared.where(F.col("shared") >= THRESHOLD * (F.col("sum") - F.col("shared"))).select("a", "b"), "line-edges").df
+    texts.drop()
+    return out
+
+
+def _pairs(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+class Labels:
+    """(node, component) of all nodes that have a link so far; ``link`` contracts new edges to components before it joins them."""
+
+    def __init__(self) -> None:
+        self.df: DataFrame | None = None
+
+    def of(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        if self.df is None:
+            return df.withColumn(name, F.col(node))
+        own = self.df.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+        return df.join(own, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__component", node)).drop("__node", "__component")
+
+    def link(self, edges: DataFrame) -> None:
+        over = self.of(self.of(edges, "a", "ca"), "b", "cb").where("ca <> cb").select("ca", "cb").distinct()
+        parts = connected_components(over, "ca", "cb").select(F.col("node").alias("old"), F.col("component").alias("new"))
+        if self.df is None:
+            self.df = Cut(parts.select(F.col("old").alias("node"), F.col("new").alias("component")), "line-labels").df
+            return
+        moved = self.df.join(parts, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        fresh = parts.join(self.df.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        self.df = Cut(moved.unionByName(fresh), "line-labels").df
+
+
+def components(found: DataFrame, signatures: Cut) -> DataFrame:
+    """(node, component) of lines that have a fuzzy partner. Drops the signatures."""
+    signed = signatures.df
+    order = F.shiftleft(F.least("n", F.lit(16383)), 48).bitwiseOR(F.shiftrightunsigned("node", 16))  # the most frequent line is the hub
+    keyed = signed.select("node", order.alias("order"), F.explode(_bands()).alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max_by("node", "order").alias("hub")).where("c > 1").select(F.col("key").alias("key2"), "hub")
+    members = keyed.select("key", "node").join(several, F.col("key") == F.col("key2"))
+    now = Cut(members.select("key", "node", "hub"), "line-buckets")
+    near = Cut(signed.join(now.df.select(F.col("node").alias("node2")).distinct(), F.col("node") == F.col("node2"), "left_semi"), "line-candidates")
+    signatures.drop()
+    labels = Labels()
+    labels.link(verified(_agreeing(now.df.where("node <> hub").select(*_pairs("node", "hub")).distinct(), near.df), found))
+    placed = labels.of(now.df.where("node <> hub").select("key", "node"), "node", "own")  # the hub has met all others
+    open_ = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("often")).where("low <> high").select(F.col("key").alias("key2"), "often")
+    rest = Cut(placed.join(open_, F.col("key") == F.col("key2")).select("key", "node", "own", "often"), "line-rest")
+    now.drop()
+    if not rest.df.isEmpty():
+        labels.link(verified(_apart(rest.df, near.df, found), found))
+    near.drop()
+    return labels.df
+
+
+def _prefix(single: DataFrame) -> DataFrame:
+    """Of (node, own, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
+    often = single.groupBy("t").agg(F.count("*").alias("often")).where("often > 1").select(F.col("t").alias("t2"), "often")
+    shared = single.join(often, F.col("t") == F.col("t2"))
+    # one line's tokens; those that no other line has come first and are only counted
+    listed = shared.groupBy("node", "own", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
+    kept = F.slice("ts", F.lit(1), F.greatest(F.col("most") - F.col("size") + F.size("ts"), F.lit(0)).cast("int"))
+    spread = listed.select("node", "own", "size", (F.col("size") - F.size("ts")).alias("alone"), F.transform(kept, lambda x: x["t"]).alias("all"), F.posexplode(kept).alias("at", "x"))
+    return spread.select("x.t", "node", "own", "size", (F.col("alone") + F.col("at") + 1).alias("place"), "x.often", F.slice("all", F.lit(1), F.col("at")).alias("prev"))
+
+
+def _meeting(prefix: DataFrame, needed: Column) -> DataFrame:
+    """Pairs (a, b) of different components that share a token, at the first one they share, if they can share ``needed`` (of size and size2).
+
+    All sets are in one order, so those that share no token before this one share at most this and what follows it in either.
     """
-    own = rest.join(texts.select(F.col("node").alias("n2"), "folded"), F.col("node") == F.col("n2"))
-    sets = own.select("node", "own", _shingles(F.col("folded")).alias("x")).withColumn("most", F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1)
-    single = Cut(sets.select("node", "own", "most", F.explode("x").alias("t")), "line-rare").df
-    often = single.groupBy("t").agg(F.count("*").alias("often")).withColumnRenamed("t", "t2")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "t"))  # one line's shingles
-    prefix = single.join(often, F.col("t") == F.col("t2")).withColumn("place", place).where("place <= most and often > 1")
-    prefix = Cut(prefix.select("t", "node", "own"), "line-prefix").df
-    other = prefix.select(F.col("t").alias("t2"), F.col("node").alias("b"), F.col("own").alias("ob"))
-    met = prefix.join(other, (F.col("t") == F.col("t2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b")))
+    other = prefix.select(F.col("t").alias("t2"), F.col("node").alias("b"), F.col("own").alias("ob"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("prev").alias("prev2"))
+    most = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    met = prefix.join(other, (F.col("t") == F.col("t2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b")) & (most >= needed) & ~F.arrays_overlap("prev", "prev2"))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
+def _apart(rest: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within the open buckets (key, node, own, often) that can reach THRESHOLD.
+
+    In a bucket of up to FEW lines each meets the others. Lines of larger ones meet by the rarest of all their shingles
+    instead: with each set sorted from its rarest shingle, two sets at the threshold share one among their first
+    n - ceil(0.8 n) + 1, and enough may follow.
+    """
+    few = rest.where(F.col("often") <= FEW)
+    other = few.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("own").alias("ob"))
+    met = few.join(other, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
+    pairs = _agreeing(met, near)
+    crowd = Cut(rest.where(F.col("often") > FEW).select("node", "own").distinct(), "line-crowd").df
+    if crowd.isEmpty():
+        return pairs
+    texts = found.select(F.col("node").alias("n2"), "folded").join(_small(crowd.select(F.col("node").alias("n3"))), F.col("n2") == F.col("n3"), "left_semi").dropDuplicates(["n2"])
+    sets = crowd.join(texts, F.col("node") == F.col("n2")).select("node", "own", _shingles(F.col("folded")).alias("x"))
+    single = Cut(sets.select("node", "own", F.size("x").alias("size"), (F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1).alias("most"), F.explode("x").alias("t")), "line-rare")
+    prefix = Cut(_prefix(single.df), "line-prefix").df
+    single.drop()
+    shared = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("size2")) - 1e-6)
+    return pairs.unionByName(_agreeing(_meeting(prefix, shared), near)).distinct()
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): for each document that loses lines, their positions.
+    """(doc_id, row, gone): for each document that loses lines, their positions.
 
-    One line of each component stays: the first one (lowest position) in the document with the least id.
+    One line of each component stays: the first one (lowest position) in the document of least id (null last), then least row key.
     """
-    found = Cut(lines(docs), "lines").df
-    signed = Cut(signatures(found), "line-signatures").df
+    kept_lines = Cut(lines(docs), "lines", "zstd")
+    found = kept_lines.df
+    signed = signatures(found)
+    repeated = Cut(signed.df.where("n > 1").select("node").distinct(), "line-repeated").df
     parts = components(found, signed)
-    named = signed.select("node", "n", "first").join(parts.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    named = named.where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("component"))
-    named = Cut(named, "line-named").df
-    keep = named.groupBy("component").agg(F.min("first").alias("keeper")).withColumnRenamed("component", "c2")
-    named = Cut(named.join(keep, F.col("component") == F.col("c2")).select(F.col("node").alias("n2"), "component", "keeper"), "line-named").df
-    hits = found.select("doc_id", "pos", "node").join(_small(named), F.col("node") == F.col("n2")).select("doc_id", "pos", "component", "keeper")
+    own = parts.select(F.col("node").alias("n2"), "component")
+    named = own.unionByName(repeated.join(own, F.col("node") == F.col("n2"), "left_anti").select(F.col("node").alias("n2"), F.col("node").alias("component")))
+    hits = found.select("doc_id", "row", "pos", "node").join(named, F.col("node") == F.col("n2")).select("doc_id", "row", "pos", "component")
     hits = Cut(hits, "line-hits").df
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("component").agg(F.min("pos").alias("at")).withColumnRenamed("component", "c2")
-    gone = hits.join(_small(stays), (F.col("component") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("pos") == F.col("at")), "left_anti")
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))  # at most the lines of one document
+    kept_lines.drop()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
+    stays = hits.groupBy("component").agg(F.min(place).alias("at")).select(F.col("component").alias("c2"), "at")
+    same = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row")) & (F.col("pos") == F.col("at.pos"))
+    gone = hits.join(stays, F.col("component") == F.col("c2")).where(~same)
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))  # at most the lines of one document
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns and rows, with ``text`` without the lines that others stand for; n_chars, if there, follows.
 
-    No document goes: one whose lines all occur earlier keeps an empty text. Null texts stay null; rows that repeat an id
-    lose the same positions; lines in rows with a null id only stay where no other row has them. Empty tables are returned as they are.
+    No document goes: one whose lines all occur earlier keeps an empty text. Null texts stay null. Rows that repeat an id
+    with another text are documents of their own; rows alike in id and text are one document and lose the same lines.
+    Rows with a null id come last, so their lines stay where no other row has them. Empty tables are returned as they are;
+    other columns may have any name.
     """
-    gone = removed(docs).select(F.col("doc_id").alias("__id"), "gone").withColumnRenamed("gone", "__gone")
-    gone = Cut(gone, "line-gone").df
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
-    split = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    out = joined.withColumn("text", text).drop("__id", "__gone")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    id_, text_ = F.col("own.doc_id").cast("long"), F.col("own.text")
+    gone = Cut(removed(docs.select("doc_id", "text")), "line-gone").df
+    gone = gone.select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "row").alias("at"), "gone")
+    joined = own.withColumn("here", F.struct(F.coalesce(id_, F.lit(0)).alias("i"), row_key(id_, text_).alias("row"))).join(gone, F.col("here") == F.col("at"), "left")
+    split = F.split(text_.cast("string"), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), text_).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    out = joined.select("own", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:

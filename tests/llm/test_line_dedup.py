@@ -53,9 +53,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("rounds", [4, 0])
+@pytest.mark.parametrize("rounds", [64, 1])
 def test_against_all_pairs(frame, monkeypatch, rounds):
-    monkeypatch.setattr(ld, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ld, "FEW", rounds)
     rows = corpus()
     got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(rows)).collect()}
     want = brute(rows)

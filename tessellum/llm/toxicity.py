@@ -10,11 +10,11 @@ numbers, and a text's logit is their mean. Only that table (BUCKETS floats, 1 MB
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -74,11 +74,14 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
         word_of.append(np.fromiter(own.keys(), np.int32, len(own)))
         count_of.append(np.fromiter(own.values(), np.float32, len(own)) / max(1, sum(own.values())))
     doc, word, share = np.concatenate(doc_of), np.concatenate(word_of), np.concatenate(count_of)
-    grams = [buckets(w) for w in known]
-    size = np.array([len(g) for g in grams], np.int32)
-    gram = np.fromiter((x for g in grams for x in g), np.int32, int(size.sum()))
-    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), size)
-    del grams, known
+    packed, sizes = array("i"), array("i")
+    for w in known:
+        own_grams = buckets(w)
+        sizes.append(len(own_grams))
+        packed.extend(own_grams if isinstance(own_grams, list) else own_grams.tolist())
+    size, gram = np.array(sizes, np.int32), np.frombuffer(packed, np.int32)
+    of_word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    del known
     starts = np.r_[0, np.cumsum(size)[:-1]]
     n_docs, n_words = len(texts), len(size)
     in_docs = np.bincount(gram, np.bincount(word, minlength=n_words)[of_word], BUCKETS)
@@ -178,11 +181,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that the model trained on ``labels`` does not predict toxic."""
     shipped = spark.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
-        for batch in texts:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.where(toxic(F.col("text").cast("string")) < 0.5)
+    return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +80,13 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str
             yield m[0].lower(), m.start(), m.end()
 
 
+def term_key(term: str) -> int:
+    """64 bits that stand for a term in the tables: terms are counted and compared, never shown."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    near = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         ids, columns = [], ([], [], [], [], [], [], [])
         for doc_id, value in zip(batch.column(0), batch.column(1)):
@@ -88,7 +94,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             counts = Counter(k for k, _, _ in spans)
             ids.append(doc_id.as_py())
-            found = [dict(zip(("term", "start", "end"), c)) for c in contexts(text, spans)]
+            found = [{"term": term_key(t), "start": a, "end": b} for t, a, b in contexts(text, spans)]
             entities = sorted({f"{k}:{text[a:b].lower()}" for k, a, b in spans})
             row = (*(counts[k] for k in KINDS[:4]), ",".join(f"{k}:{a}:{b}" for k, a, b in spans), found, entities)
             for column, x in zip(columns, row):
@@ -97,42 +103,55 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "entities"])
 
 
-def _term_documents(known: frozenset[str] | None):
+def _scan_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for out in _scan(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], names=[*out.schema.names, "text_key"])
+
+
+def _term_documents(known: frozenset[int] | None):
     """Documents that hold each term, counted over a batch; of all terms, or of the known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for value in batch.column(0):
-                terms = {t.lower() for t in set(_TERM.findall(value.as_py() or ""))}
-                counts.update(terms if known is None else terms & known)
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+                counts.update({t.lower() for t in set(_TERM.findall(value.as_py() or ""))})
+            keyed = {term_key(t): n for t, n in counts.items()}
+            kept = keyed if known is None else {k: n for k, n in keyed.items() if k in known}
+            yield pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.int64()), pa.array(kept.values(), pa.int64())], names=["term", "n"])
 
     return run
 
 
-def detect(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def detect(spark: SparkSession, docs: DataFrame, keep_text_key: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, spans (all spans as kind:start:end, comma-joined), one row an input row.
 
     A null text is empty; empty tables give no rows; repeated rows count as documents of their own. Offsets are code points.
+    ``keep_text_key`` adds text_key, a hash of each row's text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,start:int,end:int>>, entities array<string>"
-    found = Cut(texts.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id()), "pii").df
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:bigint,start:int,end:int>>, entities array<string>"
+    if keep_text_key:
+        keyed = texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+        found = keyed.mapInArrow(_scan_keyed, schema + ", text_key long")
+    else:
+        found = texts.mapInArrow(_scan, schema)
+    found = Cut(found.withColumn("row", F.monotonically_increasing_id()), "pii").df
     total = found.count()
     near = found.select("row", F.explode("near").alias("c")).select("row", "c.*")
     holds = found.select("row", F.explode("entities").alias("entity"))
     # entities of the same documents have the same shares: they are one, so lists of addresses do not multiply the terms
-    same = [F.bit_xor(F.xxhash64(F.lit(k), "row")).cast("string") for k in (1, 2)]
-    entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), F.concat_ws(":", *same).alias("at"))
-    entity = holds.join(entity, "entity").select("row", F.concat_ws(":", "n_entity", "at").alias("entity"), "n_entity").distinct()
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"at{k}") for k in (1, 2)]
+    entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), *same)
+    entity = holds.join(entity, "entity").select("row", F.xxhash64("n_entity", "at1", "at2").alias("entity"), "n_entity").distinct()
     entity = Cut(entity, "entity").df
     terms = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
     joint = Cut(entity.join(terms, "row").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both")), "joint").df
     wanted = joint.select("term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # checked: beyond it all terms are counted and joined
     known = frozenset(r["term"] for r in wanted.collect()) if few else None
-    counted = texts.select("text").mapInArrow(_term_documents(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counted = texts.select("text").mapInArrow(_term_documents(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.nullif(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(0.0)) * F.col("both") / (F.col("both") + SMOOTH)
     told = joint.join(counted, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
@@ -144,7 +163,8 @@ def detect(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = F.transform("m", lambda x: F.concat_ws(":", F.when(x["kind"] == 1, F.lit("remove")).otherwise(F.lit("generalise")), x["start"], x["end"]))
     marks = marks.select(F.col("row").alias("row2"), F.array_join(named, ",").alias("more"))
     out = found.drop("near", "entities").join(marks, F.col("row") == F.col("row2"), "left")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"))
+    extra = ["text_key"] if keep_text_key else []
+    return out.select("doc_id", *extra, "n_email", "n_ip", "n_card", "n_phone", "base", F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"))
 
 
 def redact(text: str, spans: str) -> str:
@@ -161,17 +181,20 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with ``text`` sanitised. Rows of one id and text are alike; a null text stays null."""
-    spans = detect(spark, docs).where("spans <> ''").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("spans").alias("__spans"))
+    """The documents, all columns, with ``text`` sanitised; a null text stays null.
+
+    Spans belong to a row by its id (null or not) and its text, so rows that repeat an id with another text, and rows without
+    an id, get their own. Rows alike in both are alike. Columns may have any name.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    key = lambda doc_id, text: F.struct(F.coalesce(doc_id.cast("long"), F.lit(0)).alias("i"), doc_id.isNull().alias("n"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("t"))
+    spans = detect(spark, docs, keep_text_key=True).where("spans <> ''").select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"), F.col("text_key").alias("t")).alias("at"), "spans")
+    spans = spans.groupBy("at").agg(F.max("spans").alias("spans"))  # rows alike have like spans
 
     @F.pandas_udf("string")
     def apply(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, s):
-            if t is None or s is None:
-                return t
-            base = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t))
-            return redact(t, next((x for x in sorted(s, key=len, reverse=True) if x == base or x.startswith(base + ",") or not base), base))
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
+        return pd.Series([t if t is None or s is None else redact(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    return docs.join(spans, docs["doc_id"] == F.col("__id"), "left").withColumn("text", apply("text", "__spans")).drop("__id", "__spans")
+    joined = own.withColumn("here", key(F.col("own.doc_id"), F.col("own.text"))).join(spans, F.col("here") == F.col("at"), "left")
+    out = joined.select("own", apply(F.col("own.text").cast("string"), F.col("spans")).alias("text"))
+    return out.select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])

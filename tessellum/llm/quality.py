@@ -1,10 +1,15 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Statistics of every whole text give a transformed vector (log length, log word length, log symbol rate, shares of repeated
-lines and words). Per language and source a minimum-covariance-determinant estimate is found by concentration steps: from
-medians and median deviations, take the three quarters of the rows that lie nearest, estimate mean and covariance from
-them, measure again, and so on. The covariance is then scaled, up or down, so that the three quarters that lie nearest are
-as near as those of a normal distribution, and a row is rejected if its squared Mahalanobis distance is beyond the cutoff.
+lines and words). Per language and source a minimum-covariance-determinant estimate is found by concentration steps from two
+starts (medians with quartile deviations, and plain means with covariances): take the three quarters of the rows that lie
+nearest, estimate mean and covariance from them, measure again, until determinants stay as they are; of the two results the
+one of smaller determinant is taken. The covariance is then scaled, up or down, so that the three quarters that lie nearest
+are as near as those of a normal distribution, and a row is rejected if its squared Mahalanobis distance is beyond the
+99.9 % point of chi-square.
+
+Groups of fewer than LEAST rows have too few for five dimensions: their scatter is that of all rows of their language (of all
+rows, if those are too few as well), and their centre its centre drawn towards the group's own medians by n / (n + LEAST).
 
 Vectors are whole thousandths and their moments decimals, so sums do not depend on the order of tasks and reruns agree.
 Groups meet as moments and histograms only (combined before the shuffle); no group's rows are gathered, however many.
@@ -18,14 +23,14 @@ from pyspark.sql import functions as F
 from .common import Cut, words
 
 P, UNIT = 5, 1000.0
-HALF, STEPS = 0.75, 3
+HALF, STEPS, STILL = 0.75, 10, 1e-6
 #: Quantile HALF of chi-square with 1 to P degrees of freedom, and its quantile 0.999 with P, beyond which rows are rejected.
 CHI_HALF, CUTOFF = (1.3233, 2.7726, 4.1083, 5.3853, 6.6257), 20.515
 #: Least standard deviation of each coordinate (beside those before it), so that a statistic that never varies in a group
 #: rejects no small change. A minimum: larger deviations stay as they are.
 FLOOR = (0.5, 0.1, 1.0, 0.1, 0.05)
-#: Smaller groups are estimated together: all small groups of a language, then all that is left.
-LEAST = 100
+#: Smaller groups are shrunk to their language; tables of fewer rows than POOL are not judged.
+LEAST, POOL = 100, 20
 MIN_WORDS, MAX_REPEATED = 50, 50
 FEW = 64
 BROADCAST_ROWS = 100_000
@@ -130,38 +135,72 @@ def _key(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
 
 
+def _spread(plan: DataFrame) -> DataFrame:
+    """Adds logdet, the logarithm of the determinant of the factor."""
+    total = F.log("l00")
+    for i in range(1, P):
+        total = total + F.log(f"l{i}{i}")
+    return plan.withColumn("logdet", total)
+
+
+def _concentrated(rows: DataFrame) -> DataFrame:
+    """(g, m.., l.., free, within): the estimate of each group g of the rows, the better one of two starts, before scaling."""
+    both = Cut(rows.select(F.explode(F.array(F.lit("#0"), F.lit("#1"))).alias("start"), "g", *[f"x{i}" for i in range(P)]).select(F.concat("g", "start").alias("g"), *[f"x{i}" for i in range(P)]), "mcd-rows")
+    plain = _factor(_moments(rows), F.lit(1.0)).select(F.concat("g", F.lit("#1")).alias("g"), *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    plan = Cut(_start(rows).withColumn("g", F.concat("g", F.lit("#0"))).unionByName(plain), "mcd").df
+    plan, before = _spread(plan), None
+    for _ in range(STEPS):
+        measured = _with(both.df, plan).withColumn("d2", _distance())
+        near = Cut(_nearest(measured), "mcd").df
+        moments = _moments(_with(measured, near).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)]))
+        plan = Cut(_spread(_factor(moments, F.lit(1.0))), "mcd").df
+        now = plan.select("g", "logdet")
+        if before is not None and now.join(before.withColumnRenamed("logdet", "was"), "g").where(F.abs(F.col("logdet") - F.col("was")) > STILL).isEmpty():
+            break
+        before = now
+    near = _nearest(_with(both.df, plan).withColumn("d2", _distance()))
+    fitted = plan.join(near, "g").withColumn("start", F.substring("g", -1, 1)).withColumn("g", F.expr("substring(g, 1, length(g) - 2)"))
+    best = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))  # two rows a group
+    out = Cut(fitted.withColumn("nth", best).where("nth = 1").drop("nth", "start", "logdet"), "mcd").df
+    both.drop()
+    return out
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The statistics of each row of ``docs`` with distance and kept, one row for each input row.
 
     kept is false if base_failed, else whether the row lies within its group's cutoff. Rows that fail the base rules have
-    no say in the estimates. Null languages and sources are groups of their own; groups of fewer than LEAST rows are
-    pooled by language, then altogether, and a pool that is still smaller judges no row. Empty tables give no rows.
+    no say in the estimates. Null languages and sources are groups of their own. A table of fewer than POOL rows that pass the
+    base rules judges none of them. Empty tables give no rows.
     """
     rows = Cut(statistics(docs), "statistics").df
     usable = rows.where(~F.col("base_failed")).withColumn("gl", _key("lang")).withColumn("gs", F.concat_ws("/", _key("lang"), _key("source")))
-    sizes = usable.groupBy("gl", "gs").count()
-    small = F.when(F.col("count") >= LEAST, F.col("gs"))
-    pooled = sizes.withColumn("own", small).withColumn("left", F.sum(F.when(F.col("own").isNull(), F.col("count")).otherwise(0)).over(Window.partitionBy("gl")))
-    group = F.coalesce("own", F.when(F.col("left") >= LEAST, F.concat(F.lit("all/"), F.col("gl"))), F.lit("all"))
-    names = Cut(pooled.select("gs", group.alias("g")), "groups").df
+    sizes = usable.groupBy("gl", "gs").agg(F.count("*").alias("n"))
+    langs = sizes.groupBy("gl").agg(F.sum("n").alias("in_lang"))
+    group = F.when(F.col("n") >= LEAST, F.col("gs")).when(F.col("in_lang") >= LEAST, F.concat(F.lit("lang/"), "gl")).otherwise("all")
+    names = Cut(sizes.join(langs, "gl").select("gs", "gl", "n", (F.col("n") < LEAST).alias("small"), group.alias("g")), "groups").df
     names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
-    vectors = Cut(usable.join(names, "gs").select("doc_id", "g", *_vector()), "vectors").df
-    plan = Cut(_start(vectors), "mcd").df
-    for _ in range(STEPS):
-        measured = _with(vectors, plan).withColumn("d2", _distance())
-        near = Cut(_nearest(measured), "mcd").df
-        moments = _moments(_with(measured, near).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)]))
-        plan = Cut(_factor(moments, F.lit(1.0)), "mcd").df
-    near = _nearest(_with(vectors, plan).withColumn("d2", _distance()))
+    vectors = Cut(usable.select("doc_id", "gs", "gl", *_vector()), "vectors").df
+    x = [f"x{i}" for i in range(P)]
+    pools = names.where("small").select("gl", "g").distinct()
+    own = vectors.join(names.where("not small").select("gs", "g"), "gs").select("g", *x)
+    whole = vectors.join(pools.where("g <> 'all'"), "gl").select("g", *x)
+    anyone = vectors.crossJoin(F.broadcast(pools.where("g = 'all'").select("g").limit(1))).select("g", *x)  # one row or none
+    fitted = _concentrated(own.unionByName(whole).unionByName(anyone))
     # coordinates held at FLOOR add next to nothing to distances: the quantile is that of the free ones
     scale = F.when(F.col("free") > 0, F.col("within") / F.element_at(F.array(*map(F.lit, CHI_HALF)), F.greatest("free", F.lit(1)))).otherwise(1.0)
-    scaled = plan.join(near, "g").withColumn("scale", scale).drop("free", *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
-    final = Cut(_factor(scaled, F.col("scale")).join(vectors.groupBy("g").agg(F.count("*").alias("rows")), "g"), "mcd").df
-    named = rows.withColumn("gs", F.concat_ws("/", _key("lang"), _key("source"))).select("*", *_vector()).join(names, "gs", "left")
-    few = final.count() <= BROADCAST_ROWS
-    judged = named.join(F.broadcast(final) if few else final, "g", "left")
-    distance = F.when(~F.col("base_failed") & (F.col("rows") >= LEAST), _distance())
+    scaled = fitted.withColumn("scale", scale).drop("free", "within", *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    final = _factor(scaled, F.col("scale"))
+    middle = _start(vectors.join(names.where("small").select("gs"), "gs").select(F.col("gs").alias("g"), *x)).select(F.col("g").alias("gs"), *[F.col(f"m{i}").alias(f"own{i}") for i in range(P)])
+    share = F.col("n") / (F.col("n") + LEAST)
+    centre = [F.when(F.col("small"), F.col(f"m{i}") * (1 - share) + F.col(f"own{i}") * share).otherwise(F.col(f"m{i}")).alias(f"m{i}") for i in range(P)]
+    factor = [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+    plan = Cut(names.join(final, "g").join(middle, "gs", "left").select("gs", *centre, *factor), "mcd").df
+    few = plan.count() <= BROADCAST_ROWS
+    named = rows.withColumn("gs", F.concat_ws("/", _key("lang"), _key("source"))).select("*", *_vector())
+    judged = named.join(F.broadcast(plan) if few else plan, "gs", "left")
+    enough = usable.limit(POOL).count() >= POOL
+    distance = F.when(~F.col("base_failed") & F.lit(enough), _distance())
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
-

@@ -8,9 +8,11 @@ most two bits, the index has these levels:
 * below: the fingerprints of a top node sorted by Gray rank, every run of ``FAN`` under a node that holds the bits they
   all share (mask and pattern). Two nodes whose shared bits already differ in three places are dropped with all that is
   below them, so differences accumulate from the top down;
-* top nodes of more than ``NODE`` fingerprints (dense families of near copies) are joined in an exact linear way
-  instead: two fingerprints differ in at most two bits if and only if their balls of radius one meet, and no point lies
-  in more than 65 balls, so 65 rows for each fingerprint find all links whatever the size of the family.
+* a top node of more than ``NODE`` fingerprints is split in the same way: two of its fingerprints that differ in two bits agree
+  under at least one of three disjoint masks of the bits left, so each is routed on to three nodes below, up to ``DEPTH`` times;
+* what agrees in some fifty bits and is still too many for a node (dense families of near copies) is joined in an exact linear
+  way: two fingerprints differ in at most two bits if and only if their balls of radius one meet, and no point lies in more
+  than 65 balls, so 65 rows for each fingerprint find all links whatever the size of the family.
 """
 
 from __future__ import annotations
@@ -29,7 +31,18 @@ from .components import connected_components
 
 SEED, WIDTH, NEAR = 42, 3, 2
 NODE, FAN, PAIRS = 1024, 8, 2_000_000
-MASKS = (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42)
+DEPTH = 3
+
+
+def _split(bits: tuple[int, ...]) -> list[int]:
+    """Three disjoint masks that make up the given bits."""
+    third = -(-len(bits) // 3)
+    return [sum(1 << b for b in bits[k * third : (k + 1) * third]) for k in range(3)]
+
+
+def _masks(above: int = 0) -> list[int]:
+    """The masks of the nodes below one whose fingerprints agree under the mask ``above``."""
+    return [above | m for m in _split(tuple(b for b in range(64) if not above >> b & 1))]
 
 
 def fingerprint(text: str | None) -> int:
@@ -150,14 +163,22 @@ def gray_rank(fp):
 def near_edges(prints: DataFrame) -> DataFrame:
     """(a, b) over distinct fingerprints ``fp``: edges whose components are those of all pairs within two bits."""
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    routed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern")) for k, m in enumerate(MASKS)])).alias("r")).select("fp", "r.*")
-    large = routed.groupBy("part", "pattern").count().where(F.col("count") > NODE).select(F.col("part").alias("part2"), F.col("pattern").alias("pattern2"))
-    large = cut(large, "large")
-    same = (F.col("part") == F.col("part2")) & (F.col("pattern") == F.col("pattern2"))
-    edges = (
-        routed.join(large, same, "left_anti").repartition("part", "pattern").sortWithinPartitions("part", "pattern", gray_rank(F.col("fp"))).mapInPandas(_edges(NEAR), "a long, b long")
-    )
-    dense = routed.join(large, same, "left_semi").select("fp").distinct()
+    masks, edges, dense = _masks(), None, prints
+    for depth in range(DEPTH):
+        parts = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern")) for k, m in enumerate(masks)]
+        if depth:  # only the nodes below a large one: three for each of those
+            parts = [F.when(F.col("above") == k // 3, x) for k, x in enumerate(parts)]
+        routed = Cut(dense.select("fp", F.explode(F.array_compact(F.array(*parts))).alias("r")).select("fp", "r.*"), "routed").df
+        large = routed.groupBy("part", "pattern").count().where(F.col("count") > NODE).select(F.col("part").alias("part2"), F.col("pattern").alias("pattern2"))
+        large = cut(large, "large")
+        same = (F.col("part") == F.col("part2")) & (F.col("pattern") == F.col("pattern2"))
+        found = routed.join(large, same, "left_anti").repartition("part", "pattern").sortWithinPartitions("part", "pattern", gray_rank(F.col("fp"))).mapInPandas(_edges(NEAR), "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        dense = routed.join(large, same, "left_semi").select("fp", F.col("part").alias("above"))
+        if large.isEmpty():
+            return edges
+        masks = [m for above in masks for m in _masks(above)]
+    dense = dense.select("fp").distinct()
     ball = dense.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << k))) for k in range(64)])).alias("point"))
     least = ball.groupBy("point").agg(F.min("fp").alias("b"), F.count("fp").alias("n")).where("n > 1").select(F.col("point").alias("point2"), "b")
     return edges.unionByName(ball.join(least, F.col("point") == F.col("point2")).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())

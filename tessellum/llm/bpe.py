@@ -36,11 +36,23 @@ def _byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+def checked(spec: dict) -> None:
+    """ValueError unless the file prepares texts as this module does: NFC, lower case, this split, bytes as symbols, word-end marks."""
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}, {}])
+    pattern = split[0].get("pattern", {}).get("Regex", "").replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
+    model = spec["model"]
+    good = steps in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"]) and pattern == _SPLIT.pattern.replace("\\x85", "") and split[-1].get("type") == "ByteLevel" and not split[-1].get("add_prefix_space")
+    if not good or model.get("type") != "BPE" or not model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+        raise ValueError("the vocabulary file prepares texts in another way than this encoder")
+
+
 class Encoder:
     """Exact ids of whole texts for one vocabulary file of the word-end kind (its JSON text)."""
 
     def __init__(self, vocabulary: str):
         spec = json.loads(vocabulary)
+        checked(spec)
         model, mark = spec["model"], spec["model"]["end_of_word_suffix"]
         self.tokens = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         special = [x for x in spec["added_tokens"] if not x["normalized"]]
@@ -210,6 +222,33 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` with ``text``, what its ``ids`` (binary as ``encode`` gives them) stand for: tokens joined by blanks.
+
+    Null and empty ids give ''. Ids that the vocabulary lacks are passed over, as the library does; a byte count that is no
+    multiple of four raises ValueError.
+    """
+    shipped = spark.sparkContext.broadcast(vocabulary_text(path))
+    at = encoded.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shipped.value)
+        shown = encoder.tokens
+        for batch in batches:
+            texts = []
+            for value in batch.column(at):
+                ids = value.as_py() or b""
+                if len(ids) % 4:
+                    raise ValueError("ids are four bytes each")
+                own = (shown.get(int.from_bytes(ids[k : k + 4], "little")) for k in range(0, len(ids), 4))
+                texts.append(" ".join(t for t in own if t is not None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``encode`` returns."""
     return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

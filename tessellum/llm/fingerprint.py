@@ -57,10 +57,15 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     part = F.least(F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1)) * finer), F.lit(finer - 1))
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * finer + F.greatest(part, F.lit(0))).cast("long")
     ranged = docs.withColumn("range", place)
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))  # a few bytes for each range
-    down = Window.orderBy(F.col("range").desc())
-    ends = heads.withColumn("next_head", F.coalesce(F.lead(F.struct("head")).over(down), F.first(F.struct("head")).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["head"])
-    ends = ends.select(F.col("range").alias("range2"), "next_head")
+    # a few bytes for each range; neighbours are found inside a quantile, and between the at most QUANTILES + 2 quantiles
+    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head")).withColumn("quantile", F.floor(F.col("range") / finer))
+    tops = heads.groupBy("quantile").agg(F.max(F.struct("range", "head")).alias("top"))
+    down = Window.orderBy(F.col("quantile").desc())
+    after = F.coalesce(F.lead("top").over(down), F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tops = tops.select(F.col("quantile").alias("q2"), after["head"].alias("beyond"))
+    inner = F.lead(F.struct("head")).over(Window.partitionBy("quantile").orderBy(F.col("range").desc()))
+    ends = heads.withColumn("inner", inner).join(F.broadcast(tops), F.col("quantile") == F.col("q2"))
+    ends = ends.select(F.col("range").alias("range2"), F.when(F.col("inner").isNull(), F.col("beyond")).otherwise(F.col("inner.head")).alias("next_head"))
     ends = Cut(ends, "ends").df
     rows = ends.count()
     first = docs.join(_maybe_broadcast(ends, rows), docs["doc_id"].eqNullSafe(F.col("next_head")))  # one row a range, but for repeats
@@ -72,19 +77,29 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 
 def collisions(docs: DataFrame) -> DataFrame:
-    """(clash_id, ordinal): documents whose canonical bytes differ from the first ones in their bucket. docs: doc_id, text, h1, h2.
+    """(clash_id, clash_text, ordinal): documents whose canonical bytes differ from the first ones in their bucket, by id and text hash. docs: doc_id, text, h1, h2.
 
     Buckets of one are settled by narrow rows alone; only texts of larger buckets are moved, grouped by their bytes.
     """
     several = Cut(docs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("b1"), F.col("h2").alias("b2")), "buckets").df
     some = several.count()
-    members = docs.join(_maybe_broadcast(several, some), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).select("doc_id", "h1", "h2", canonical(F.col("text")).alias("canon"))
+    members = docs.join(_maybe_broadcast(several, some), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).select("doc_id", "h1", "h2", _text_key().alias("clash_text"), canonical(F.col("text")).alias("canon"))
     texts = members.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("least"))
     ranked = texts.withColumn("ordinal", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("least", "canon")) - 1).where("ordinal > 0")
     later = Cut(ranked.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("canon").alias("canon2"), "ordinal"), "clashes").df
     rows = later.count()
     hit = members.join(_maybe_broadcast(later, rows), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")) & (F.col("canon") == F.col("canon2")))
-    return hit.select(F.col("doc_id").alias("clash_id"), "ordinal").distinct()
+    return hit.select(F.col("doc_id").alias("clash_id"), "clash_text", "ordinal").distinct()
+
+
+def _text_key() -> Column:
+    """What tells rows of one id apart: a hash of the text as it is."""
+    return F.xxhash64(F.lit("row"), "text")
+
+
+def _clashing(clash: DataFrame) -> tuple[DataFrame, Column]:
+    """The side of a left join that adds ordinal, and its condition."""
+    return _maybe_broadcast(clash, clash.count()), F.col("doc_id").eqNullSafe(F.col("clash_id")) & (F.col("text_key") == F.col("clash_text"))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -98,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     own = _prepared(docs).withColumn("wide", digest(canonical(F.col("text")))).select("doc_id", "text", "wide.*")
     clash = Cut(collisions(own), "clash").df
-    named = own.select("doc_id", "h1", "h2").join(_maybe_broadcast(clash, clash.count()), F.col("doc_id") == F.col("clash_id"), "left")
+    named = own.select("doc_id", "h1", "h2", _text_key().alias("text_key")).join(*_clashing(clash), "left")
     printed = named.select("doc_id", F.concat(hexed(F.struct("h1", "h2")), F.coalesce(F.concat(F.lit("-"), F.col("ordinal")), F.lit(""))).alias("fingerprint"))
     least = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("fingerprint", "f2")
     return printed.join(least, F.col("fingerprint") == F.col("f2")).drop("f2")
@@ -116,11 +131,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     next_text = F.coalesce("next_text", F.lit(""))
     edited = with_next(own, ["h1", "h2"]).select(
-        "doc_id", "h1", "h2", "next_h1", "next_h2", n.cast("long").alias("n_chars"),
+        "doc_id", "h1", "h2", "next_h1", "next_h2", n.cast("long").alias("n_chars"), _text_key().alias("text_key"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring(next_text, F.lit(1), half)).alias("edited"),
     )
-    found = edited.select("doc_id", "n_chars", "h1", "h2", "next_h1", "next_h2", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(canonical(F.col("edited"))).alias("e"))
-    found = found.join(_maybe_broadcast(clash, clash.count()), F.col("doc_id") == F.col("clash_id"), "left")
+    found = edited.select("doc_id", "text_key", "n_chars", "h1", "h2", "next_h1", "next_h2", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(canonical(F.col("edited"))).alias("e"))
+    found = found.join(*_clashing(clash), "left")
     likeness = lambda h1, h2: F.when((F.col("h1") == h1) & (F.col("h2") == h2), 1.0).otherwise(0.0)
     return found.select(
         "doc_id", "n_chars", "edited_sha256",

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import Cut, crc_rest
 
 CHUNK, PART, HOT, K = 800_000, 1_500_000, 50_000, 5
+#: Bits for the place of a document in its chunk: every document holds a token, so a chunk has at most CHUNK.
+ROW_BITS = 20
 FOLD, HELD_OUT = 7, 2
 END, START = xxhash.xxh64_intdigest(b"\n"), 0  # no word is a line end
 
@@ -43,7 +45,7 @@ END, START = xxhash.xxh64_intdigest(b"\n"), 0  # no word is a line end
 _CHUNK_WORDS = ("hashes", "counts", "at")
 _CHUNK_BODY = ("ids", "null", "train", "lengths", "flat", "end")
 _ANSWER = ("at", "names", "totals")
-_PAIRS = ("contexts", "context_counts", "context_pairs", "words", "word_counts", "w", "docs", "doc", "times", "ids", "null", "train", "some", "base", "known", "lengths")
+_PAIRS = ("contexts", "context_counts", "context_pairs", "words", "word_counts", "w", "docs", "doc", "times", "rows", "train", "some", "ids", "null", "base", "known", "lengths")
 
 
 def _pack(fields: tuple[str, ...], /, **arrays: np.ndarray) -> bytes:
@@ -160,6 +162,7 @@ def _pairs(parts: int, n: int, v: int):
     """A chunk and its answers -> (part, pairs): what each partition of the pair table gets."""
 
     def run(body: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(body["chunk"].iloc[0])
         x, got = _unpack(_CHUNK_BODY, body["body"].iloc[0]), [_unpack(_ANSWER, a) for a in answers["answer"]]
         n_words = sum(len(a["at"]) for a in got)
         name, count = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
@@ -185,6 +188,7 @@ def _pairs(parts: int, n: int, v: int):
         pair = np.flatnonzero(new)
         docs_of_pair = np.diff(np.r_[np.searchsorted(each, pair), len(each)])
         cuts, cuts_each = np.searchsorted(route[pair], np.arange(parts + 1)), np.searchsorted(route[each], np.arange(parts + 1))
+        row = (chunk << ROW_BITS) + np.arange(len(lengths))  # what tells documents apart, whatever their ids
         mine = np.arange(len(lengths)) % parts  # each document's own figures go with one partition
         rows = []
         for p in range(parts):
@@ -197,15 +201,15 @@ def _pairs(parts: int, n: int, v: int):
             listed, word_at, number = np.unique(w[own], return_index=True, return_inverse=True)
             rows.append((p, _pack(
                 _PAIRS, contexts=_steps(contexts), context_counts=ch[own][first_of], context_pairs=per_context, words=_steps(listed), word_counts=cw[own][word_at], w=number, docs=docs_of_pair[a:b],
-                doc=np.searchsorted(here, doc[each[c:d]]), times=times[c:d], ids=x["ids"].astype(np.int64)[here], null=x["null"][here], train=x["train"][here],
-                some=np.searchsorted(here, some), base=base[some], known=known[some], lengths=lengths[some],
+                doc=np.searchsorted(here, doc[each[c:d]]), times=times[c:d], rows=_steps(row[here]), train=x["train"][here],
+                some=np.searchsorted(here, some), ids=x["ids"].astype(np.int64)[some], null=x["null"][some], base=base[some], known=known[some], lengths=lengths[some],
             )))
         return pd.DataFrame(rows, columns=["part", "pairs"])
 
     return run
 
 
-_FIGURES = "kind int, key long, doc long, n double, s double, k1 double, k2 double, k3 double, k4 double, k5 double, tokens long, known long, base double"
+_FIGURES = "kind int, key long, doc long, id long, n double, s double, k1 double, k2 double, k3 double, k4 double, k5 double, tokens long, known long, base double"
 
 
 def _scored(n: int, v: int):
@@ -215,12 +219,12 @@ def _scored(n: int, v: int):
         own = [_unpack(_PAIRS, x) for x in rows["pairs"]]
         h, ch = (np.concatenate([np.repeat(f(x), x["context_pairs"].astype(np.int64)) for x in own]) for f in (lambda x: np.cumsum(x["contexts"].astype(np.int64)), lambda x: x["context_counts"].astype(np.int64)))
         w, cw = (np.concatenate([f(x)[x["w"].astype(np.int64)] for x in own]) for f in (lambda x: np.cumsum(x["words"].astype(np.int64)), lambda x: x["word_counts"].astype(np.int64)))
-        shift = np.cumsum([0, *(len(x["ids"]) for x in own)])
+        shift = np.cumsum([0, *(len(x["rows"]) for x in own)])
         of_pair = np.repeat(np.arange(len(h)), np.concatenate([x["docs"] for x in own]).astype(np.int64))
         doc = np.concatenate([x["doc"].astype(np.int64) + s for x, s in zip(own, shift)])
         times = np.concatenate([x["times"] for x in own]).astype(np.int64)
-        ids, null, train = (np.concatenate([x[c] for x in own]) for c in ("ids", "null", "train"))
-        ids = ids.astype(np.int64)
+        train = np.concatenate([x["train"] for x in own])
+        ids = np.concatenate([np.cumsum(x["rows"].astype(np.int64)) for x in own])
         order = np.lexsort((w, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])] if len(h) else np.zeros(0, bool)
         pair = np.empty(len(h), np.int64)
@@ -243,14 +247,16 @@ def _scored(n: int, v: int):
         classes = {f"k{k}": np.bincount(doc[seen & (r[of_pair] == k)], times[seen & (r[of_pair] == k)], len(ids)) for k in range(1, K + 1)}
         total = np.bincount(doc[seen], (times * value[of_pair])[seen], len(ids))
         some = np.concatenate([x["some"].astype(np.int64) + s for x, s in zip(own, shift)])
+        told, null = (np.concatenate([x[c] for x in own]) for c in ("ids", "null"))
+        name = np.full(len(ids), np.nan, object)
+        name[some] = np.where(null, None, told.astype(np.int64).astype(object))
         extra = {}
         for c, source in (("tokens", "lengths"), ("known", "known"), ("base", "base")):
             extra[c] = np.zeros(len(ids), np.float64 if c == "base" else np.int64)
             extra[c][some] = np.concatenate([x[source] for x in own])
         some_of = (np.bincount(doc, minlength=len(ids)) > 0) | (extra["tokens"] > 0)
         keep = np.flatnonzero(some_of)
-        # row numbers stay apart for repeated ids: documents are told by id alone in the end
-        add(0, key=np.where(null, -1, 0)[keep], doc=ids[keep], s=total[keep], **{k: x[keep] for k, x in classes.items()}, **{k: x[keep] for k, x in extra.items()})
+        add(0, doc=ids[keep], id=pd.array([None if x is None or x is np.nan or x != x else x for x in name[keep]], dtype="Int64"), s=total[keep], **{k: x[keep] for k, x in classes.items()}, **{k: x[keep] for k, x in extra.items()})
         # contexts
         trained = np.flatnonzero(r > 0)
         if len(trained):
@@ -268,10 +274,10 @@ def _scored(n: int, v: int):
             where = np.stack([h[of_pair[miss]], doc[miss]])
             both, at = np.unique(where, axis=1, return_inverse=True)
             at = at.ravel()
-            add(2, key=both[0], doc=ids[both[1]], k1=np.where(null[both[1]], 1.0, 0.0), n=np.bincount(at, times[miss], both.shape[1]), s=np.bincount(at, times[miss] * np.log10(p1[of_pair[miss]]), both.shape[1]))
+            add(2, key=both[0], doc=ids[both[1]], n=np.bincount(at, times[miss], both.shape[1]), s=np.bincount(at, times[miss] * np.log10(p1[of_pair[miss]]), both.shape[1]))
         out = pd.concat(frames)
         names = [c.split()[0] for c in _FIGURES.split(", ")]
-        return out.reindex(columns=names).astype({"key": "Int64", "doc": "Int64", "tokens": "Int64", "known": "Int64"})
+        return out.reindex(columns=names).astype({"key": "Int64", "doc": "Int64", "id": "Int64", "tokens": "Int64", "known": "Int64"})
 
     return run
 
@@ -288,10 +294,10 @@ def discounts(counts: dict[int, int]) -> list[float]:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each doc_id, over whole texts.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row, over whole texts.
 
     Learns from the documents that are not held out. A null text is empty: its end is its only token. Rows that repeat an
-    id are one text in parts (their figures add up); null ids are one document. An empty table gives no rows.
+    id, and rows with a null id (held out as the empty string is), are documents of their own. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = Cut(own.mapInArrow(_chunks, "chunk long, n long, body binary, words binary"), "lm-chunks")
@@ -312,12 +318,11 @@ def score(docs: DataFrame) -> DataFrame:
         seen = seen + F.lit(d[k - 1] * k) * F.col(f"k{k}")
     alpha = context.select(F.col("key").alias("key2"), F.log10((1 - seen / (F.col("c") + 1)) / (1 - F.col("p"))).alias("alpha"))
     waits = figures.where("kind = 2").join(alpha, F.col("key") == F.col("key2"), "left")
-    unseen = waits.select((F.col("k1") > 0).alias("none"), "doc", (F.col("s") + F.col("n") * F.coalesce("alpha", F.lit(0.0))).alias("s"))
+    unseen = waits.select("doc", (F.col("s") + F.col("n") * F.coalesce("alpha", F.lit(0.0))).alias("s"))
     first = F.col("s")
     for k in range(1, K + 1):
         first = first + F.lit(float(np.log10(d[k - 1]))) * F.col(f"k{k}")
-    nothing = [F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
-    both = figures.where("kind = 0").select((F.col("key") < 0).alias("none"), "doc", first.alias("s"), "tokens", "known", "base").unionByName(unseen.select("*", *nothing))
-    summed = both.groupBy("none", "doc").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"))
-    doc_id = F.when(~F.col("none"), F.col("doc"))
-    return summed.select(doc_id.alias("doc_id"), (crc_rest(doc_id, FOLD) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    nothing = [F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
+    both = figures.where("kind = 0").select("doc", first.alias("s"), "id", "tokens", "known", "base").unionByName(unseen.select("*", *nothing))
+    summed = both.groupBy("doc").agg(F.max("id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("s").alias("score"))
+    return summed.select("doc_id", (crc_rest(F.col("doc_id"), FOLD) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

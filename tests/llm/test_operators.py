@@ -110,6 +110,16 @@ def test_pii_of_rare_entities(spark, frame):
     assert pii.detect(spark, frame([(1, "me a@b.cc"), (2, "you a@b.cc")])).count() == 2
 
 
+def test_sanitise_by_row(spark):
+    rows = [(None, "mail a@b.cc now", 1, "x"), (None, "nothing here", 2, "x"), (2, "me c@d.ee", 3, "x"), (2, "this holds no data at all", 4, "x"), (3, None, 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, __spans string")
+    out = pii.sanitise(spark, docs)
+    assert out.columns == docs.columns
+    got = {r["__id"]: r["text"] for r in out.collect()}
+    assert "a@b.cc" not in got[1] and "[EMAIL]" in got[1] and got[2] == "nothing here" and "[EMAIL]" in got[3]
+    assert got[4] == "this holds no data at all" and got[5] is None
+
+
 # ---- op4
 
 
@@ -155,6 +165,15 @@ def test_mixing_fills_past_what_does_not_fit(spark):
         assert abs(taken - target) <= 40, (long, target, taken)
 
 
+def test_mixing_ids_shared_by_sources(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(30) if rng.random() > 0.1 else None, "w " * rng.randrange(1, 30), "en", rng.choice("aabbbc"), 0) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 300 and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sum(r["size"] for r in got) == sum(len(t.split()) for _, t, *_ in rows)
+
+
 # ---- op5
 
 
@@ -165,6 +184,24 @@ def test_licenses(spark, frame, odd, empty):
     assert licenses.scan(spark, odd).count() == 8 and licenses.scan(spark, empty).count() == 0
 
 
+def test_whole_licenses(spark, frame):
+    import textwrap
+    from pathlib import Path
+
+    texts = {n: f for n, f in licenses.KNOWN if n in ("BSD-3-Clause", "Zlib", "MIT")}
+    rows = [(k, "Copyright (c) 2020 Someone\n\n" + textwrap.fill(texts[n].lower(), 40 + k)) for k, n in enumerate(texts)]
+    rows.append((None, "first lines\n\n" + textwrap.fill(texts["Zlib"], 70) + "\n\nlast lines"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark, frame(rows)).collect()}
+    assert [got[k]["license"] for k in range(len(texts))] == list(texts)
+    assert got[None]["license"] is None and got[None]["line_licenses"] == "Zlib"
+    place = Path("/usr/share/common-licenses")  # where a system has them
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {n: (place / f).read_text() for n, f in files.items() if (place / f).exists()}
+    rows = [(k, " ".join(t.split(" ")).replace("\n", "\n  ")) for k, t in enumerate(there.values())]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, frame(rows or [(0, "")])).collect()}
+    assert not there or [got[k] for k in range(len(rows))] == list(there)
+
+
 # ---- op6
 
 
@@ -206,6 +243,59 @@ def test_quality_distances_follow_chi_square(spark, frame, monkeypatch):
     assert np.quantile(d2, 0.75) == pytest.approx(quality.CHI_HALF[-1], rel=0.1) and sum(d > quality.CUTOFF for d in d2) < 20
 
 
+def test_small_groups_are_judged(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(i, words(rng.randrange(150, 250)), "en", f"s{i % 40}", 0) for i in range(400)] + [(900, " ".join(f"##|{k}|##" for k in range(200)), "en", "s3", 0), (901, words(200), "fr", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
+    assert all(r["distance"] is not None for r in got.values()) and not got[900]["kept"] and got[901]["kept"]
+    assert sum(not r["kept"] for r in got.values()) <= 5
+
+
+def numpy_mcd(x):
+    """Concentration steps from the two starts, straight from the definition, with exact quantiles."""
+    floor = np.array(quality.FLOOR) * quality.UNIT
+
+    def factor(c):
+        low = np.zeros_like(c)
+        for i in range(len(c)):
+            for j in range(i + 1):
+                v = c[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, floor[i] ** 2)) if i == j else v / low[j, j]
+        return low
+
+    best = None
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    for m, low in ((q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor))), (x.mean(0), factor(np.cov(x.T, bias=True)))):
+        for _ in range(20):
+            d2 = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+            near = x[d2 <= np.sort(d2)[int(np.ceil(quality.HALF * len(x))) - 1]]
+            m, low = near.mean(0), factor(np.cov(near.T, bias=True))
+        if best is None or np.log(np.diag(low)).sum() < best[0]:
+            best = np.log(np.diag(low)).sum(), m, low
+    _, m, low = best
+    d2 = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+    return d2 * quality.CHI_HALF[-1] / np.quantile(d2, quality.HALF)
+
+
+def test_estimate_beside_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, quality.P)) @ np.triu(rng.uniform(0.5, 2, (quality.P, quality.P))) * 3000
+    x[:150] += 40_000  # a tenth lies apart
+    x = np.round(x).astype(int)
+    rows = spark.createDataFrame([(i, *map(int, v)) for i, v in enumerate(x)], "doc_id long, a0 long, a1 long, a2 long, a3 long, a4 long")
+    monkeypatch.setattr(quality, "statistics", lambda d: d.selectExpr("*", "'en' lang", "'a' source", "100L n_words", "500L word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words", "false base_failed"))
+    monkeypatch.setattr(quality, "_vector", lambda: [quality.F.col(f"a{k}").alias(f"x{k}") for k in range(quality.P)])
+    got = {r["doc_id"]: r for r in quality.verdicts(rows).collect()}
+    want = numpy_mcd(x.astype(float))
+    ours = np.array([got[i]["distance"] for i in range(len(x))])
+    assert np.corrcoef(np.log(ours), np.log(want))[0, 1] > 0.99 and np.median(np.abs(ours / want - 1)) < 0.1
+    assert not any(got[i]["kept"] for i in range(150)) and sum(got[i]["kept"] for i in range(150, 1500)) > 1300
+    again = {r["doc_id"]: r["distance"] for r in quality.verdicts(rows.repartition(7)).collect()}
+    assert all(again[i] == got[i]["distance"] for i in again)
+
+
 # ---- op7
 
 
@@ -230,6 +320,14 @@ def test_bpe_is_exact(spark, odd, empty):
     assert len(got) == 8 and {r["doc_id"]: r["n_tokens"] for r in got}[2] == 0 and bpe.encode(spark, empty).count() == 0
 
 
+def test_bpe_decode(spark, frame):
+    rows = [(1, "Hello wörld, it's 42"), (2, None), (1, "ab<|endoftext|>c"), (None, " \n")]
+    encoded = bpe.encode(spark, frame(rows))
+    assert all(r["text"] == r["decoded"] for r in bpe.decode(spark, encoded).collect())
+    with pytest.raises(ValueError):
+        bpe.checked({"model": {"type": "BPE"}, "normalizer": None, "pre_tokenizer": None})
+
+
 # ---- op8
 
 
@@ -250,6 +348,30 @@ def test_fingerprints(frame, odd, empty):
     assert fingerprint.edited_fingerprints(odd).count() == 8 and fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def test_equal_digests_are_told_apart(frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: F.struct(F.length(canon).cast("long").alias("h1"), F.lit(7).cast("long").alias("h2")))
+    rows = [(1, "abc"), (1, "abd"), (2, "ABC"), (None, "abe"), (4, "abcd")]
+    got = fingerprint.fingerprints(frame(rows)).collect()
+    assert len(got) == 5 and len({r["fingerprint"] for r in got}) == 4
+    assert sorted(r["class_id"] or 0 for r in got) == [0, 1, 1, 1, 4]
+    assert len(fingerprint.edited_fingerprints(frame(rows)).collect()) == 5
+
+
+def test_neighbours_over_many_ranges(frame, monkeypatch):
+    monkeypatch.setattr(fingerprint, "QUANTILES", 4)
+    monkeypatch.setattr(fingerprint, "ROWS", 3)
+    rng = random.Random(7)
+    rows = [(i * i % 1009 + 5000 * (i % 7 == 0), f"text {i} " + "x" * rng.randrange(9)) for i in range(300)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(frame(rows)).collect()}
+    order = sorted(rows, reverse=True)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+
+
 # ---- op9
 
 
@@ -272,3 +394,21 @@ def test_words_of_any_length():
     toxic = [k % 2 for k in range(120)]
     scorer = toxicity.Scorer(toxicity.fit([text(t) for t in toxic], np.array(toxic)))
     assert all((scorer.score(text(t)) >= 0.5) == bool(t) for t in toxic)
+
+
+def test_score_is_a_mean_of_means():
+    model = toxicity.Model(np.random.default_rng(0).standard_normal(toxicity.BUCKETS).astype(np.float32), 0.25)
+    for text in ("one two two three", "", None, "字" * 90 + " x"):
+        words = (text or "").lower().encode().split()
+        logit = sum(float(np.mean([model.weight[b] for b in toxicity.buckets(w)])) for w in words) / max(1, len(words)) + model.bias
+        assert toxicity.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
+def test_fit_lowers_the_loss_as_its_slope_says():
+    texts, toxic = [f"bad{k % 9} word" if k % 2 else f"fine{k % 9} word" for k in range(60)], np.array([k % 2 for k in range(60)])
+    model = toxicity.fit(texts, toxic)
+    scorer = toxicity.Scorer(model)
+    p = np.array([scorer.score(t) for t in texts])
+    assert -np.mean(np.log(np.where(toxic, p, 1 - p))) < 0.2 and ((p >= 0.5) == toxic).all()
+    again = toxicity.fit(texts, toxic)
+    assert (again.weight == model.weight).all() and again.bias == model.bias

@@ -225,6 +225,10 @@ def _scored(n: int, v: int):
         times = np.concatenate([x["times"] for x in own]).astype(np.int64)
         train = np.concatenate([x["train"] for x in own])
         ids = np.concatenate([np.cumsum(x["rows"].astype(np.int64)) for x in own])
+        some = np.concatenate([x["some"].astype(np.int64) + s for x, s in zip(own, shift)])
+        told, null = (np.concatenate([x[c] for x in own]) for c in ("ids", "null"))
+        figures = {c: np.concatenate([x[source] for x in own]) for c, source in (("tokens", "lengths"), ("known", "known"), ("base", "base"))}
+        del own  # its arrays are all copied
         order = np.lexsort((w, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])] if len(h) else np.zeros(0, bool)
         pair = np.empty(len(h), np.int64)
@@ -246,14 +250,12 @@ def _scored(n: int, v: int):
         value[r > 0] = np.log10(r[r > 0] / (ch[r > 0] + 1))
         classes = {f"k{k}": np.bincount(doc[seen & (r[of_pair] == k)], times[seen & (r[of_pair] == k)], len(ids)) for k in range(1, K + 1)}
         total = np.bincount(doc[seen], (times * value[of_pair])[seen], len(ids))
-        some = np.concatenate([x["some"].astype(np.int64) + s for x, s in zip(own, shift)])
-        told, null = (np.concatenate([x[c] for x in own]) for c in ("ids", "null"))
         name = np.full(len(ids), np.nan, object)
         name[some] = np.where(null, None, told.astype(np.int64).astype(object))
         extra = {}
-        for c, source in (("tokens", "lengths"), ("known", "known"), ("base", "base")):
+        for c, values in figures.items():
             extra[c] = np.zeros(len(ids), np.float64 if c == "base" else np.int64)
-            extra[c][some] = np.concatenate([x[source] for x in own])
+            extra[c][some] = values
         some_of = (np.bincount(doc, minlength=len(ids)) > 0) | (extra["tokens"] > 0)
         keep = np.flatnonzero(some_of)
         add(0, doc=ids[keep], id=pd.array([None if x is None or x is np.nan or x != x else x for x in name[keep]], dtype="Int64"), s=total[keep], **{k: x[keep] for k, x in classes.items()}, **{k: x[keep] for k, x in extra.items()})

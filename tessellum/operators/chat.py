@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..conf import CONF, EngineConf
 
 
+# The format of an export (message head, picture line), what it adds to messages, and what its system sender says.
 _HEAD = re.compile(r"\*\*(.+?)\*\*\s+`\[(\d{4}-\d\d-\d\d\s+\d\d:\d\d:\d\d)\]`")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\.(?:png|jpe?g|gif|webp|bmp)\)", re.I)
-# What an export adds to messages, and what its system sender says.
 MARKERS = (("📸 `", "加密高级图片"), ("📦 `", "未知格式内建消息"))
 EXPORTED, CDATA, PAYLOADS = "> 导出时间", "<![CDATA[", ("<template>", "<link_list>", "<memberlist>", "<plain>")
 SYSTEM, NOTICES = "系统提示", ("撤回了一条消息", "邀请你加入了群聊", "加入了群聊", "移出了群聊", "修改群名为", "更换了群头像", "拍了拍", "开启了群待办", "结束了群待办")

@@ -37,6 +37,7 @@ ASKS_FILE = (
 
 PLAN = "query_id long, question string, kb string, symbols array<string>, keywords array<string>, path_globs array<string>, semantic_query string, reason string, wants_symbol boolean, wants_file boolean"
 
+# What counts as a token, a file name beyond ASCII and a name.
 _QUOTED = re.compile(r"`([^`]+)`|\"([^\"]+)\"|“([^”]+)”|'([^']+)'")
 _TOKEN = re.compile(r"[A-Za-z0-9_./*:-]{2,}")
 _NAMED_FILE = re.compile(r"[^\s`\"'“”]+[^\x00-\x7F][^\s`\"'“”]*\.[A-Za-z][A-Za-z0-9]{0,7}")

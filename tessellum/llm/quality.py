@@ -3,8 +3,8 @@
 Statistics of every whole text give a transformed vector (log length, log word length, log symbol rate, shares of repeated
 lines and words). Per language and source a minimum-covariance-determinant estimate is found by concentration steps from two
 starts (medians with quartile deviations, and plain means with covariances): take the three quarters of the rows that lie
-nearest, estimate mean and covariance from them, measure again, until determinants stay as they are; of the two results the
-one of smaller determinant is taken. The covariance is then scaled, up or down, so that the three quarters that lie nearest
+nearest, estimate mean and covariance from them, measure again, until determinants stay as they are, STEPS times at most; of
+the two results the one of smaller determinant is taken. The covariance is then scaled, up or down, so that the three quarters that lie nearest
 are as near as those of a normal distribution, and a row is rejected if its squared Mahalanobis distance is beyond the
 99.9 % point of chi-square.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Cut, words
 
 P, UNIT = 5, 1000.0
-HALF, STEPS, STILL = 0.75, 10, 1e-6
+HALF, STEPS, STILL = 0.75, 6, 1e-6
 #: Quantile HALF of chi-square with 1 to P degrees of freedom, and its quantile 0.999 with P, beyond which rows are rejected.
 CHI_HALF, CUTOFF = (1.3233, 2.7726, 4.1083, 5.3853, 6.6257), 20.515
 #: Least standard deviation of each coordinate (beside those before it), so that a statistic that never varies in a group
@@ -68,18 +68,17 @@ def _vector() -> list[Column]:
     return [F.round(v * UNIT).cast("long").alias(f"x{k}") for k, v in enumerate(values)]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor l<i><j> about the mean m<i>."""
-    z: list[Column] = []
+def _measured(rows: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance by forward substitution in the Cholesky factor l<i><j> about the mean m<i>."""
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * z[j]
-        z.append(rest / F.col(f"l{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
+            rest = rest - F.col(f"l{i}{j}") * F.col(f"z{j}")
+        rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
+    total = F.col("z0") * F.col("z0")
+    for i in range(1, P):
+        total = total + F.col(f"z{i}") * F.col(f"z{i}")
+    return rows.withColumn("d2", total).drop(*[f"z{i}" for i in range(P)])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -115,20 +114,19 @@ def _nearest(measured: DataFrame) -> DataFrame:
 
 def _start(rows: DataFrame) -> DataFrame:
     """Per group g: medians as means and median deviations as a diagonal factor, from histograms of whole hundredths."""
-    out = None
-    for i in range(P):
-        bins = rows.groupBy("g", F.floor(F.col(f"x{i}") / 10).alias("bin")).count()
-        up = Window.partitionBy("g").orderBy("bin")
-        part = bins.withColumn("share", F.sum("count").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(Window.partitionBy("g")))
-        at = lambda q: F.min(F.when(F.col("share") >= q, F.col("bin") * 10.0 + 5))
-        one = part.groupBy("g").agg(at(0.5).alias(f"m{i}"), F.greatest((at(0.75) - at(0.25)) / 1.349, F.lit(FLOOR[i] * UNIT)).alias(f"l{i}{i}"))
-        out = one if out is None else out.join(one, "g")
+    each = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / 10) for i in range(P)])).alias("i", "bin"))
+    bins = each.groupBy("g", "i", "bin").count()
+    up = Window.partitionBy("g", "i").orderBy("bin")
+    part = bins.withColumn("share", F.sum("count").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(Window.partitionBy("g", "i")))
+    at = lambda q, i: F.min(F.when((F.col("i") == i) & (F.col("share") >= q), F.col("bin") * 10.0 + 5))
+    spread = lambda i: F.greatest((at(0.75, i) - at(0.25, i)) / 1.349, F.lit(FLOOR[i] * UNIT))
+    out = part.groupBy("g").agg(*[at(0.5, i).alias(f"m{i}") for i in range(P)], *[spread(i).alias(f"l{i}{i}") for i in range(P)])
     return out.select("g", *[f"m{i}" for i in range(P)], *[(F.col(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}")) for i in range(P) for j in range(i + 1)])
 
 
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row a group beside the rows; sent to every executor while there are few groups."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "g")
+def _with(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """One row a group beside the rows; sent to every executor while there are few groups (counted)."""
+    return rows.join(F.broadcast(groups) if few else groups, "g")
 
 
 def _key(c: str) -> Column:
@@ -143,22 +141,22 @@ def _spread(plan: DataFrame) -> DataFrame:
     return plan.withColumn("logdet", total)
 
 
-def _concentrated(rows: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, few: bool) -> DataFrame:
     """(g, m.., l.., free, within): the estimate of each group g of the rows, the better one of two starts, before scaling."""
     both = Cut(rows.select(F.explode(F.array(F.lit("#0"), F.lit("#1"))).alias("start"), "g", *[f"x{i}" for i in range(P)]).select(F.concat("g", "start").alias("g"), *[f"x{i}" for i in range(P)]), "mcd-rows")
     plain = _factor(_moments(rows), F.lit(1.0)).select(F.concat("g", F.lit("#1")).alias("g"), *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
     plan = Cut(_start(rows).withColumn("g", F.concat("g", F.lit("#0"))).unionByName(plain), "mcd").df
     plan, before = _spread(plan), None
     for _ in range(STEPS):
-        measured = _with(both.df, plan).withColumn("d2", _distance())
+        measured = _measured(_with(both.df, plan, few))
         near = Cut(_nearest(measured), "mcd").df
-        moments = _moments(_with(measured, near).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)]))
+        moments = _moments(_with(measured, near, few).where("d2 <= within").select("g", *[f"x{i}" for i in range(P)]))
         plan = Cut(_spread(_factor(moments, F.lit(1.0))), "mcd").df
         now = plan.select("g", "logdet")
         if before is not None and now.join(before.withColumnRenamed("logdet", "was"), "g").where(F.abs(F.col("logdet") - F.col("was")) > STILL).isEmpty():
             break
         before = now
-    near = _nearest(_with(both.df, plan).withColumn("d2", _distance()))
+    near = _nearest(_measured(_with(both.df, plan, few)))
     fitted = plan.join(near, "g").withColumn("start", F.substring("g", -1, 1)).withColumn("g", F.expr("substring(g, 1, length(g) - 2)"))
     best = F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))  # two rows a group
     out = Cut(fitted.withColumn("nth", best).where("nth = 1").drop("nth", "start", "logdet"), "mcd").df
@@ -179,14 +177,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     langs = sizes.groupBy("gl").agg(F.sum("n").alias("in_lang"))
     group = F.when(F.col("n") >= LEAST, F.col("gs")).when(F.col("in_lang") >= LEAST, F.concat(F.lit("lang/"), "gl")).otherwise("all")
     names = Cut(sizes.join(langs, "gl").select("gs", "gl", "n", (F.col("n") < LEAST).alias("small"), group.alias("g")), "groups").df
-    names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    few = names.count() <= BROADCAST_ROWS
+    names = F.broadcast(names) if few else names
     vectors = Cut(usable.select("doc_id", "gs", "gl", *_vector()), "vectors").df
     x = [f"x{i}" for i in range(P)]
     pools = names.where("small").select("gl", "g").distinct()
     own = vectors.join(names.where("not small").select("gs", "g"), "gs").select("g", *x)
     whole = vectors.join(pools.where("g <> 'all'"), "gl").select("g", *x)
     anyone = vectors.crossJoin(F.broadcast(pools.where("g = 'all'").select("g").limit(1))).select("g", *x)  # one row or none
-    fitted = _concentrated(own.unionByName(whole).unionByName(anyone))
+    fitted = _concentrated(own.unionByName(whole).unionByName(anyone), few)
     # coordinates held at FLOOR add next to nothing to distances: the quantile is that of the free ones
     scale = F.when(F.col("free") > 0, F.col("within") / F.element_at(F.array(*map(F.lit, CHI_HALF)), F.greatest("free", F.lit(1)))).otherwise(1.0)
     scaled = fitted.withColumn("scale", scale).drop("free", "within", *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
@@ -196,11 +195,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
     centre = [F.when(F.col("small"), F.col(f"m{i}") * (1 - share) + F.col(f"own{i}") * share).otherwise(F.col(f"m{i}")).alias(f"m{i}") for i in range(P)]
     factor = [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
     plan = Cut(names.join(final, "g").join(middle, "gs", "left").select("gs", *centre, *factor), "mcd").df
-    few = plan.count() <= BROADCAST_ROWS
     named = rows.withColumn("gs", F.concat_ws("/", _key("lang"), _key("source"))).select("*", *_vector())
-    judged = named.join(F.broadcast(plan) if few else plan, "gs", "left")
+    judged = _measured(named.join(F.broadcast(plan) if few else plan, "gs", "left"))
     enough = usable.limit(POOL).count() >= POOL
-    distance = F.when(~F.col("base_failed") & F.lit(enough), _distance())
+    distance = F.when(~F.col("base_failed") & F.lit(enough), F.col("d2"))
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

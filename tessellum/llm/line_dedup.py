@@ -11,17 +11,20 @@ estimate of the whole one. Lines whose number of shingles lies within the thresh
 falls between; so are long lines of few different shingles. What a candidate pair is accepted by is always the whole sets.
 
 Inside a bucket every member is first verified against one hub (the most frequent line). Lines of buckets that then still
-hold several components meet in it if it is small; in larger ones they are joined by prefixes of their shingles, which finds
-what is left without a large bucket's pairs. Before texts are compared, a pair's minima are: pairs at the threshold
-agree in 19 of 24, and in fewer than AGREE once in some thousands. Edges of the second step are contracted: its union-find
-sees links between components only.
+hold several components meet in it if it is small. Larger ones are split first: a pair that agrees in AGREE minima, three
+of them its band's, agrees in two of three of some other band, so its lines meet in one of the bucket's parts by two more
+minima. Where a part is still large, its lines are joined by prefixes of their shingles, which finds what is left without
+its pairs. Before texts are compared, a pair's minima are: pairs at the threshold agree in 19 of 24, and in fewer than
+AGREE once in some thousands. Edges of the second step are contracted: its union-find sees links between components only.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Cut
@@ -38,6 +41,8 @@ _random = random.Random(1)
 #: Minima are taken under xor with constants spread over the range: nearest hashes to HASHES fixed points.
 _POINTS = [((j << 32) // HASHES + _random.randrange((1 << 32) // HASHES)) - (1 << 31) for j in range(HASHES)]
 _MINIMA = [f"s{j}" for j in range(HASHES)]
+#: Their last 16 bits, four to a number: what pairs are compared by.
+_PACKED = [f"p{j}" for j in range(HASHES // 4)]
 _BLANKS = ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
@@ -45,6 +50,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _once(**made: Column) -> Column:
+    """The columns as a struct that is evaluated once: filters on what it holds are not pushed below it."""
+    return F.explode(F.array(F.struct(*[c.alias(name) for name, c in made.items()])))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """What tells the rows of a table apart besides their id: rows alike in id and text share it."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), doc_id.isNull(), text.isNull())
@@ -58,7 +68,8 @@ def lines(docs: DataFrame) -> DataFrame:
     for b in _BLANKS:  # the pattern is applied to the lines that need it
         blanks = blanks | F.contains("line", F.lit(b))
     folded = F.trim(F.when(blanks, F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line")))
-    return split.select("doc_id", "row", "pos", folded.alias("folded")).where("folded <> ''").withColumn("node", F.xxhash64("folded"))
+    whole = split.select("doc_id", "row", "pos", _once(folded=folded).alias("x")).where("x.folded <> ''")
+    return whole.select("doc_id", "row", "pos", "x.folded", F.xxhash64("x.folded").alias("node"))
 
 
 def _code(folded: Column) -> Column:
@@ -75,22 +86,22 @@ def _shingle(code: Column, at: Column) -> Column:
 
 
 def _minima(wide: DataFrame) -> DataFrame:
-    """(node, whole, code) -> (node, whole, n, s0..): occurrences and minima. Partial minima form before the shuffle."""
+    """(node, whole, code) -> (node, whole, n, s0.., thin): occurrences, minima, whether few shingles gave them. Partial minima form before the shuffle."""
     spread = wide.select("node", "whole", "code", F.explode(F.sequence(F.lit(0), _last(F.col("code")))).alias("at"))
     hashed = spread.select("node", "whole", (F.col("at") == 0).alias("first"), F.hash(_shingle(F.col("code"), F.col("at"))).alias("h"))
     heard = hashed.where(F.col("whole") | F.col("first") | (F.col("h").bitwiseAND(SHARE - 1) == 0))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(s) for s, p in zip(_MINIMA, _POINTS)]
-    return heard.groupBy("node", "whole").agg(F.sum(F.col("first").cast("int")).alias("n"), *least)
+    reached = F.array_distinct(F.array(*[F.col(s).bitwiseXOR(F.lit(p)) for s, p in zip(_MINIMA, _POINTS)]))
+    return heard.groupBy("node", "whole").agg(F.sum(F.col("first").cast("int")).alias("n"), *least).withColumn("thin", F.when(F.col("whole"), False).otherwise(F.size(reached) <= THIN))
 
 
 def signatures(found: DataFrame) -> Cut:
-    """(node, whole, n, s0..), as a cut, of every distinct line; whole: whether the minima are over all shingles."""
+    """(node, whole, n, s0.., thin), as a cut, of every distinct line; whole: whether the minima are over all shingles."""
     wide = found.select("node", _code(F.col("folded")).alias("code"))
     count = _last(F.col("code")) + 1
     ways = F.when(count > LONG, F.array(F.lit(False))).when(count >= THRESHOLD * LONG, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     signed = Cut(_minima(wide.select("node", "code", F.explode(ways).alias("whole"))), "line-signatures")
-    reached = F.array_distinct(F.array(*[F.col(s).bitwiseXOR(F.lit(p)) for s, p in zip(_MINIMA, _POINTS)]))
-    thin = signed.df.where(~F.col("whole") & (F.size(reached) <= THIN)).select(F.col("node").alias("node2"))
+    thin = signed.df.where("thin").select(F.col("node").alias("node2"))
     if thin.isEmpty():
         return signed
     again = found.where(F.length("folded") > LONG).select("node", "folded").join(_small(thin), F.col("node") == F.col("node2"), "left_semi")
@@ -100,22 +111,43 @@ def signatures(found: DataFrame) -> Cut:
 
 
 def _bands() -> Column:
-    """A key for each band of a node."""
-    return F.array(*[F.xxhash64(F.lit(b), "whole", *_MINIMA[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+    """A key for each band of a node; its last bit is ``whole``, the three before are the band."""
+    keys = [F.xxhash64(F.lit(b), "whole", *_MINIMA[b * ROWS : (b + 1) * ROWS]).bitwiseAND(~15).bitwiseOR(F.col("whole").cast("long")).bitwiseOR(F.lit(2 * b)) for b in range(BANDS)]
+    return F.array(*keys)
+
+
+def _pack() -> list[Column]:
+    def number(four: list[str]) -> Column:
+        parts = [F.shiftleft(F.col(s).cast("long").bitwiseAND(0xFFFF), 16 * i) for i, s in enumerate(four)]
+        return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
+
+    return [number(_MINIMA[4 * k : 4 * k + 4]).alias(p) for k, p in enumerate(_PACKED)]
+
+
+def _agree(x: list[str], y: list[str]) -> Column:
+    """In how many minima, by their last 16 bits, two lines agree."""
+    lanes = [(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.shiftleft(F.lit(0xFFFF).cast("long"), 16 * i)) == 0).cast("int") for a, b in zip(x, y) for i in range(4)]
+    return sum(lanes[1:], lanes[0])
+
+
+def _renamed(packed: DataFrame, to: str, *others: Column) -> DataFrame:
+    return packed.select(*others, *[F.col(p).alias(f"{p}{to}") for p in _PACKED])
+
+
+def _names(to: str) -> list[str]:
+    return [f"{p}{to}" for p in _PACKED]
 
 
 def _shingles(folded: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(_code(folded)), lambda code: F.transform(F.sequence(F.lit(0), _last(code)), lambda i: F.xxhash64(_shingle(code, i))))))
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, near: DataFrame) -> DataFrame:
     """The pairs (a, b) that agree in AGREE minima at least, taken the same way."""
-    packed = signed.select("node", "whole", F.array(*_MINIMA).alias("s"))
-    left = packed.select(F.col("node").alias("a2"), F.col("whole").alias("wa"), F.col("s").alias("sa"))
-    right = packed.select(F.col("node").alias("b2"), F.col("whole").alias("wb"), F.col("s").alias("sb"))
-    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, (F.col("b") == F.col("b2")) & (F.col("wa") == F.col("wb")))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    return both.where(agree >= AGREE).select("a", "b").distinct()
+    left = _renamed(near, "a", F.col("node").alias("a2"), F.col("whole").alias("wa"))
+    right = _renamed(near, "b", F.col("node").alias("b2"), F.col("whole").alias("wb"))
+    both = pairs.join(left, F.col("a") == F.col("a2")).join(right, (F.col("b") == F.col("b2")) & (F.col("wa") == F.col("wb")) & (_agree(_names("a"), _names("b")) >= AGREE))
+    return both.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -126,10 +158,10 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     texts = Cut(texts, "line-texts")
     left, right = texts.df.select(F.col("node").alias("a2"), F.col("folded").alias("fa")), texts.df.select(F.col("node").alias("b2"), F.col("folded").alias("fb"))
     both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2"))
-    sets = both.select("a", "b", _shingles(F.col("fa")).alias("x"), _shingles(F.col("fb")).alias("y"))
+    sets = both.select("a", "b", _once(x=_shingles(F.col("fa")), y=_shingles(F.col("fb"))).alias("z")).select("a", "b", "z.x", "z.y")
     sized = sets.where(F.least(F.size("x"), F.size("y")) >= THRESHOLD * F.greatest(F.size("x"), F.size("y")))
-    shared = sized.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
-    out = Cut(shared.where(F.col("shared") >= THRESHOLD * (F.col("sum") - F.col("shared"))).select("a", "b"), "line-edges").df
+    shared = sized.select("a", "b", _once(shared=F.size(F.array_intersect("x", "y")), sum=F.size("x") + F.size("y")).alias("z"))
+    out = Cut(shared.where(F.col("z.shared") >= THRESHOLD * (F.col("z.sum") - F.col("z.shared"))).select("a", "b"), "line-edges").df
     texts.drop()
     return out
 
@@ -166,62 +198,96 @@ def components(found: DataFrame, signatures: Cut) -> DataFrame:
     signed = signatures.df
     order = F.shiftleft(F.least("n", F.lit(16383)), 48).bitwiseOR(F.shiftrightunsigned("node", 16))  # the most frequent line is the hub
     keyed = signed.select("node", order.alias("order"), F.explode(_bands()).alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max_by("node", "order").alias("hub")).where("c > 1").select(F.col("key").alias("key2"), "hub")
-    members = keyed.select("key", "node").join(several, F.col("key") == F.col("key2"))
-    now = Cut(members.select("key", "node", "hub"), "line-buckets")
-    near = Cut(signed.join(now.df.select(F.col("node").alias("node2")).distinct(), F.col("node") == F.col("node2"), "left_semi"), "line-candidates")
+    alike = Window.partitionBy("key")  # one shuffle; a key's rows are sorted and spilled, never held
+    several = keyed.select("key", "node", F.count("*").over(alike).alias("c"), F.max_by("node", "order").over(alike).alias("hub")).where("c > 1")
+    now = Cut(several.select("key", "node", "hub"), "line-buckets")
+    packed = signed.select("node", "whole", *_pack())
+    near = Cut(packed.join(now.df.select(F.col("node").alias("node2")).distinct(), F.col("node") == F.col("node2"), "left_semi"), "line-candidates")
     signatures.drop()
     labels = Labels()
     labels.link(verified(_agreeing(now.df.where("node <> hub").select(*_pairs("node", "hub")).distinct(), near.df), found))
     placed = labels.of(now.df.where("node <> hub").select("key", "node"), "node", "own")  # the hub has met all others
     open_ = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("often")).where("low <> high").select(F.col("key").alias("key2"), "often")
-    rest = Cut(placed.join(open_, F.col("key") == F.col("key2")).select("key", "node", "own", "often"), "line-rest")
+    within = placed.join(open_, F.col("key") == F.col("key2")).select("key", "node", "own", "often")
+    signs = _renamed(near.df, "", F.col("node").alias("node2"), F.col("whole").cast("long").alias("whole2"))
+    rest = Cut(within.join(signs, (F.col("node") == F.col("node2")) & (F.col("key").bitwiseAND(1) == F.col("whole2"))).drop("node2", "whole2"), "line-rest")
     now.drop()
     if not rest.df.isEmpty():
         labels.link(verified(_apart(rest.df, near.df, found), found))
+    rest.drop()
     near.drop()
     return labels.df
 
 
+def _parts(crowded: DataFrame) -> DataFrame:
+    """Of (key, node, own, p0..): a row (part, node, own, p0..) for each two of three minima of each band but the key's own."""
+
+    def minimum(j: int) -> Column:
+        return F.shiftrightunsigned(_PACKED[j // 4], 16 * (j % 4)).bitwiseAND(0xFFFF)
+
+    twos = [F.struct(F.lit(b).alias("band"), F.xxhash64("key", F.lit(i), F.lit(j), minimum(i), minimum(j)).alias("part")) for b in range(BANDS) for i, j in combinations(range(b * ROWS, (b + 1) * ROWS), 2)]
+    own_band = F.shiftright(F.col("key").bitwiseAND(14), 1)
+    return crowded.select("key", "node", "own", *_PACKED, F.explode(F.array(*twos)).alias("x")).where(F.col("x.band") != own_band).select("x.part", "node", "own", *_PACKED)
+
+
+def _crowd(parts: DataFrame) -> DataFrame:
+    """(node, own, minor) of the lines of (part, node, own); minor: whether the line is outside the largest component of some part."""
+    sizes = parts.groupBy("part", "own").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("part").agg(F.max(F.struct("size", "own")).alias("most")).select(F.col("part").alias("part2"), F.col("most.own").alias("major"))
+    return parts.join(largest, F.col("part") == F.col("part2")).groupBy("node", "own").agg(F.max(F.col("own") != F.col("major")).alias("minor"))
+
+
+def _pairwise(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of different components among rows of one key that agree in AGREE minima."""
+    other = _renamed(rows, "b", F.col(key).alias("key2"), F.col("node").alias("b"), F.col("own").alias("ob"))
+    met = rows.join(other, (F.col(key) == F.col("key2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b")) & (_agree(_PACKED, _names("b")) >= AGREE))
+    return met.select(F.col("node").alias("a"), "b")
+
+
 def _prefix(single: DataFrame) -> DataFrame:
-    """Of (node, own, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
+    """Of (node, own, minor, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
     often = single.groupBy("t").agg(F.count("*").alias("often")).where("often > 1").select(F.col("t").alias("t2"), "often")
     shared = single.join(often, F.col("t") == F.col("t2"))
     # one line's tokens; those that no other line has come first and are only counted
-    listed = shared.groupBy("node", "own", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
+    listed = shared.groupBy("node", "own", "minor", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
     kept = F.slice("ts", F.lit(1), F.greatest(F.col("most") - F.col("size") + F.size("ts"), F.lit(0)).cast("int"))
-    spread = listed.select("node", "own", "size", (F.col("size") - F.size("ts")).alias("alone"), F.transform(kept, lambda x: x["t"]).alias("all"), F.posexplode(kept).alias("at", "x"))
-    return spread.select("x.t", "node", "own", "size", (F.col("alone") + F.col("at") + 1).alias("place"), "x.often", F.slice("all", F.lit(1), F.col("at")).alias("prev"))
+    spread = listed.select("node", "own", "minor", "size", (F.col("size") - F.size("ts")).alias("alone"), F.transform(kept, lambda x: x["t"]).alias("all"), F.posexplode(kept).alias("at", "x"))
+    return spread.select("x.t", "node", "own", "minor", "size", (F.col("alone") + F.col("at") + 1).alias("place"), "x.often", F.slice("all", F.lit(1), F.col("at")).alias("prev"))
 
 
 def _meeting(prefix: DataFrame, needed: Column) -> DataFrame:
-    """Pairs (a, b) of different components that share a token, at the first one they share, if they can share ``needed`` (of size and size2).
+    """Pairs (a, b) of a minor line and one of another component that share a token, at the first one they share, if they can share ``needed`` (of size and size2).
 
     All sets are in one order, so those that share no token before this one share at most this and what follows it in either.
     """
-    other = prefix.select(F.col("t").alias("t2"), F.col("node").alias("b"), F.col("own").alias("ob"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("prev").alias("prev2"))
+    other = prefix.select(F.col("t").alias("t2"), F.col("node").alias("b"), F.col("own").alias("ob"), F.col("minor").alias("minor2"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("prev").alias("prev2"))
     most = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
-    met = prefix.join(other, (F.col("t") == F.col("t2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b")) & (most >= needed) & ~F.arrays_overlap("prev", "prev2"))
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    met = prefix.where("minor").join(other, (F.col("t") == F.col("t2")) & (F.col("own") != F.col("ob")) & (~F.col("minor2") | (F.col("node") < F.col("b"))) & (most >= needed) & ~F.arrays_overlap("prev", "prev2"))
+    return met.select(*_pairs("node", "b")).distinct()
 
 
 def _apart(rest: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within the open buckets (key, node, own, often) that can reach THRESHOLD.
+    """Pairs (a, b) of different components within the open buckets (key, node, own, often, p0..) that can reach THRESHOLD.
 
-    In a bucket of up to FEW lines each meets the others. Lines of larger ones meet by the rarest of all their shingles
-    instead: with each set sorted from its rarest shingle, two sets at the threshold share one among their first
-    n - ceil(0.8 n) + 1, and enough may follow.
+    In a bucket of up to FEW // 4 lines each meets the others. Larger ones are split into parts, and in parts of up to FEW
+    lines each meets the others. Lines of larger parts meet by the rarest of all their shingles instead: with each set sorted
+    from its rarest shingle, two sets at the threshold share one among their first n - ceil(0.8 n) + 1, and enough may follow.
+    Two lines of a part that are not of one component are not both of its largest, so one of them is minor.
     """
-    few = rest.where(F.col("often") <= FEW)
-    other = few.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("own").alias("ob"))
-    met = few.join(other, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("ob")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
-    pairs = _agreeing(met, near)
-    crowd = Cut(rest.where(F.col("often") > FEW).select("node", "own").distinct(), "line-crowd").df
+    pairs = _pairwise(rest.where(F.col("often") <= FEW // 4), "key")
+    crowded = rest.where(F.col("often") > FEW // 4)
+    if crowded.isEmpty():
+        return pairs.distinct()
+    one = Window.partitionBy("part")
+    counted = _parts(crowded).select("*", F.min("own").over(one).alias("low"), F.max("own").over(one).alias("high"), F.count("*").over(one).alias("often"))
+    parts = Cut(counted.where("low <> high").drop("low", "high"), "line-parts").df
+    pairs = pairs.unionByName(_pairwise(parts.where(F.col("often") <= FEW), "part")).distinct()
+    crowd = Cut(_crowd(parts.where(F.col("often") > FEW)), "line-crowd").df
     if crowd.isEmpty():
         return pairs
     texts = found.select(F.col("node").alias("n2"), "folded").join(_small(crowd.select(F.col("node").alias("n3"))), F.col("n2") == F.col("n3"), "left_semi").dropDuplicates(["n2"])
-    sets = crowd.join(texts, F.col("node") == F.col("n2")).select("node", "own", _shingles(F.col("folded")).alias("x"))
-    single = Cut(sets.select("node", "own", F.size("x").alias("size"), (F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1).alias("most"), F.explode("x").alias("t")), "line-rare")
+    sets = crowd.join(texts, F.col("node") == F.col("n2")).select("node", "own", "minor", _shingles(F.col("folded")).alias("x"))
+    single = Cut(sets.select("node", "own", "minor", F.size("x").alias("size"), (F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1).alias("most"), F.explode("x").alias("t")), "line-rare")
     prefix = Cut(_prefix(single.df), "line-prefix").df
     single.drop()
     shared = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("size2")) - 1e-6)

@@ -69,3 +69,27 @@ def test_odd_rows(odd, empty):
     assert len(got) == 8 and sorted(r["text"] for r in got if r["doc_id"] == 5) == ["", ""]
     assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (1, 2, 3)} == {1: "hello there world", 2: None, 3: ""}
     assert ld.dedup_lines(empty).count() == 0
+
+
+def test_crowded_buckets_of_unlike_lines_are_split(frame, monkeypatch):
+    """Most lines that share a band but not AGREE minima are told apart by more minima, not by all their shingles."""
+    made = {}
+
+    class Counted(ld.Cut):
+        def __init__(self, df, name="cut", codec="snappy"):
+            super().__init__(df, name, codec)
+            made[name] = made.get(name, 0) + self.df.count()
+
+    monkeypatch.setattr(ld, "Cut", Counted)
+    monkeypatch.setattr(ld, "FEW", 24)
+    rng = random.Random(5)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    head = letters(40)
+    texts = [head + letters(80) for _ in range(300)]
+    rows = list(enumerate(texts + [x[:-4] + letters(4) for x in texts[:10]]))
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(rows)).collect()}
+    assert got == brute(rows) and sum(t == "" for t in got.values()) == 10
+    assert made["line-rest"] > 200 and 0 < made["line-crowd"] < 60

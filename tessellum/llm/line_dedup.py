@@ -232,9 +232,9 @@ def _parts(crowded: DataFrame) -> DataFrame:
 
 def _crowd(parts: DataFrame) -> DataFrame:
     """(node, own, minor) of the lines of (part, node, own); minor: whether the line is outside the largest component of some part."""
-    sizes = parts.groupBy("part", "own").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("part").agg(F.max(F.struct("size", "own")).alias("most")).select(F.col("part").alias("part2"), F.col("most.own").alias("major"))
-    return parts.join(largest, F.col("part") == F.col("part2")).groupBy("node", "own").agg(F.max(F.col("own") != F.col("major")).alias("minor"))
+    sized = parts.select("part", "node", "own", F.count("*").over(Window.partitionBy("part", "own")).alias("size"))
+    placed = sized.select("node", "own", F.max(F.struct("size", "own")).over(Window.partitionBy("part")).alias("most"))
+    return placed.groupBy("node", "own").agg(F.max(F.col("own") != F.col("most.own")).alias("minor"))
 
 
 def _pairwise(rows: DataFrame, key: str) -> DataFrame:
@@ -246,8 +246,7 @@ def _pairwise(rows: DataFrame, key: str) -> DataFrame:
 
 def _prefix(single: DataFrame) -> DataFrame:
     """Of (node, own, minor, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
-    often = single.groupBy("t").agg(F.count("*").alias("often")).where("often > 1").select(F.col("t").alias("t2"), "often")
-    shared = single.join(often, F.col("t") == F.col("t2"))
+    shared = single.select("*", F.count("*").over(Window.partitionBy("t")).alias("often")).where("often > 1")
     # one line's tokens; those that no other line has come first and are only counted
     listed = shared.groupBy("node", "own", "minor", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
     kept = F.slice("ts", F.lit(1), F.greatest(F.col("most") - F.col("size") + F.size("ts"), F.lit(0)).cast("int"))

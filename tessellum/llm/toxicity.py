@@ -6,6 +6,9 @@ hashed into a fixed table, so misspellings never seen share most vectors with th
 
 For scoring, the softmax is folded into the table: each bucket becomes one number, each word the mean of its buckets'
 numbers, and a text's logit is their mean. Only that table (BUCKETS floats, 1 MB) is sent to the executors.
+
+Rows the model has learned from lie far from 0.5, so they do not show where to cut. Two models, each fitted on one half of
+the rows, score the other half; the bias is moved by the cut at which these scores lose as large a share of either class.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ MIN_DOCS, START = 8, 0.1
 PER_CLASS = 1500
 REMEMBERED = 500_000
 FOLD, HELD_OUT = 5, 0
+#: With fewer rows than this of a class the bias stays as fitted: models of half of them score too unlike the whole one.
+LEAST = 500
 
 
 def buckets(word: bytes) -> np.ndarray | list[int]:
@@ -134,14 +139,44 @@ class Scorer:
             self.known[word] = value
         return value
 
-    def score(self, text: str | None) -> float:
-        """Probability of label 1; a text without words has the bias alone."""
+    def logit(self, text: str | None) -> float:
+        """A text without words has the bias alone."""
         known, word, parts = self.known.get, self.word, split(text)
         total = 0.0
         for w in parts:
             value = known(w)
             total += word(w) if value is None else value
-        return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, total / max(1, len(parts)) + self.model.bias)))))
+        return total / max(1, len(parts)) + self.model.bias
+
+    def score(self, text: str | None) -> float:
+        """Probability of label 1."""
+        return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, self.logit(text))))))
+
+
+def even_cut(logits: np.ndarray, toxic: np.ndarray) -> float:
+    """Where to cut so that the share of toxic rows below and of clean rows above are as near to equal as they come."""
+    values = np.unique(logits)
+    bad, good = np.sort(logits[toxic > 0]), np.sort(logits[toxic == 0])
+    missed = np.searchsorted(bad, values) / len(bad)
+    blamed = (len(good) - np.searchsorted(good, values)) / len(good)
+    at = int(np.argmax(missed >= blamed))
+    return float(values[max(0, at - 1)] + values[at]) / 2
+
+
+def calibrated(texts: list[str | None], toxic: np.ndarray) -> Model:
+    """``fit`` on all rows, its bias moved by the cut that two models, each fitted on one half, find on the other half."""
+    toxic = np.asarray(toxic, np.float32)
+    model = fit(texts, toxic)
+    if min((toxic > 0).sum(), (toxic == 0).sum()) < LEAST:
+        return model
+    half = np.zeros(len(toxic), bool)
+    for k in (0, 1):
+        half[np.flatnonzero(toxic == k)[::2]] = True
+    logits = np.empty(len(toxic))
+    for own in (half, ~half):
+        scorer = Scorer(fit([texts[i] for i in np.flatnonzero(~own)], toxic[~own]))
+        logits[own] = [scorer.logit(texts[i]) for i in np.flatnonzero(own)]
+    return Model(model.weight, model.bias - even_cut(logits, toxic))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -158,7 +193,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     rows = sample(docs, labels, per_class).collect()  # bounded by per_class
     rows.sort(key=lambda r: (r["id"], r["text"] or "", r["toxic"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    return calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

@@ -412,3 +412,20 @@ def test_fit_lowers_the_loss_as_its_slope_says():
     assert -np.mean(np.log(np.where(toxic, p, 1 - p))) < 0.2 and ((p >= 0.5) == toxic).all()
     again = toxicity.fit(texts, toxic)
     assert (again.weight == model.weight).all() and again.bias == model.bias
+
+
+def test_toxicity_cut_is_even_whatever_bias_was_fitted(frame, spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    common, rude = [f"word{k}" for k in range(300)], [f"rude{k}x" for k in range(12)]
+    toxic = [k % 2 for k in range(2000)]
+    rows = [(k, " ".join([*rng.choice(common, 30), *rng.choice(rude, rng.poisson(4 if t else 1))])) for k, t in enumerate(toxic)]
+    model = toxicity.fit([text for _, text in rows[1500:]], np.array(toxic[1500:]))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: toxicity.Model(model.weight, model.bias + 4))
+    scorer = toxicity.Scorer(toxicity.train(frame(rows[:1500]), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")))
+    wrong = [np.mean([(scorer.score(x) >= 0.5) != t for (_, x), t in zip(rows[:1500], toxic) if t == k]) for k in (0, 1)]
+    assert abs(wrong[0] - wrong[1]) < 0.05, wrong
+
+
+def test_even_cut():
+    assert toxicity.even_cut(np.array([0.0, 1.0, 2.0, 5.0, 6.0]), np.array([0, 0, 0, 1, 1])) == 3.5
+    assert 2.0 <= toxicity.even_cut(np.array([0.0, 1.0, 4.0, 2.0, 5.0, 6.0]), np.array([0, 0, 0, 1, 1, 1])) <= 4.0

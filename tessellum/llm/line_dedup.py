@@ -11,11 +11,12 @@ estimate of the whole one. Lines whose number of shingles lies within the thresh
 falls between; so are long lines of few different shingles. What a candidate pair is accepted by is always the whole sets.
 
 Inside a bucket every member is first verified against one hub (the most frequent line). Lines of buckets that then still
-hold several components meet in it if it is small. Larger ones are split first: a pair that agrees in AGREE minima, three
-of them its band's, agrees in two of three of some other band, so its lines meet in one of the bucket's parts by two more
-minima. Where a part is still large, its lines are joined by prefixes of their shingles, which finds what is left without
-its pairs. Before texts are compared, a pair's minima are: pairs at the threshold agree in 19 of 24, and in fewer than
-AGREE once in some thousands. Edges of the second step are contracted: its union-find sees links between components only.
+hold several components meet in it if it is small, or if a line of it is expected to agree with few others; how many agree is measured on neighbours in a random order. Large buckets in which few
+pairs agree are split: a pair that agrees in AGREE minima, three of them its band's, agrees in two of three of some other
+band, so its lines meet in one of the bucket's parts by two more minima. In large buckets or parts of many that agree, lines
+are joined by prefixes of their shingles, which finds what is left without its pairs. The choice changes the work only. Before
+texts are compared, a pair's minima are: pairs at the threshold agree in 19 of 24, and in fewer than AGREE once in some
+thousands. Edges of the second step are contracted: its union-find sees links between components only.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ HASHES = BANDS * ROWS
 LONG, SHARE, THIN = 128, 4, 8
 #: Least number of equal minima of a pair that is verified; lines that an open bucket may have to be paired in it.
 AGREE, FEW = 12, 64
+#: Buckets in which this share of pairs agrees are dense: splitting them would leave their lines together.
+DENSE = 0.125
 #: Tables of at most so many rows of one number are sent to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 _random = random.Random(1)
@@ -196,10 +199,10 @@ class Labels:
 def components(found: DataFrame, signatures: Cut) -> DataFrame:
     """(node, component) of lines that have a fuzzy partner. Drops the signatures."""
     signed = signatures.df
-    order = F.shiftleft(F.least("n", F.lit(16383)), 48).bitwiseOR(F.shiftrightunsigned("node", 16))  # the most frequent line is the hub
-    keyed = signed.select("node", order.alias("order"), F.explode(_bands()).alias("key"))
+    keyed = signed.select("node", F.least("n", F.lit(16383)).cast("short").alias("n"), F.explode(_bands()).alias("key")).repartition("key")
+    order = F.shiftleft(F.col("n").cast("long"), 48).bitwiseOR(F.shiftrightunsigned("node", 16))  # the most frequent line is the hub
     alike = Window.partitionBy("key")  # one shuffle; a key's rows are sorted and spilled, never held
-    several = keyed.select("key", "node", F.count("*").over(alike).alias("c"), F.max_by("node", "order").over(alike).alias("hub")).where("c > 1")
+    several = keyed.select("key", "node", F.count("*").over(alike).alias("c"), F.max_by("node", order).over(alike).alias("hub")).where("c > 1")
     now = Cut(several.select("key", "node", "hub"), "line-buckets")
     packed = signed.select("node", "whole", *_pack())
     near = Cut(packed.join(now.df.select(F.col("node").alias("node2")).distinct(), F.col("node") == F.col("node2"), "left_semi"), "line-candidates")
@@ -209,8 +212,7 @@ def components(found: DataFrame, signatures: Cut) -> DataFrame:
     placed = labels.of(now.df.where("node <> hub").select("key", "node"), "node", "own")  # the hub has met all others
     open_ = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("often")).where("low <> high").select(F.col("key").alias("key2"), "often")
     within = placed.join(open_, F.col("key") == F.col("key2")).select("key", "node", "own", "often")
-    signs = _renamed(near.df, "", F.col("node").alias("node2"), F.col("whole").cast("long").alias("whole2"))
-    rest = Cut(within.join(signs, (F.col("node") == F.col("node2")) & (F.col("key").bitwiseAND(1) == F.col("whole2"))).drop("node2", "whole2"), "line-rest")
+    rest = Cut(_signed(within, near.df, "key"), "line-rest")
     now.drop()
     if not rest.df.isEmpty():
         labels.link(verified(_apart(rest.df, near.df, found), found))
@@ -219,22 +221,43 @@ def components(found: DataFrame, signatures: Cut) -> DataFrame:
     return labels.df
 
 
+def _signed(rows: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """The rows with p0.. of their node, taken the way that the key's last bit says."""
+    signs = _renamed(near, "", F.col("node").alias("node2"), F.col("whole").cast("long").alias("whole2"))
+    return rows.join(signs, (F.col("node") == F.col("node2")) & (F.col(key).bitwiseAND(1) == F.col("whole2"))).drop("node2", "whole2")
+
+
 def _parts(crowded: DataFrame) -> DataFrame:
-    """Of (key, node, own, p0..): a row (part, node, own, p0..) for each two of three minima of each band but the key's own."""
+    """Of (key, node, own, p0..): a row (part, node, own) for each two of three minima of each band but the key's own, where a part has several components."""
 
     def minimum(j: int) -> Column:
         return F.shiftrightunsigned(_PACKED[j // 4], 16 * (j % 4)).bitwiseAND(0xFFFF)
 
-    twos = [F.struct(F.lit(b).alias("band"), F.xxhash64("key", F.lit(i), F.lit(j), minimum(i), minimum(j)).alias("part")) for b in range(BANDS) for i, j in combinations(range(b * ROWS, (b + 1) * ROWS), 2)]
+    whole = F.col("key").bitwiseAND(1)
+    twos = [F.struct(F.lit(b).alias("band"), F.xxhash64("key", F.lit(i), F.lit(j), minimum(i), minimum(j)).bitwiseAND(~1).bitwiseOR(whole).alias("part")) for b in range(BANDS) for i, j in combinations(range(b * ROWS, (b + 1) * ROWS), 2)]
     own_band = F.shiftright(F.col("key").bitwiseAND(14), 1)
-    return crowded.select("key", "node", "own", *_PACKED, F.explode(F.array(*twos)).alias("x")).where(F.col("x.band") != own_band).select("x.part", "node", "own", *_PACKED)
+    spread = crowded.select("key", "node", "own", F.explode(F.array(*twos)).alias("x")).where(F.col("x.band") != own_band).select("x.part", "node", "own")
+    one = Window.partitionBy("part")
+    counted = spread.select("*", F.min("own").over(one).alias("low"), F.max("own").over(one).alias("high"), F.count("*").over(one).alias("often"))
+    return counted.where("low <> high").drop("low", "high")
+
+
+def _crowding(rows: DataFrame, key: str) -> DataFrame:
+    """(key, node, own, often, p0..) with share: of how many neighbours in a random order of a key's rows the components differ and AGREE minima agree."""
+    order, one = Window.partitionBy(key).orderBy("node", "own"), Window.partitionBy(key)  # node is a hash
+    before = rows.select("*", F.lag("own").over(order).alias("ob"), *[F.lag(p).over(order).alias(f"{p}b") for p in _PACKED])
+    met = (F.col("own") != F.col("ob")) & (_agree(_PACKED, _names("b")) >= AGREE)
+    return before.select(key, "node", "own", "often", *_PACKED, F.avg(F.coalesce(met, F.lit(False)).cast("int")).over(one).alias("share"))
 
 
 def _crowd(parts: DataFrame) -> DataFrame:
-    """(node, own, minor) of the lines of (part, node, own); minor: whether the line is outside the largest component of some part."""
-    sizes = parts.groupBy("part", "own").agg(F.count("*").alias("size"))
+    """(node, own, minor, met) of the lines of (part, node, own, met).
+
+    met: whether all parts of the line are compared line by line; minor: whether it is outside the largest component of some other part.
+    """
+    sizes = parts.where("not met").groupBy("part", "own").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("part").agg(F.max(F.struct("size", "own")).alias("most")).select(F.col("part").alias("part2"), F.col("most.own").alias("major"))
-    return parts.join(largest, F.col("part") == F.col("part2")).groupBy("node", "own").agg(F.max(F.col("own") != F.col("major")).alias("minor"))
+    return parts.join(largest, F.col("part") == F.col("part2"), "left").groupBy("node", "own").agg(F.coalesce(F.max(F.col("own") != F.col("major")), F.lit(False)).alias("minor"), F.min("met").alias("met"))
 
 
 def _pairwise(rows: DataFrame, key: str) -> DataFrame:
@@ -246,8 +269,7 @@ def _pairwise(rows: DataFrame, key: str) -> DataFrame:
 
 def _prefix(single: DataFrame) -> DataFrame:
     """Of (node, own, minor, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
-    often = single.groupBy("t").agg(F.count("*").alias("often")).where("often > 1").select(F.col("t").alias("t2"), "often")
-    shared = single.join(often, F.col("t") == F.col("t2"))
+    shared = single.select("*", F.count("*").over(Window.partitionBy("t")).alias("often")).where("often > 1")
     # one line's tokens; those that no other line has come first and are only counted
     listed = shared.groupBy("node", "own", "minor", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
     kept = F.slice("ts", F.lit(1), F.greatest(F.col("most") - F.col("size") + F.size("ts"), F.lit(0)).cast("int"))
@@ -269,20 +291,23 @@ def _meeting(prefix: DataFrame, needed: Column) -> DataFrame:
 def _apart(rest: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components within the open buckets (key, node, own, often, p0..) that can reach THRESHOLD.
 
-    In a bucket of up to FEW // 4 lines each meets the others. Larger ones are split into parts, and in parts of up to FEW
-    lines each meets the others. Lines of larger parts meet by the rarest of all their shingles instead: with each set sorted
-    from its rarest shingle, two sets at the threshold share one among their first n - ceil(0.8 n) + 1, and enough may follow.
-    Two lines of a part that are not of one component are not both of its largest, so one of them is minor.
+    In a bucket of up to FEW lines each meets the others, and in a larger dense one too if a line is expected to agree with
+    no more than FEW of them. Other dense buckets are crowds; those that are not dense are split into parts, and parts are
+    crowds unless the same holds for them. Lines of crowds meet by the rarest of all their shingles instead: with each set
+    sorted from its rarest shingle, two sets at the threshold share one among their first n - ceil(0.8 n) + 1, and enough may
+    follow. Two lines of a crowd that are not of one component are not both of its largest, so one of them is minor.
     """
-    pairs = _pairwise(rest.where(F.col("often") <= FEW // 4), "key")
-    crowded = rest.where(F.col("often") > FEW // 4)
-    if crowded.isEmpty():
-        return pairs.distinct()
-    one = Window.partitionBy("part")
-    counted = _parts(crowded).select("*", F.min("own").over(one).alias("low"), F.max("own").over(one).alias("high"), F.count("*").over(one).alias("often"))
-    parts = Cut(counted.where("low <> high").drop("low", "high"), "line-parts").df
-    pairs = pairs.unionByName(_pairwise(parts.where(F.col("often") <= FEW), "part")).distinct()
-    crowd = Cut(_crowd(parts.where(F.col("often") > FEW)), "line-crowd").df
+    dense, loose = F.col("share") >= DENSE, (F.col("often") * F.col("share") <= FEW) & (F.col("often") <= FEW / DENSE)
+    kinds = Cut(_crowding(rest.where(F.col("often") > FEW), "key"), "line-kinds").df
+    pairs = _pairwise(rest.where(F.col("often") <= FEW).unionByName(kinds.where(dense & loose).drop("share")), "key")
+    split = Cut(_parts(kinds.where(~dense)), "line-split")
+    parts = Cut(_crowding(_signed(split.df, near, "part"), "part"), "line-parts").df
+    split.drop()
+    large = F.col("often") > FEW
+    pairs = pairs.unionByName(_pairwise(parts.where(~large | loose), "part")).distinct()
+    whole = kinds.where(dense & ~loose).select(F.col("key").alias("part"), "node", "own", F.lit(False).alias("met"))
+    crowd = Cut(_crowd(whole.unionByName(parts.where(large).select("part", "node", "own", loose.alias("met")))), "line-crowd").df
+    crowd = crowd.where("not met").drop("met")
     if crowd.isEmpty():
         return pairs
     texts = found.select(F.col("node").alias("n2"), "folded").join(_small(crowd.select(F.col("node").alias("n3"))), F.col("n2") == F.col("n3"), "left_semi").dropDuplicates(["n2"])
@@ -329,10 +354,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = Cut(removed(docs.select("doc_id", "text")), "line-gone").df
     gone = gone.select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "row").alias("at"), "gone")
     joined = own.withColumn("here", F.struct(F.coalesce(id_, F.lit(0)).alias("i"), row_key(id_, text_).alias("row"))).join(gone, F.col("here") == F.col("at"), "left")
-    split = F.split(text_.cast("string"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), text_).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    out = joined.select("own", text.alias("text"))
+    split = F.when(F.col("gone").isNotNull(), F.split(text_.cast("string"), "\n", -1))  # once a document, not once a line
+    parted = joined.select("own", "gone", _once(lines=split).alias("x")).select("own", "gone", F.col("x.lines").alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), text_).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    out = parted.select("own", text.alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col("own").getField(c).alias(c) for c in docs.columns])
 

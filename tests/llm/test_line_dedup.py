@@ -93,3 +93,30 @@ def test_crowded_buckets_of_unlike_lines_are_split(frame, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(rows)).collect()}
     assert got == brute(rows) and sum(t == "" for t in got.values()) == 10
     assert made["line-rest"] > 200 and 0 < made["line-crowd"] < 60
+
+
+def test_dense_buckets_are_not_split(frame, monkeypatch):
+    """Lines of one family agree in most minima: by two more of them they would stay together, each in over twenty parts."""
+    made = {}
+
+    class Counted(ld.Cut):
+        def __init__(self, df, name="cut", codec="snappy"):
+            super().__init__(df, name, codec)
+            made[name] = made.get(name, 0) + self.df.count()
+
+    monkeypatch.setattr(ld, "Cut", Counted)
+    monkeypatch.setattr(ld, "FEW", 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}ord" for _ in range(40)]
+
+    def edited():
+        own = list(base)
+        for k in rng.sample(range(40), 5):
+            own[k] = f"x{rng.randrange(10**6)}"
+        return " ".join(own)
+
+    rows = list(enumerate(edited() for _ in range(120)))
+    rows += [(200 + i, t.rsplit(" ", 1)[0]) for i, t in rows[:30]]
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(rows)).collect()}
+    assert got == brute(rows) and 30 <= sum(t == "" for t in got.values()) < 120
+    assert made["line-crowd"] > 60 and made.get("line-parts", 0) < made["line-rest"]

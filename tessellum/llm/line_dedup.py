@@ -16,7 +16,8 @@ pairs agree are split: a pair that agrees in AGREE minima, three of them its ban
 band, so its lines meet in one of the bucket's parts by two more minima. In large buckets or parts of many that agree, lines
 are joined by prefixes of their shingles, which finds what is left without its pairs. The choice changes the work only. Before
 texts are compared, a pair's minima are: pairs at the threshold agree in 19 of 24, and in fewer than AGREE once in some
-thousands. Edges of the second step are contracted: its union-find sees links between components only.
+thousands. Edges of the second step are contracted: its union-find sees links between components only. Its lines are in many
+pairs each, so before their sets are, parities of their shingles are compared, which can only show that two sets differ too much.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut
+from . import common
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 3, 0.8
@@ -38,6 +39,8 @@ LONG, SHARE, THIN = 128, 4, 8
 AGREE, FEW = 12, 64
 #: Buckets in which this share of pairs agrees are dense: splitting them would leave their lines together.
 DENSE = 0.125
+#: Numbers of 64 parities each that a set is told apart by.
+WORDS = 16
 #: Tables of at most so many rows of one number are sent to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 _random = random.Random(1)
@@ -49,6 +52,12 @@ _PACKED = [f"p{j}" for j in range(HASHES // 4)]
 _BLANKS = ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
+class Cut(common.Cut):
+    """Hashes, minima and texts seldom repeat, so no dictionaries of them are tried."""
+
+    options = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -142,7 +151,8 @@ def _names(to: str) -> list[str]:
 
 
 def _shingles(folded: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(F.array(_code(folded)), lambda code: F.transform(F.sequence(F.lit(0), _last(code)), lambda i: F.xxhash64(_shingle(code, i))))))
+    each = F.transform(F.array(_code(folded)), lambda code: F.transform(F.sequence(F.lit(1), 2 * _last(code) + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(code, at, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.get(each, 0))
 
 
 def _agreeing(pairs: DataFrame, near: DataFrame) -> DataFrame:
@@ -153,12 +163,31 @@ def _agreeing(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more. found: node, folded."""
+def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can have a Jaccard similarity of THRESHOLD by the sizes of their sets and WORDS numbers of parities. texts: node, folded.
+
+    A bit tells whether an odd number of a set's shingles fall on it. Two sets differ in as many shingles as bits at least, and at the
+    threshold in no more than (1 - THRESHOLD) / (1 + THRESHOLD) of both sizes: every such pair stays. Each set is taken once.
+    """
+    each = texts.select("node", F.explode(_shingles(F.col("folded"))).alias("t"))
+    placed = each.select("node", F.col("t").bitwiseAND(WORDS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(t, 32) & 63 as int))").alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    sketches = Cut(placed.groupBy("node").agg(F.count("*").alias("size"), *words), "line-sketches").df
+    left, right = (sketches.select(F.col("node").alias(f"{x}2"), F.col("size").alias(f"size{x}"), *[F.col(f"w{w}").alias(f"w{w}{x}") for w in range(WORDS)]) for x in "ab")
+    differ = [F.bit_count(F.col(f"w{w}a").bitwiseXOR(F.col(f"w{w}b"))) for w in range(WORDS)]
+    near = sum(differ[1:], differ[0]) <= F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) * (F.col("sizea") + F.col("sizeb")) + 1e-6
+    sized = F.least("sizea", "sizeb") >= THRESHOLD * F.greatest("sizea", "sizeb")
+    return pairs.join(left, F.col("a") == F.col("a2")).join(right, (F.col("b") == F.col("b2")) & sized & near).select("a", "b")
+
+
+def verified(pairs: DataFrame, found: DataFrame, often: bool = False) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more. found: node, folded; often: whether lines are in many pairs each."""
     pairs = Cut(pairs.select("a", "b"), "line-pairs").df
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node2")).distinct()
     texts = found.select("node", "folded").join(_small(ends), F.col("node") == F.col("node2"), "left_semi").dropDuplicates(["node"])
     texts = Cut(texts, "line-texts")
+    if often:
+        pairs = Cut(possible(pairs, texts.df), "line-possible").df
     left, right = texts.df.select(F.col("node").alias("a2"), F.col("folded").alias("fa")), texts.df.select(F.col("node").alias("b2"), F.col("folded").alias("fb"))
     both = pairs.join(left, F.col("a") == F.col("a2")).join(right, F.col("b") == F.col("b2"))
     sets = both.select("a", "b", _once(x=_shingles(F.col("fa")), y=_shingles(F.col("fb"))).alias("z")).select("a", "b", "z.x", "z.y")
@@ -215,7 +244,7 @@ def components(found: DataFrame, signatures: Cut) -> DataFrame:
     rest = Cut(_signed(within, near.df, "key"), "line-rest")
     now.drop()
     if not rest.df.isEmpty():
-        labels.link(verified(_apart(rest.df, near.df, found), found))
+        labels.link(verified(_apart(rest.df, near.df, found), found, often=True))
     rest.drop()
     near.drop()
     return labels.df
@@ -271,7 +300,7 @@ def _prefix(single: DataFrame) -> DataFrame:
     """Of (node, own, minor, size, most, t), the tokens t of a set, the ``most`` that fewest sets hold, with their place, that number (often > 1), and those before (prev)."""
     shared = single.select("*", F.count("*").over(Window.partitionBy("t")).alias("often")).where("often > 1")
     # one line's tokens; those that no other line has come first and are only counted
-    listed = shared.groupBy("node", "own", "minor", "size", "most").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
+    listed = shared.groupBy("node", "own", "minor", "size", "most").agg(F.sort_array(F.collect_list(F.struct("often", "t"))).alias("ts"))
     kept = F.slice("ts", F.lit(1), F.greatest(F.col("most") - F.col("size") + F.size("ts"), F.lit(0)).cast("int"))
     spread = listed.select("node", "own", "minor", "size", (F.col("size") - F.size("ts")).alias("alone"), F.transform(kept, lambda x: x["t"]).alias("all"), F.posexplode(kept).alias("at", "x"))
     return spread.select("x.t", "node", "own", "minor", "size", (F.col("alone") + F.col("at") + 1).alias("place"), "x.often", F.slice("all", F.lit(1), F.col("at")).alias("prev"))
@@ -310,13 +339,15 @@ def _apart(rest: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     crowd = crowd.where("not met").drop("met")
     if crowd.isEmpty():
         return pairs
-    texts = found.select(F.col("node").alias("n2"), "folded").join(_small(crowd.select(F.col("node").alias("n3"))), F.col("n2") == F.col("n3"), "left_semi").dropDuplicates(["n2"])
+    members = _small(crowd.select(F.col("node").alias("n3")))
+    texts = found.select(F.col("node").alias("n2"), "folded").join(members, F.col("n2") == F.col("n3"), "left_semi").dropDuplicates(["n2"])
     sets = crowd.join(texts, F.col("node") == F.col("n2")).select("node", "own", "minor", _shingles(F.col("folded")).alias("x"))
     single = Cut(sets.select("node", "own", "minor", F.size("x").alias("size"), (F.size("x") - F.ceil(THRESHOLD * F.size("x")) + 1).alias("most"), F.explode("x").alias("t")), "line-rare")
     prefix = Cut(_prefix(single.df), "line-prefix").df
     single.drop()
     shared = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("size2")) - 1e-6)
-    return pairs.unionByName(_agreeing(_meeting(prefix, shared), near)).distinct()
+    crowded = near.join(members, F.col("node") == F.col("n3"), "left_semi")
+    return pairs.unionByName(_agreeing(_meeting(prefix, shared), crowded)).distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:

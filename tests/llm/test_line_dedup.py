@@ -120,3 +120,31 @@ def test_dense_buckets_are_not_split(frame, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(rows)).collect()}
     assert got == brute(rows) and 30 <= sum(t == "" for t in got.values()) < 120
     assert made["line-crowd"] > 60 and made.get("line-parts", 0) < made["line-rest"]
+
+
+def test_few_pairs_are_compared_by_their_sets(spark, monkeypatch):
+    """Of lines in many pairs, those that differ in too many parities are told apart without their sets; no pair at the threshold goes."""
+    made = {}
+
+    class Counted(ld.Cut):
+        def __init__(self, df, name="cut", codec="snappy"):
+            super().__init__(df, name, codec)
+            made[name] = made.get(name, 0) + self.df.count()
+
+    monkeypatch.setattr(ld, "Cut", Counted)
+    rng = random.Random(7)
+    texts = ["short", "shorter", "shörter line", "ab" * 300, "ab" * 200, "ba" * 300 + "c"]
+    for words in (20, 60, 400):
+        base = [f"w{rng.randrange(900)}ord" for _ in range(words)]
+        for edits in (0, 1, 2, 4, 6, 8) * 4:
+            own = list(base)
+            for k in rng.sample(range(words), words * edits // 60):
+                own[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own) + f" {rng.randrange(10)}")
+    texts = sorted(set(texts))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    found = spark.createDataFrame(list(enumerate(texts)), "node long, folded string")
+    got = {tuple(r) for r in ld.verified(spark.createDataFrame(pairs, "a long, b long"), found, often=True).collect()}
+    want = {(a, b) for a, b in pairs if similar(texts[a], texts[b])}
+    assert got == want and len(want) > 100
+    assert len(want) <= made["line-possible"] < len(want) + (len(pairs) - len(want)) / 4

@@ -20,7 +20,7 @@ def same(spark, tmp_path):
         for name, rows in tables.items():
             columns = rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(rows)
             pq.write_table(columns, tmp_path / f"{name}.parquet")
-            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+            con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
         for name in names:
             df = catalog.queries()[name](spark, str(tmp_path))
             own = sorted(df.columns)
@@ -42,3 +42,18 @@ def test_chunks_of_white_space(same):
     long = "x" * 1300
     texts = [f"{long}\n\n{long}", f"\n{long}", f"{long}\n", f"{long}\n \t\n{long}\nend", "", " ", "a\nb", None]
     same({"documents": documents(texts)}, "line_chunks_fixed", "chunk_cap_head", "chunk_cap_tail", "chunk_percentiles")
+
+
+def test_nearest_vectors_with_copies_and_nulls(spark, same):
+    rows = [{"vec_id": i, "embedding": [float((i * j) % 7) / 7 for j in range(8)], "label": i % 3} for i in range(61)]
+    rows += [{"vec_id": 100 + i, "embedding": [0.5] * 8, "label": 1} for i in range(40)] + [{"vec_id": 200, "embedding": [0.5] * 8, "label": None}]
+    few = rows[:5] + [{"vec_id": 5, "embedding": None, "label": 0}]
+    for table in (rows, few):
+        kind = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
+        same_rows = {"embeddings": pa.Table.from_pylist(table, kind)}
+        same(same_rows, "vector_topk", "vector_topk_prefilter", *(["vector_postfilter_backfill"] if table is rows else []))
+
+
+def test_nearest_vectors_broadcast_nothing(spark):
+    plan = catalog.queries()["vector_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

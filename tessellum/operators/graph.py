@@ -111,6 +111,12 @@ def shared_token_edges(tokens: DataFrame, conf: EngineConf = CONF) -> DataFrame:
     return own.join(other, (F.col("token") == F.col("token2")) & (F.col("source") != F.col("dst"))).select(F.col("source").alias("src"), "dst", "token")
 
 
+def pairs_of(tokens: DataFrame) -> DataFrame:
+    """(src, dst, token): both ways each pair of a token's sources (token, sources), a few each."""
+    one = tokens.select("token", "sources", F.explode("sources").alias("src"))
+    return one.select("src", F.explode(F.filter("sources", lambda x: x != F.col("src"))).alias("dst"), "token")
+
+
 def capped_neighbors(edges: DataFrame, conf: EngineConf = CONF) -> DataFrame:
     """edges (src, dst, priority, same_kb): one edge a pair, of the lowest priority; the first ``neighbors`` of each source stay."""
     best = edges.groupBy("src", "dst").agg(F.min("priority").alias("priority"), F.max("same_kb").alias("same_kb"))

@@ -21,8 +21,8 @@ BLOCK, QUERIES, PAIRS = 2048, 1 << 15, 1 << 16
 class Best:
     """The k least (key, id) of each of n groups; rows that come are held until there are as many as are kept."""
 
-    def __init__(self, n: int, k: int):
-        self.n, self.k = n, k
+    def __init__(self, n: int, k: int, lazy: int = PAIRS):
+        self.n, self.k, self.lazy = n, k, lazy
         self.bound = np.full(n, np.inf)
         self.rows: list[tuple] = []
         self.held = 0
@@ -31,9 +31,18 @@ class Best:
         if len(group):
             self.rows.append((group, key, ident))
             self.held += len(group)
-            if self.held > 2 * self.n * self.k + PAIRS:
+            if self.held > 2 * self.n * self.k + self.lazy:
                 self.settle()
 
+    def offer(self, keys: np.ndarray, ident: np.ndarray) -> None:
+        """Keys of every group (a row each; infinite: none) for ids in rising order: the first k of each group are added."""
+        near = np.flatnonzero((keys <= self.bound[:, None]).any(1))
+        own = keys[near]
+        first = np.argsort(own, axis=1, kind="stable")[:, : self.k]
+        value = np.take_along_axis(own, first, 1)
+        row, column = np.nonzero((value <= self.bound[near][:, None]) & np.isfinite(value))
+        self.add(near[row], value[row, column], ident[first[row, column]])
+
     def settle(self) -> tuple:
         """(group, key, id) of what is kept, in order."""
         if not self.rows:
@@ -161,7 +170,8 @@ def vectors_near(vectors: DataFrame, queries: DataFrame, k: int, same: str | Non
         if near.shape[1] > k and np.isinf(bound).any():
             here = np.partition(near, k - 1, axis=1)[:, k - 1].astype("f8")
             # the k-th of this block, as far as it may be off, in the next millionth
-            bound = np.fmin(bound, np.where(np.isnan(here), np.inf, rounded(here + slack) + 1))
+            known = np.isfinite(here)
+            bound = np.fmin(bound, np.where(known, rounded(np.where(known, here, 0.0) + slack) + 1, np.inf))
         most = ((bound + 0.5) / 1e6 + slack).astype("f4") * np.float32(1.000001)
         met = ~(near > most[:, None])
         if same:

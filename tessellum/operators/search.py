@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..conf import CONF, PAGE_PRIORITY, STOPWORDS, EngineConf
 from ..functions import text as T
-from . import graph, planning, retrieve
+from . import graph, lexical, planning, retrieve
 from .retrieve import top
 
 HIT = "query_id long, match_kind string, source string, line_start long, line_end long, snippet string, score double, exact_symbol boolean, exact_path boolean, rank long"
@@ -103,11 +103,14 @@ def _met(corpus: DataFrame, asked: DataFrame, condition: Column, conf: EngineCon
 def scoped(hits: DataFrame, plan: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Hits (query_id, source, ..) of the question's kb and, for questions that ``allowed`` speaks of, of its sources."""
     own = hits.join(plan.select("query_id", F.col("kb").alias("asked_kb")), "query_id").where(F.col("asked_kb").isNull() | (T.kb_of(F.col("source")) == F.col("asked_kb"))).drop("asked_kb")
-    if allowed is None:
-        return own
+    return own if allowed is None else within(own, allowed)
+
+
+def within(hits: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Hits of questions that ``allowed`` does not speak of, and of the others those of its sources."""
     bound = allowed.select("query_id").distinct().withColumn("bound", F.lit(True))
     inside = allowed.select("query_id", "source").distinct().withColumn("inside", F.lit(True))
-    return own.join(bound, "query_id", "left").join(inside, ["query_id", "source"], "left").where("bound is null or inside").drop("bound", "inside")
+    return hits.join(bound, "query_id", "left").join(inside, ["query_id", "source"], "left").where("bound is null or inside").drop("bound", "inside")
 
 
 def _hits(df: DataFrame, kind: str, order: list) -> DataFrame:
@@ -153,9 +156,11 @@ def grep_hits(b: Bundle, plan: DataFrame, allowed: DataFrame | None = None, conf
     Whole texts are held against the keywords; only files that hold one are split, and each row cuts its context from itself.
     """
     words = T.ordered_distinct(F.concat("keywords", "symbols"))
-    asked = plan.select("query_id", F.explode(words).alias("keyword")).withColumn("low", F.lower("keyword"))
+    asked = plan.select("query_id", F.col("kb").alias("asked_kb"), F.explode(words).alias("keyword")).withColumn("low", F.lower("keyword"))
     files = b.files.select(F.col("rel_path").alias("source"), "text").where("text is not null")
-    met = scoped(_met(files, asked, F.contains(F.lower("text"), F.col("low")), conf), plan, allowed)
+    in_kb = F.col("asked_kb").isNull() | (T.kb_of(F.col("source")) == F.col("asked_kb"))  # here, so that no text is shuffled for it
+    met = _met(files, asked, in_kb & F.contains(F.lower("text"), F.col("low")), conf).drop("asked_kb")
+    met = met if allowed is None else within(met, allowed)
     own = met.withColumn("lines", F.split("text", "\n", -1))
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.contains(F.lower(F.get("lines", i)), F.col("low")))
     around = lambda i: F.array_join(F.slice("lines", F.greatest(i + 1 - conf.context_lines, F.lit(1)), F.least(i, F.lit(conf.context_lines)) + conf.context_lines + 1), "\n")
@@ -200,6 +205,28 @@ def bm25_hits(b: Bundle, plan: DataFrame, k: int, allowed: DataFrame | None = No
     scan skips what no question asks for.
     """
     asked = graph.cut(planning.query_terms(plan))
+    own = b.chunks.where("trim(text) <> ''").select("source", "chunk_index", "line_start", "line_end", F.col("text").alias("snippet"))
+    held = lexical.held(asked)
+    kbs = {r["query_id"]: r["kb"] for r in plan.where("kb is not null").select("query_id", "kb").limit(lexical.HELD_PAIRS).collect()} if held is not None and allowed is None else {}  # no more than questions that are held
+    if held is None or allowed is not None:
+        total = _bm25_joined(b, plan, asked, allowed, conf).join(own.select("source", "chunk_index"), ["source", "chunk_index"], "left_semi")
+        best = top(total, ["query_id"], [F.desc("score"), "source", "chunk_index"], k, "nth")
+        return _hits(best.join(own, ["source", "chunk_index"]), "bm25", ["nth"])
+    place = sorted({t for a in held for t in a.terms})
+    known = plan.sparkSession.createDataFrame([(t, i) for i, t in enumerate(place)], "term string, t int")
+    one = b.corpus.first()
+    df = {r["t"]: r["df"] for r in b.terms.join(F.broadcast(known), "term").select("t", "df").collect()}  # one row an asked term
+    # a chunk's postings of asked terms become one row
+    counts = b.postings.join(F.broadcast(known), "term").groupBy("source", "chunk_index").agg(F.max("length").alias("length"), F.array_sort(F.collect_list(F.struct("t", "tf"))).alias("x"))
+    counts = counts.join(own.select("source", "chunk_index"), ["source", "chunk_index"], "left_semi")
+    counts = counts.select("source", "chunk_index", T.kb_of(F.col("source")).alias("kb"), "length", F.col("x.t").alias("terms"), F.col("x.tf").alias("tfs"))
+    scored = lexical.bm25_best(counts, ["source", "chunk_index"], held, place, df, one["doc_count"], one["avg_length"], k, kbs, conf)
+    best = graph.cut(top(scored, ["query_id"], [F.desc("score"), "source", "chunk_index"], k, "nth"))
+    return _hits(own.join(F.broadcast(best) if best.count() <= lexical.TERMS else best, ["source", "chunk_index"]), "bm25", ["nth"])
+
+
+def _bm25_joined(b: Bundle, plan: DataFrame, asked: DataFrame, allowed: DataFrame | None, conf: EngineConf) -> DataFrame:
+    """(query_id, source, chunk_index, score) of every chunk in scope that shares a term with a question."""
     found = None
     for block in blocks(asked.select("term").distinct(), conf):
         part = b.postings.join(block, "term")
@@ -209,10 +236,7 @@ def bm25_hits(b: Bundle, plan: DataFrame, k: int, allowed: DataFrame | None = No
     idf = F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (conf.k1 + 1) / (F.col("tf") + conf.k1 * (1 - conf.b + conf.b * F.col("length") / F.col("avg_length")))
     weighed = found.join(b.terms, "term").crossJoin(F.broadcast(b.corpus)).select("term", "source", "chunk_index", part.alias("part"))  # one row
-    total = scoped(asked.join(weighed, "term").groupBy("query_id", "source", "chunk_index").agg(F.round(F.sum("part"), 6).alias("score")), plan, allowed)
-    own = b.chunks.where("trim(text) <> ''").select("source", "chunk_index", "line_start", "line_end", F.col("text").alias("snippet"))
-    best = top(total.join(own.select("source", "chunk_index"), ["source", "chunk_index"], "left_semi"), ["query_id"], [F.desc("score"), "source", "chunk_index"], k, "nth")
-    return _hits(best.join(own, ["source", "chunk_index"]), "bm25", ["nth"])
+    return scoped(asked.join(weighed, "term").groupBy("query_id", "source", "chunk_index").agg(F.round(F.sum("part"), 6).alias("score")), plan, allowed)
 
 
 def vector_hits(b: Bundle, plan: DataFrame, k: int, allowed: DataFrame | None = None, embed: Callable = hash_embedding, conf: EngineConf = CONF) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import wiki
 from .conf import CONF, EngineConf
 from .functions import text as T
-from .operators import chunk, community, entity, graph, planning, search
+from .operators import chunk, community, entity, graph, lexical, planning, search
 from .operators.search import Bundle
 
 SCHEMAS = {
@@ -109,9 +109,8 @@ def locked(spark: SparkSession, root: str, timeout: float = 5.0, poll: float = 0
 # ---- builds
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, source, chunk_index, tf, length) of every chunk that has a term; length: all of its terms. Combined before the shuffle."""
-    own = chunks.select("source", "chunk_index", T.terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms").cast("long")).where("length > 0")
-    return own.select("source", "chunk_index", "length", F.explode("terms").alias("term")).groupBy("term", "source", "chunk_index", "length").agg(F.count("*").alias("tf")).select("term", "source", "chunk_index", "tf", "length")
+    """(term, source, chunk_index, tf, length) of every chunk that has a term; length: all of its terms. Nothing is shuffled."""
+    return lexical.postings(chunks)
 
 
 def manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:

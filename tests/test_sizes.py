@@ -1,11 +1,15 @@
 """Queries beside their SQL on small tables that hold what larger ones do: white space, repeats, ties, many rows of one key."""
 
+from collections import Counter
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from tessellum.operators import chunk
+from tessellum.functions import text as T
+from tessellum.operators import lexical
 from tessellum.plans import catalog
 from test_catalog import ordered, shown
 
@@ -57,3 +61,36 @@ def test_nearest_vectors_with_copies_and_nulls(spark, same):
 def test_nearest_vectors_broadcast_nothing(spark):
     plan = catalog.queries()["vector_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+ODD = ["", "a.b this", "this.that file_a b-c --- ... ._. x.y.z", "中文字符 中文 一二三四五六七 a中b", "İstanbul Kelvin", "The THE the. THIS.file.docs :config: a..b __init__ ../x/y.py", "é.a.this.é ÑANDÚ ñandú", "a.b" * 3000, "x" * 70000, "(word) `word` \"w0rd'", None]
+
+
+def plan_of(spark, name, folder="/root/testdata/sf0.001"):
+    return catalog.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_workers_are_those_of_columns(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for text, terms in df.select("text", T.terms(F.col("text"))).collect():
+        assert Counter(terms) == Counter({t.decode(): n for t, n in lexical.counted((text or "").encode()).items()})
+
+
+def test_words_and_terms_leave_their_row_only_to_be_summed(spark):
+    for name in ("term_frequency", "ordered_distinct_ci"):
+        assert "Exchange" not in plan_of(spark, name), name
+    for name in ("shared_token_edges", "graph_tokens"):
+        plan = plan_of(spark, name)
+        assert "Join" not in plan and "hashpartitioning(doc_id" not in plan, name
+
+
+def test_no_text_is_shuffled_for_the_kb_of_a_question(spark):
+    assert "SortMergeJoin" not in plan_of(spark, "grep_hits_batch")
+
+
+def test_texts_of_odd_words_and_shared_ids(same):
+    docs = documents(ODD[1:3] + ODD[5:6] + ["the thing is the thing", "thing eaux", "ung and ung", "the thing is the thing"])
+    bench = [{"item_id": i, "text": t} for i, t in enumerate(["the thing is", "is the thing", "eaux", "ung"])]
+    tables = {"documents": docs, "benchmark": bench}
+    same(tables, "term_frequency", "idf_table", "graph_tokens", "ordered_distinct_ci", "bm25_batch_probes", "bm25_stored", "probe_recall", "mode_jaccard", "shared_token_edges", "neighbor_top8", "query_expansion_rank")
+    same({"documents": docs + docs[:2], "benchmark": bench}, "term_frequency", "graph_tokens")

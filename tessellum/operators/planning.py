@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..conf import ITEM_PRIORITY
 from ..functions import text as T
 from ..sources.corpus import BINARY, SUFFIXES
-from . import graph
+from . import graph, lexical
+from .cuts import cut
 from .retrieve import top
 
 # What a question may call a kind of file, and how it asks for a symbol or a file.
@@ -195,14 +196,21 @@ def expansion_items(files: DataFrame, symbols: DataFrame, nodes: DataFrame) -> D
     return one.select(F.xxhash64("kind", "source", "low", "s", "g").alias("item_id"), "kind", "x.text", "source", "x.kb", "x.symbol", "x.path_glob", tokens.alias("tokens"), priority.alias("priority")).where("size(tokens) > 0")
 
 
-def candidates(plan: DataFrame, items: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def candidates(plan: DataFrame, items: DataFrame, allowed: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(query_id, item.., overlap, score, place): items by shared terms, each a point, 2 if the question holds the name, 0.75 if all
     of the item's terms are shared, 0.1 for each step of priority.
 
     A single shared term of an item of more than three, whose name the question does not hold, is no candidate. Items of another
-    kb, or of sources that ``allowed`` (query_id, source) lacks, are none either.
+    kb, or of sources that ``allowed`` (query_id, source) lacks, are none either. With ``most``, those are enough of each kind of a
+    question: each task then holds its items against all questions and hands on that many.
     """
     asked = query_terms(plan)
+    if most is not None and allowed is None:
+        asked = cut(asked)
+        held = lexical.held(asked)
+        if held is not None:
+            plans = {r["query_id"]: (r["low"], r["kb"]) for r in plan.select("query_id", F.lower("question").alias("low"), "kb").limit(lexical.HELD_PAIRS).collect()}  # no more than questions that are held
+            return _placed(lexical.items_best(items, held, plans, most))
     posting = items.select("item_id", F.explode("tokens").alias("term"))
     shared = asked.join(posting, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("overlap"))
     met = shared.join(plan.select("query_id", F.lower("question").alias("low"), F.col("kb").alias("asked_kb")), "query_id").join(items, "item_id")
@@ -213,8 +221,12 @@ def candidates(plan: DataFrame, items: DataFrame, allowed: DataFrame | None = No
     surface = F.contains("low", F.lower("text"))
     score = F.col("overlap") + F.when(surface, 2.0).otherwise(0.0) + F.when(F.col("overlap") == F.size("tokens"), 0.75).otherwise(0.0) + 0.1 * F.col("priority")
     kept = met.where((F.col("overlap") > 1) | surface | (F.size("tokens") <= 3)).withColumn("score", F.round(score, 6))
+    return _placed(kept.drop("low", "asked_kb"))
+
+
+def _placed(kept: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("priority"), F.length("text"), "source", "item_id")
-    return kept.withColumn("place", F.row_number().over(order)).drop("low", "asked_kb")
+    return kept.withColumn("place", F.row_number().over(order))
 
 
 def expanded(plan: DataFrame, items: DataFrame, allowed: DataFrame | None = None, per_kind: int = 2, most: int = 6) -> DataFrame:
@@ -225,7 +237,7 @@ def expanded(plan: DataFrame, items: DataFrame, allowed: DataFrame | None = None
     """
     source_like = F.exists("keywords", lambda k: k.rlike(r"[*/\\]|^\.[^./]{1,7}$") | F.lower(k).rlike(r".\.(" + "|".join(SUFFIXES + BINARY) + ")$"))
     bare = plan.where((F.size("symbols") == 0) & ~source_like)
-    found = candidates(bare, items, allowed)
+    found = candidates(bare, items, allowed, most)
     chosen = top(top(found, ["query_id", "kind"], ["place"], per_kind, "nth"), ["query_id"], ["place"], most, "ord").join(plan.select("query_id", "wants_symbol", "wants_file"), "query_id")
     symbols = chosen.where("kind = 'symbol' and symbol <> '' and wants_symbol").select("query_id", F.lit("symbols").alias("kind"), F.col("symbol").alias("value"), "ord")
     keywords = chosen.where("kind <> 'symbol'").select("query_id", F.lit("keywords").alias("kind"), F.col("text").alias("value"), "ord")

@@ -117,16 +117,21 @@ def module_names(files: DataFrame) -> DataFrame:
 
 
 def import_edges(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges from import symbols to files: the longest dotted prefix that is one file of the kb, or one file at all."""
+    """Edges from import symbols to files: the longest dotted prefix that is one file of the kb, or one file at all.
+
+    Each name of a kb is resolved once, however many files import it.
+    """
     imports = nodes.where("type = 'symbol' and symbol_kind = 'import'").select("id", "source", "kb", "line_start", "line_end", "qualified_name")
+    asked = imports.select("kb", "qualified_name").distinct()
     parts = F.split(F.lower(F.trim("qualified_name")), r"\.")
-    prefixes = imports.withColumn("parts", parts).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts")))).withColumn("name", F.array_join(F.slice("parts", F.lit(1), F.col("n")), ".")).where("name <> ''")
+    prefixes = asked.withColumn("parts", parts).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts")))).withColumn("name", F.array_join(F.slice("parts", F.lit(1), F.col("n")), ".")).where("name <> ''")
     known = module_names(files).select("name", F.col("rel_path").alias("target"), T.kb_of(F.col("rel_path")).alias("t_kb"))
     in_kb = known.groupBy("name", F.col("t_kb").alias("kb")).agg(F.count("*").alias("n_kb"), F.min("target").alias("near")).where("n_kb = 1")
     at_all = known.groupBy("name").agg(F.count("*").alias("n_all"), F.min("target").alias("far")).where("n_all = 1")
     met = prefixes.join(in_kb, ["name", "kb"], "left").join(at_all, "name", "left").withColumn("to", F.coalesce("near", "far")).where("to is not null")
-    best = met.groupBy("id", "source", "line_start", "line_end", "qualified_name").agg(F.max_by("to", "n").alias("to"))
-    return best.select(F.col("id").alias("source"), file_id(F.col("to")).alias("target"), F.lit("imports").alias("type"), F.col("source").alias("evidence_source"), "line_start", "line_end", F.col("qualified_name").alias("reason"))
+    best = met.groupBy("kb", "qualified_name").agg(F.max_by("to", "n").alias("to")).withColumnsRenamed({"kb": "asked_kb", "qualified_name": "asked_name"})
+    found = imports.join(best, F.col("kb").eqNullSafe(F.col("asked_kb")) & (F.col("qualified_name") == F.col("asked_name")))
+    return found.select(F.col("id").alias("source"), file_id(F.col("to")).alias("target"), F.lit("imports").alias("type"), F.col("source").alias("evidence_source"), "line_start", "line_end", F.col("qualified_name").alias("reason"))
 
 
 def document_edges(doc_edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum.functions import text as T
-from tessellum.operators import lexical
+from tessellum.operators import cuts, lexical
 from tessellum.plans import catalog
 from test_catalog import ordered, shown
 
@@ -94,3 +94,9 @@ def test_texts_of_odd_words_and_shared_ids(same):
     tables = {"documents": docs, "benchmark": bench}
     same(tables, "term_frequency", "idf_table", "graph_tokens", "ordered_distinct_ci", "bm25_batch_probes", "bm25_stored", "probe_recall", "mode_jaccard", "shared_token_edges", "neighbor_top8", "query_expansion_rank")
     same({"documents": docs + docs[:2], "benchmark": bench}, "term_frequency", "graph_tokens")
+
+
+def test_line_items_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cuts, "SHARE", 100)
+    for name in ("two_hop_neighbors", "import_resolution"):
+        assert ", REPARTITION_BY_NUM" in plan_of(spark, name), name
